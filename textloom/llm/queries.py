@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from .mixing import OP10_SQL, op10_source_mix
+from .repetition import op3_repetition_coverage
 from .sharding import op8_min_cost_reshard
+from .simhash import op5_simhash_gray
 
 QUERIES = {
+    "op3_repetition_coverage": op3_repetition_coverage,
+    "op5_simhash_gray": op5_simhash_gray,
     "op8_min_cost_reshard": op8_min_cost_reshard,
     "op10_source_mix": op10_source_mix,
 }
