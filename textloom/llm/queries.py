@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 from .mixing import OP10_SQL, op10_source_mix
+from .quality import op6_attention_quality
 from .repetition import op3_repetition_coverage
 from .sharding import op8_min_cost_reshard
 from .simhash import op5_simhash_gray
+from .toxicity import op9_compression_toxicity
 
 QUERIES = {
     "op3_repetition_coverage": op3_repetition_coverage,
     "op5_simhash_gray": op5_simhash_gray,
+    "op6_attention_quality": op6_attention_quality,
     "op8_min_cost_reshard": op8_min_cost_reshard,
+    "op9_compression_toxicity": op9_compression_toxicity,
     "op10_source_mix": op10_source_mix,
 }
 
 ORACLE_SQL = {
+    "op9_compression_toxicity": op9_compression_toxicity,
     "op10_source_mix": OP10_SQL,
 }
