@@ -142,24 +142,30 @@ class Model:
         return float(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
 
 
+def _dictionaries(texts: list[bytes], y: list[int], seed: int) -> Distance:
+    stems = tuple(marking_stems(texts, y))
+    plain = [w for t, kind in zip(texts, y) if not kind for w in windows(t)]
+    random.Random(seed).shuffle(plain)
+    found = [b" " + w for t, kind in zip(texts, y) if kind for w in t.translate(LOWER_ASCII).split() if w.startswith(stems)] if stems else []
+    toxic = [b"".join(found[i:i + 4]) + b" " for i in range(0, len(found), 4)]
+    return Distance(_content(plain[:20000], ORDINARY_BYTES), _content(toxic, TOXIC_BYTES))
+
+
 def fit(texts: list[bytes], y: list[int], seed: int = 7) -> Model:
-    """Train dictionaries on one half of the rows and calibrate on the other, so that scores aren't too sure."""
+    """Dictionaries of all rows; the threshold is calibrated on halves, each measured with dictionaries of the other."""
     share = sum(y) / len(y) if y else 0.5
     if not y or share in (0, 1):
         return Model(Distance(b"", b""), np.zeros(NUMBERS), np.ones(NUMBERS), np.zeros(NUMBERS), {0.0: -30.0, 1.0: 30.0}.get(share, 0.0))
-    rng = random.Random(seed)
-    half = len(y) * 2 // 3
-    stems = marking_stems(texts[:half], y[:half])
-    plain = [w for t, kind in zip(texts[:half], y[:half]) if not kind for w in windows(t)]
-    rng.shuffle(plain)
-    found = [b" " + w for t, kind in zip(texts[:half], y[:half]) if kind for w in t.translate(LOWER_ASCII).split() if w.startswith(tuple(stems))]
-    toxic = [b"".join(found[i:i + 4]) + b" " for i in range(0, len(found), 4)]
-    distance = Distance(_content(plain[:20000], ORDINARY_BYTES), _content(toxic, TOXIC_BYTES))
-    x = np.array([distance.features(t) for t in texts[half:]]).reshape(-1, NUMBERS)
-    target = np.array(y[half:], float)
+    x = np.zeros((len(y), NUMBERS))
+    for part in (0, 1):
+        other = _dictionaries(texts[1 - part::2], y[1 - part::2], seed)
+        for i in range(part, len(y), 2):
+            x[i] = other.features(texts[i])
+    target = np.array(y, float)
     mean, scale = x.mean(0), x.std(0) + 1e-9
     weights, bias = logistic((x - mean) / scale, target)
-    return Model(distance, mean, scale, weights, bias + _shift(((x - mean) / scale) @ weights + bias, target))
+    bias += _shift(((x - mean) / scale) @ weights + bias, target)
+    return Model(_dictionaries(texts, y, seed), mean, scale, weights, bias)
 
 
 def _shift(z: np.ndarray, y: np.ndarray) -> float:
