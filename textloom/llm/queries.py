@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontaminate import op1_bm25_decontaminate
 from .mixing import OP10_SQL, op10_source_mix
 from .quality import op6_attention_quality
 from .repetition import op3_repetition_coverage
@@ -10,6 +11,7 @@ from .simhash import op5_simhash_gray
 from .toxicity import op9_compression_toxicity
 
 QUERIES = {
+    "op1_bm25_decontaminate": op1_bm25_decontaminate,
     "op3_repetition_coverage": op3_repetition_coverage,
     "op5_simhash_gray": op5_simhash_gray,
     "op6_attention_quality": op6_attention_quality,
