@@ -8,6 +8,7 @@ from .quality import op6_attention_quality
 from .repetition import op3_repetition_coverage
 from .sharding import op8_min_cost_reshard
 from .simhash import op5_simhash_gray
+from .suffix_dedup import op7_previous_factors
 from .toxicity import op9_compression_toxicity
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_repetition_coverage": op3_repetition_coverage,
     "op5_simhash_gray": op5_simhash_gray,
     "op6_attention_quality": op6_attention_quality,
+    "op7_previous_factors": op7_previous_factors,
     "op8_min_cost_reshard": op8_min_cost_reshard,
     "op9_compression_toxicity": op9_compression_toxicity,
     "op10_source_mix": op10_source_mix,
