@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import op1_bm25_decontaminate
+from .line_dedup import OP2_SQL, op2_line_set_join
 from .mixing import OP10_SQL, op10_source_mix
 from .quality import op6_attention_quality
 from .repetition import op3_repetition_coverage
@@ -13,6 +14,7 @@ from .toxicity import op9_compression_toxicity
 
 QUERIES = {
     "op1_bm25_decontaminate": op1_bm25_decontaminate,
+    "op2_line_set_join": op2_line_set_join,
     "op3_repetition_coverage": op3_repetition_coverage,
     "op5_simhash_gray": op5_simhash_gray,
     "op6_attention_quality": op6_attention_quality,
@@ -23,6 +25,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_line_set_join": OP2_SQL,
     "op9_compression_toxicity": op9_compression_toxicity,
     "op10_source_mix": OP10_SQL,
 }
