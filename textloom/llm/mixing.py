@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from .common import prefix_sums, table, word_count, written
 
@@ -91,18 +92,21 @@ def mix(docs: DataFrame, weight: Column | None = None, most: int = MOST_EPOCHS,
 def mixed_rows(docs: DataFrame, weight: Column | None = None, most: int = MOST_EPOCHS, seed: str = SEED) -> DataFrame:
     """The documents of the mix, each as often as it is taken; columns of ``docs``.
 
-    Rows with equal doc_id, source and text are numbered on both sides, so that each gets its own decision.
+    Rows that agree in doc_id, source and text are numbered on both sides, so that each gets its own decision.
     """
-    from pyspark.sql.window import Window
-
     takes = mix(docs, weight, most, seed).select("doc_id", "source", "text_hash", (F.col("epochs") + F.col("chosen")).alias("_times"))
-    keys = ["doc_id", "source", "text_hash"]
-    nth = Window.partitionBy(*keys)
-    left = docs.withColumn("text_hash", F.xxhash64("text")).withColumn("_nth", F.row_number().over(nth.orderBy(F.lit(0))))
-    right = takes.withColumn("_nth", F.row_number().over(nth.orderBy(F.desc("_times"))))
-    same = left._nth == right._nth
-    for k in keys:
-        same = same & left[k].eqNullSafe(right[k])
+    takes = written(takes, "mix-takes")
+    rows, ids = takes.agg(F.count("*"), F.countDistinct("doc_id")).first()
+    if rows == ids:
+        left, right = docs, takes.select(F.col("doc_id").alias("_id"), "_times")
+        same = left["doc_id"] == right["_id"]
+    else:
+        nth = Window.partitionBy("doc_id", "source", "text_hash")
+        left = docs.withColumn("text_hash", F.xxhash64("text")).withColumn("_nth", F.row_number().over(nth.orderBy(F.lit(0))))
+        right = takes.withColumn("_nth", F.row_number().over(nth.orderBy(F.desc("_times"))))
+        same = left["_nth"] == right["_nth"]
+        for k in ("doc_id", "source", "text_hash"):
+            same = same & left[k].eqNullSafe(right[k])
     return left.join(right.filter("_times > 0"), same).select(
         *[left[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), right["_times"])).alias("_copy")).drop("_copy")
 

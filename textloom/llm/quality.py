@@ -204,6 +204,20 @@ def score(docs: DataFrame, model: Attention, threshold: float = THRESHOLD) -> Da
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def keep(docs: DataFrame, model: Attention, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents that score ``threshold`` or more; all columns, decided row by row and without a join."""
+    small_batches(docs.sparkSession)
+    at = docs.columns.index("text")  # by place: other columns' names don't matter
+
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers()
+        for piece in pieces(batches, "text", PIECE_BYTES):
+            x, owner = encode([t or b"" for t in piece.column(at).cast(pa.binary()).to_pylist()], powers)
+            yield piece.filter(pa.array(model.scores(x, owner) >= threshold))
+
+    return docs.mapInArrow(passed, docs.schema)
+
+
 def op6_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score(docs, train(docs, table(spark, sf_dir, "labels")))

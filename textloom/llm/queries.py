@@ -11,11 +11,13 @@ from .sharding import op8_min_cost_reshard
 from .simhash import op5_simhash_gray
 from .suffix_dedup import op7_previous_factors
 from .toxicity import op9_compression_toxicity
+from .warc import OP4_SQL, op4_revisit_asof
 
 QUERIES = {
     "op1_bm25_decontaminate": op1_bm25_decontaminate,
     "op2_line_set_join": op2_line_set_join,
     "op3_repetition_coverage": op3_repetition_coverage,
+    "op4_revisit_asof": op4_revisit_asof,
     "op5_simhash_gray": op5_simhash_gray,
     "op6_attention_quality": op6_attention_quality,
     "op7_previous_factors": op7_previous_factors,
@@ -27,5 +29,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op2_line_set_join": OP2_SQL,
     "op9_compression_toxicity": op9_compression_toxicity,
+    "op4_revisit_asof": OP4_SQL,
     "op10_source_mix": OP10_SQL,
 }

@@ -216,6 +216,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return prints.join(of, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The documents that stay: of each group the one with the smallest doc_id; all columns.
+
+    Rows that repeat a doc_id are one document.  Rows without an id can't name a group and
+    stay, but for exact copies of each other's text.
+    """
+    found = written(near_duplicates(docs), "groups")
+    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    kept = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    rows, known, ids = found.agg(F.count("*"), F.count("doc_id"), F.countDistinct("doc_id")).first()
+    if known > ids or rows > known:
+        named, unnamed = kept.filter("doc_id is not null"), kept.filter("doc_id is null")
+        kept = named.dropDuplicates(["doc_id"]).union(unnamed.dropDuplicates(["text"]))
+    return kept
+
+
 def op5_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
