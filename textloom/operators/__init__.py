@@ -1 +1 @@
-
+"""Operators of the studies: design, context, judging, parsing, consensus, order."""

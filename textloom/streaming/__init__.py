@@ -1 +1 @@
-
+"""Structured Streaming over result folders."""
