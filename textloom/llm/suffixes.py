@@ -41,14 +41,12 @@ def prefix_order(data: np.ndarray, at: np.ndarray, time: np.ndarray, length: int
     tail = _shifted(rank, length - size)
     order = np.lexsort((time, tail[at], rank[at]))
     a, b = at[order][:-1], at[order][1:]
-    common = np.zeros(len(a), np.int64)
-    for size, rank in reversed(levels):
-        for _ in range(2 if size == levels[-1][0] else 1):
-            i, j = np.minimum(a + common, len(data) - 1), np.minimum(b + common, len(data) - 1)
-            common += size * ((common + size <= length) & (rank[i] == rank[j]))
-    for _ in range(length % 8 + 7):
-        i, j = np.minimum(a + common, len(data) - 1), np.minimum(b + common, len(data) - 1)
-        common += (common < length) & (data[i] == data[j])
+    common, n = np.zeros(len(a), np.int64), len(data)
+    steps = [(size, rank) for size, rank in reversed(levels)] + [(1, data)] * 7
+    for size, rank in steps:  # what is left after a level is shorter than it
+        i, j = a + common, b + common
+        fits = (np.maximum(i, j) + size <= n) & (common + size <= length)
+        common += size * (fits & (rank[np.minimum(i, n - 1)] == rank[np.minimum(j, n - 1)]))
     return order, np.concatenate([[0], common])
 
 
