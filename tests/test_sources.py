@@ -108,3 +108,15 @@ def test_rating_shuffle_is_mapped_back(spark, tmp_path):
     plain, shuffled = (sorted(map(tuple, studies.rating_study(scenarios, 3, Echo(), seed=s).collect())) for s in (None, "x"))
     assert plain == shuffled and plain[0][4] == "0, 0, 0, "
     assert sorted(r["modifier"] for r in studies.rating_study(scenarios, 3, Echo(), literal=True).collect()) == sorted("extre" * 3)
+
+
+def test_counts_and_lines(spark, tmp_path):
+    df = spark.range(10).select("id", (F.col("id") % 2 == 0).alias("even"))
+    watched, seen = sinks.counted(df, even=F.col("even"))
+    watched.write.parquet(str(tmp_path / "w"))
+    assert seen.get == {"rows": 10, "even": 5}
+    assert sinks.shown(df, "id", 2) == ["0 True", "1 False"]
+    bars = {r["label"]: r["frequency"] for r in sinks.frequency_bars(df.select(F.col("even").cast("string").alias("even")), "even").collect()}
+    assert bars == {"true": 0.5, "false": 0.5}
+    flags = spark.createDataFrame([(2, False), (1, True)], "request_no int, swapped boolean")
+    assert sinks.swap_flags(flags).first()["swapped"] == [True, False]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -41,3 +41,14 @@ def frequency_bars(df: DataFrame, label: str) -> DataFrame:
     total = df.agg(F.count("*").alias("_total"))
     counts = df.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n"))
     return counts.join(F.broadcast(total)).select("label", (F.col("n") / F.col("_total")).alias("frequency"))
+
+
+def counted(df: DataFrame, name: str = "rows", **conditions: Column) -> tuple[DataFrame, Observation]:
+    """The frame, and an observation with ``rows`` and the rows that meet each condition, filled in when an action has run."""
+    seen = Observation(name)
+    return df.observe(seen, F.count(F.lit(1)).alias("rows"), *[F.count_if(c).alias(k) for k, c in conditions.items()]), seen
+
+
+def shown(df: DataFrame, order: str, first: int = 102) -> list[str]:
+    """The first rows in order as lines of text, for a look at the data; only they reach the driver."""
+    return [" ".join(map(str, r)) for r in df.orderBy(order).limit(first).collect()]
