@@ -14,7 +14,8 @@ a context of fewer than two lengths.
    share the K-gram and differ are kept for step 4.
 3. Marks meet their texts; the contexts kept in step 2 are cut out.
 4. Contexts with one K-gram are put in suffix order; the previous and next smaller places give the longest
-   earlier match of each of their strings, which is removed if it has ``LENGTH`` bytes.
+   earlier match of each of their strings, which is removed if it has ``LENGTH`` bytes.  K-grams with many
+   different contexts (a short line that ends many texts) are told apart first by the longer core that neighbouring strings share.
 5. The marks of step 4 meet their texts.
 
 Defined results: a null text is empty; null doc_ids come last; rows with the same doc_id are documents
@@ -25,6 +26,7 @@ result; other columns are ignored, whatever their names.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,7 +43,10 @@ K = 32
 W = LENGTH - K + 1
 #: Bytes handled at once; longer texts are cut into overlapping parts.
 PIECE_BYTES = 1 << 19
-#: Contexts of one K-gram that are put in suffix order at once; larger groups are compared string by string.
+#: Groups of more contexts are told apart by cores of ``LENGTH - SPAN + 1`` bytes.
+SPLIT = 500
+SPAN = 18
+#: Contexts that are put in suffix order at once; groups that are still larger are compared string by string.
 MOST_CONTEXTS = 20_000
 GROUP_BYTES = 4 << 20
 
@@ -259,6 +264,8 @@ def _met(marks: DataFrame, texts: DataFrame, with_text: bool) -> DataFrame:
 
 def _factors(docs: np.ndarray, starts: np.ndarray, strings: np.ndarray, bodies: list[bytes]) -> tuple[np.ndarray, ...]:
     """Spans (doc, start, end) of strings in the contexts that have an earlier match of full length; contexts come in order of place."""
+    if not bodies:
+        return docs, starts, starts
     sizes = np.array([len(b) for b in bodies])
     data = np.frombuffer(b"".join(bodies), np.uint8)
     begin = np.cumsum(sizes) - sizes
@@ -279,6 +286,27 @@ def _factors(docs: np.ndarray, starts: np.ndarray, strings: np.ndarray, bodies:
     return doc[head], place[head], place[last] + LENGTH
 
 
+CONTEXT = ["gram", "doc", "start", "strings", "body"]
+
+
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Contexts to parts whose strings' anchor offsets are within ``SPAN``, keyed by K-gram, offset range and the bytes that all of them hold."""
+    powers = Powers()
+    for batch in batches:
+        rows = []
+        for gram, doc, start, n, body in zip(*(batch.column(c).to_pylist() for c in CONTEXT)):
+            data = np.frombuffer(body, np.uint8)
+            for first, count, off in zip(*(x.tolist() for x in anchors(data, np.array([len(data)]), powers)[1:4])):
+                anchor = first + off
+                for q in range((off - count + 1) // SPAN, off // SPAN + 1):
+                    low, high = max(SPAN * q, off - count + 1), min(SPAN * q + SPAN - 1, off)
+                    core = body[anchor - SPAN * q:anchor - SPAN * q + LENGTH - SPAN + 1]
+                    key = hashlib.blake2b(core, digest_size=8, salt=(gram & (1 << 63) - 1).to_bytes(8, "big") + q.to_bytes(8, "big")).digest()
+                    rows.append((int.from_bytes(key, "big", signed=True), doc, start + anchor - high, high - low + 1, body[anchor - high:anchor - low + LENGTH]))
+        columns = zip(*rows) if rows else [[]] * 5
+        yield pa.record_batch([pa.array(c, pa.binary() if n == "body" else pa.int64()) for c, n in zip(columns, CONTEXT)], CONTEXT)
+
+
 FOUND = ["doc", "start", "end", "one", "two"]
 
 
@@ -288,6 +316,8 @@ def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rest = None
 
     def spans(rows):
+        many = Counter(r[0] for r in rows)
+        rows = [r for r in rows if many[r[0]] > 1]
         docs, starts, ends = _factors(*(np.array([r[i] for r in rows], np.int64) for i in (1, 2, 3)), [r[4] for r in rows])
         return pa.record_batch([pa.array(x, pa.int64()) for x in (docs, starts, ends)] + [pa.nulls(len(docs), pa.int64())] * 2, FOUND)
 
@@ -342,7 +372,10 @@ def deduplicate(docs: DataFrame, with_text: bool = False) -> DataFrame:
     ordered = rows.repartition("gram").sortWithinPartitions(*ANCHOR)
     marks = written(ordered.mapInArrow(_marks, MARK_DDL), "marks")
     step = written(_met(marks, texts.select("doc", F.col("text").alias("body"), F.lit(None).cast("array<long>").alias("spans")), with_text), "met")
-    contexts = step.filter("gram is not null").select("gram", "doc", "start", "strings", "body")
+    contexts = step.filter("gram is not null").select(*CONTEXT)
+    frequent = written(contexts.groupBy("gram").agg(F.count("*").alias("n")).filter(F.col("n") > SPLIT).select("gram"), "frequent-grams")
+    parts = contexts.join(frequent, "gram", "left_semi").select(*CONTEXT).mapInArrow(_split, "gram long, doc long, start long, strings long, body binary")
+    contexts = contexts.join(frequent, "gram", "left_anti").select(*CONTEXT).union(parts)
     found = written(contexts.repartition("gram").sortWithinPartitions("gram", "doc", "start").mapInArrow(_matched, ", ".join(f"{c} long" for c in FOUND)), "found")
     large = found.filter("one is not null")
     firsts = large.groupBy("one", "two").agg(F.min(F.struct("doc", "start")).alias("least")).select(F.col("one").alias("_one"), F.col("two").alias("_two"), "least")
