@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import pieces, prefix_sums, small_batches, table, written
-from .repetition import Powers, mixed
+from .repetition import Powers, mixed, repeated
 from .suffixes import previous_factors
 
 LENGTH = 100
@@ -48,7 +48,7 @@ SPLIT = 500
 SPAN = 18
 #: Contexts that are put in suffix order at once; groups that are still larger are compared string by string.
 MOST_CONTEXTS = 20_000
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 2 << 20
 
 
 def _sliding_min(v: np.ndarray, width: int) -> np.ndarray:
@@ -262,23 +262,51 @@ def _met(marks: DataFrame, texts: DataFrame, with_text: bool) -> DataFrame:
     return left.union(right).repartition("doc").sortWithinPartitions("doc", "tag").mapInArrow(_applied(with_text), STEP_DDL)
 
 
-def _factors(docs: np.ndarray, starts: np.ndarray, strings: np.ndarray, bodies: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Spans (doc, start, end) of strings in the contexts that have an earlier match of full length; contexts come in order of place."""
+def _sharing(grams: np.ndarray, bodies: list[bytes], powers: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, first string, strings) of the parts of contexts whose core stands in another one with the same K-gram.
+
+    The strings whose anchor offset is in one range of ``SPAN`` all hold the same ``LENGTH - SPAN + 1`` bytes around the anchor,
+    so without that core elsewhere none of them stands elsewhere.
+    """
+    found, at, size = [], 0, np.array([len(b) for b in bodies])
+    while at < len(bodies):
+        to = at + max(1, int(np.searchsorted(np.cumsum(size[at:]), PIECE_BYTES)))
+        data, ends = np.frombuffer(b"".join(bodies[at:to]), np.uint8), np.cumsum(size[at:to])
+        text, first, n, off, _, _ = anchors(data, ends, powers)
+        up, down = powers.get(len(data) + 1)
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
+        begin = (ends - size[at:to])[text]
+        for q in range(-(-W // SPAN)):
+            low, high = np.maximum(SPAN * q, off - n + 1), np.minimum(SPAN * q + SPAN - 1, off)
+            some = low <= high
+            core = (first + off - SPAN * q)[some]
+            key = mixed((total[core + LENGTH - SPAN + 1] - total[core]) * down[core]) ^ mixed(grams[at:to][text[some]].astype(np.uint64) * np.uint64(4) + np.uint64(q))
+            found.append((mixed(key), text[some] + at, (first + off - high - begin)[some], (high - low + 1)[some]))
+        at = to
+    key, context, first, n = (np.concatenate(x) for x in zip(*found))
+    twice, _ = repeated(key)
+    return context[twice], first[twice], n[twice]
+
+
+def _factors(grams: np.ndarray, docs: np.ndarray, starts: np.ndarray, bodies: list[bytes], powers: Powers) -> tuple[np.ndarray, ...]:
+    """Spans (doc, start, end) of strings in the contexts that have an earlier match of full length; whole groups of contexts."""
+    none = np.zeros(0, np.int64)
     if not bodies:
-        return docs, starts, starts
-    sizes = np.array([len(b) for b in bodies])
-    data = np.frombuffer(b"".join(bodies), np.uint8)
-    begin = np.cumsum(sizes) - sizes
+        return none, none, none
+    context, first, strings = _sharing(grams, bodies, powers)
+    if not len(context):
+        return none, none, none
+    parts = [bodies[c][f:f + n + LENGTH - 1] for c, f, n in zip(context.tolist(), first.tolist(), strings.tolist())]
+    begin = np.cumsum(strings + LENGTH - 1) - (strings + LENGTH - 1)
     nth = np.arange(int(strings.sum())) - np.repeat(np.cumsum(strings) - strings, strings)
-    at = np.repeat(begin, strings) + nth
-    doc, place = np.repeat(docs, strings), np.repeat(starts, strings) + nth
-    time = np.empty(len(at), np.int64)
-    time[np.lexsort((place, doc))] = np.arange(len(at))
-    hit = previous_factors(data, at, time, LENGTH) >= LENGTH
-    owner = np.repeat(np.arange(len(docs)), strings)[hit]
-    doc, place = doc[hit], place[hit]
+    doc, place = np.repeat(docs[context], strings), np.repeat(starts[context] + first, strings) + nth
+    time = np.empty(len(doc), np.int64)
+    time[np.lexsort((place, doc))] = np.arange(len(doc))
+    hit = previous_factors(np.frombuffer(b"".join(parts), np.uint8), np.repeat(begin, strings) + nth, time, LENGTH) >= LENGTH
+    owner, doc, place = np.repeat(np.arange(len(parts)), strings)[hit], doc[hit], place[hit]
     if not len(doc):
-        return doc, place, place
+        return none, none, none
     new = np.ones(len(doc), bool)
     new[1:] = (owner[1:] != owner[:-1]) | (place[1:] != place[:-1] + 1)
     head = np.flatnonzero(new)
@@ -313,12 +341,12 @@ FOUND = ["doc", "start", "end", "one", "two"]
 def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Contexts sorted by K-gram to spans; strings of groups that are too large come out hashed (one, two) instead."""
     held: list[tuple] = []
-    rest = None
+    rest, powers = None, Powers()
 
     def spans(rows):
         many = Counter(r[0] for r in rows)
         rows = [r for r in rows if many[r[0]] > 1]
-        docs, starts, ends = _factors(*(np.array([r[i] for r in rows], np.int64) for i in (1, 2, 3)), [r[4] for r in rows])
+        docs, starts, ends = _factors(*(np.array([r[i] for r in rows], np.int64) for i in (0, 1, 2)), [r[4] for r in rows], powers)
         return pa.record_batch([pa.array(x, pa.int64()) for x in (docs, starts, ends)] + [pa.nulls(len(docs), pa.int64())] * 2, FOUND)
 
     def strings(rows):
