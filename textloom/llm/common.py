@@ -87,7 +87,8 @@ def prefix_sums(df: DataFrame, key: str, order: list[str], value: str, label: st
     rows spreads over a third of the partitions; each partition's totals are
     then summed per key.  That table has at most partitions + keys rows.
     """
-    ranged = df.repartitionByRange(key, *order).withColumn("_part", F.spark_partition_id())
+    # the rows are written first: range partitioning reads its input twice, and that is the texts
+    ranged = written(df, f"{label}-rows").repartitionByRange(key, *order).withColumn("_part", F.spark_partition_id())
     stored = written(ranged, label)
     local = Window.partitionBy("_part", key).orderBy(*order)
     inner = stored.withColumns({
