@@ -158,7 +158,21 @@ def brute_spans(data):
     return out
 
 
-def test_suffix_dedup(spark):
+@pytest.mark.parametrize("split, most", [(500, 20_000), (1, 20_000), (500, 2)])
+def test_suffix_dedup(spark, monkeypatch, split, most):
+    """Small limits send groups of contexts to the cores, or to the comparison string by string."""
+    import pyspark.cloudpickle as pickle
+
+    monkeypatch.setattr(suffix_dedup, "SPLIT", split)
+    monkeypatch.setattr(suffix_dedup, "MOST_CONTEXTS", most)
+    pickle.register_pickle_by_value(suffix_dedup)  # the limits go to the workers with the functions
+    try:
+        check_suffix_dedup(spark)
+    finally:
+        pickle.unregister_pickle_by_value(suffix_dedup)
+
+
+def check_suffix_dedup(spark):
     rng = random.Random(9)
     passage = "".join(rng.choice("abcde ") for _ in range(400))
     data = rows() + [(200 + i, prose + passage[k:k + rng.randint(95, 260)] + prose[::-1], "en", "s", 1, 1, "k", "s") for i, (k, prose) in enumerate((rng.randint(0, 150), "".join(rng.choice("xyz ") for _ in range(40))) for _ in range(25))]
