@@ -1,0 +1,45 @@
+"""Catalogue queries whose SQL takes a part of a table, against that SQL without the cut."""
+
+import os
+from collections import Counter
+
+import duckdb
+import pytest
+
+from textloom.plans import catalogue
+
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+
+
+@pytest.fixture(scope="module")
+def db():
+    con = duckdb.connect()
+    for f in os.listdir(SF):
+        con.execute(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM '{SF}/{f}'")
+    return con
+
+
+def same_rows(spark, db, name, sql):
+    found = catalogue.QUERIES[name][0](spark, SF)
+    columns = sorted(found.columns)
+    want = db.execute(sql)
+    names = [d[0] for d in want.description]
+    assert sorted(names) == columns
+    rows = [tuple(r[names.index(c)] for c in columns) for r in want.fetchall()]
+    assert rows and Counter(tuple(r) for r in found.select(*columns).collect()) == Counter(rows)
+
+
+SCENARIO_QUERIES = [
+    "factorial_requests", "rating_requests", "politeness_prompts", "paired_requests", "paired_politeness", "quoted_span_speaker", "rating_items", "rating_pivot",
+    "predicate_scale_lookup", "stub_judged_pipeline", "swapped_answers",
+]
+
+
+@pytest.mark.parametrize("name", SCENARIO_QUERIES)
+def test_every_scenario(spark, db, name):
+    n, most = db.execute("SELECT count(*), max(item_id) + 1 FROM benchmark").fetchone()
+    assert n == most > 20
+    whole = catalogue.QUERIES[name][1].replace("[item_id // 5 + 1]", "[item_id // 5 % 4 + 1]").replace("modifier_no * 20 +", f"modifier_no * {n} +")
+    whole = whole.replace(" WHERE item_id < 20", "")
+    same_rows(spark, db, name, whole)

@@ -1,7 +1,7 @@
 """The driver's queries over its tables, each with the SQL that says what it must give.
 
 The tables stand in for the studies' inputs: documents for utterances and talk pages, labels for
-judgements, the first twenty benchmark items for scenarios, conversations for replicates.
+judgements, benchmark items for scenarios, conversations for replicates.
 """
 
 from __future__ import annotations
@@ -19,7 +19,6 @@ from ..sources import readers
 from . import studies
 
 Query = Callable[[SparkSession, str], DataFrame]
-N = 20  # scenarios
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,10 +26,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scenario_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scenarios made of benchmark items: templates with a slot and two quotes, questions, predicates in blocks of five."""
-    items = _table(spark, sf_dir, "benchmark").filter(f"item_id < {N}")
+    """Scenarios made of benchmark items: templates with a slot and two quotes, questions, predicates in blocks of five, in a cycle."""
+    items = _table(spark, sf_dir, "benchmark")
     said = F.concat(F.replace("text", F.lit('"'), F.lit("")), F.lit('" today.'))
-    predicate = F.get(F.array(*[F.lit(p) for p in fixed.PREDICATES]), F.expr("cast(item_id div 5 as int)"))
+    predicate = F.get(F.array(*[F.lit(p) for p in fixed.PREDICATES]), F.expr(f"cast((item_id div 5) % {len(fixed.PREDICATES)} as int)"))
     name = F.concat(F.lit("Ann"), F.col("item_id").cast("string"))
     made = {
         "scenario_id": F.col("item_id"), "predicate": predicate,
@@ -43,6 +42,11 @@ def scenario_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.select(*[c.alias(k) for k, c in made.items()])
 
 
+def n_scenarios(spark: SparkSession, sf_dir: str) -> int:
+    """How many numbers the scenarios take: one more than the largest id, which is their count where ids have no gaps."""
+    return _table(spark, sf_dir, "benchmark").agg(F.coalesce(F.max("item_id") + 1, F.lit(0))).first()[0]
+
+
 _SCENARIOS = """
 sc AS (
   SELECT item_id AS scenario_id, (['cold', 'loud', 'messy', 'long'])[item_id // 5 + 1] AS predicate, 'Ann' || CAST(item_id AS VARCHAR) AS name,
@@ -86,7 +90,7 @@ _POLITE_ASK = f"'If ' || {_SPEAKER.format(q='question')} || ' had said \"' || {_
 
 def _single(prompt, question: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        made = design.single_requests(scenario_table(spark, sf_dir), N, prompt, question)
+        made = design.single_requests(scenario_table(spark, sf_dir), n_scenarios(spark, sf_dir), prompt, question)
         return made.select("request_no", "key", "modifier", "scenario_id", "attempt", "variant", F.md5("prompt").alias("prompt_md5"))
 
     return query
@@ -110,7 +114,7 @@ FROM h"""
 
 def _pair(polite: bool) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return design.paired_requests(scenario_table(spark, sf_dir), N, polite).select("request_no", "key", "swapped", F.md5("prompt").alias("prompt_md5"))
+        return design.paired_requests(scenario_table(spark, sf_dir), n_scenarios(spark, sf_dir), polite).select("request_no", "key", "swapped", F.md5("prompt").alias("prompt_md5"))
 
     return query
 
@@ -211,11 +215,11 @@ def rating_pivot(spark, sf_dir):
             number = lambda s: F.conv(F.substring(F.md5(F.concat(F.col("key"), F.lit("/"), s.cast("string"))), 1, 2), 16, 10)
             return requests.withColumn("raw", F.concat(F.lit("Ratings:\n[ "), F.array_join(F.transform("order", number), ", "), F.lit(" ]")))
 
-    return studies.rating_study(scenario_table(spark, sf_dir), N, Listed()).drop("modifier_no")
+    return studies.rating_study(scenario_table(spark, sf_dir), n_scenarios(spark, sf_dir), Listed()).drop("modifier_no")
 
 
 def rating_items(spark, sf_dir):
-    return design.rating_items(scenario_table(spark, sf_dir), N).select("seq", "modifier", "question", "scenario")
+    return design.rating_items(scenario_table(spark, sf_dir), n_scenarios(spark, sf_dir)).select("seq", "modifier", "question", "scenario")
 
 
 def answer_parse(spark, sf_dir):
@@ -279,7 +283,7 @@ def predicate_scale_lookup(spark, sf_dir):
 
 def stub_judged_pipeline(spark, sf_dir):
     """The choice study from scenarios to concatenated answers, judged by a hash."""
-    return studies.choice_study(scenario_table(spark, sf_dir), N, StubJudge()).drop("modifier_no")
+    return studies.choice_study(scenario_table(spark, sf_dir), n_scenarios(spark, sf_dir), StubJudge()).drop("modifier_no")
 
 
 def stub_labelling(spark, sf_dir):
@@ -312,7 +316,7 @@ def swapped_answers(spark, sf_dir):
             at = lambda k: F.substring(F.lit("ABCDE"), (F.col("request_no") * k % 5 + 1).cast("int"), F.lit(1))
             return requests.withColumn("raw", F.concat(F.lit('{"scenario_1_answer": "('), at(1), F.lit(')", "scenario_2_answer": "('), at(2), F.lit(')"}')))
 
-    return studies.paired_study(scenario_table(spark, sf_dir), N, Pairs()).select("request_no", "swapped", "baseline_answer", "hedged_answer")
+    return studies.paired_study(scenario_table(spark, sf_dir), n_scenarios(spark, sf_dir), Pairs()).select("request_no", "swapped", "baseline_answer", "hedged_answer")
 
 
 _NUMBERED = "string_agg(CAST(seq % 30 + 1 AS VARCHAR) || '. ' || text || chr(10), '' ORDER BY seq)"
