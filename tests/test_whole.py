@@ -43,3 +43,8 @@ def test_every_scenario(spark, db, name):
     whole = catalogue.QUERIES[name][1].replace("[item_id // 5 + 1]", "[item_id // 5 % 4 + 1]").replace("modifier_no * 20 +", f"modifier_no * {n} +")
     whole = whole.replace(" WHERE item_id < 20", "")
     same_rows(spark, db, name, whole)
+
+
+def test_whole_turns(spark, db):
+    assert db.execute("SELECT count(*) FROM conversations WHERE length(text) > 5").fetchone()[0] > 0
+    same_rows(spark, db, "replicate_concat", catalogue.QUERIES["replicate_concat"][1].replace("left(text, 5)", "text"))

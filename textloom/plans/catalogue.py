@@ -173,8 +173,8 @@ def dedup_keep_first(spark, sf_dir):
 
 
 def replicate_concat(spark, sf_dir):
-    turns = _table(spark, sf_dir, "conversations").withColumn("start", F.substring("text", 1, 5))
-    return consensus.replicates(turns, ["conv_id"], "role", ["system", "user", "assistant"], "turn", "start")
+    turns = _table(spark, sf_dir, "conversations")
+    return consensus.replicates(turns, ["conv_id"], "role", ["system", "user", "assistant"], "turn", "text")
 
 
 def payload_extract(spark, sf_dir):
