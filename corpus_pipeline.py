@@ -32,8 +32,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The shard and slot of each row."""
-    return sharding.digest(sharding.reshard(docs, sharding.old_layout(), sharding.OLD_SHARDS, sharding.NEW_SHARDS))
+    """The shard and slot of each row, from the shards as written."""
+    return sharding.resharded(docs, sharding.old_layout(), sharding.OLD_SHARDS, sharding.NEW_SHARDS)
 
 
 STAGES = [

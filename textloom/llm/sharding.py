@@ -4,7 +4,7 @@ The sizes of the old shards are the supplies and the new shards' capacities the
 demands of a transport network in which keeping bytes in place is free and
 moving a byte costs one.  The flow says how many bytes go from each old shard to
 each new one; each old shard is then cut, in a fixed order, into consecutive
-blocks of those sizes.
+blocks of those sizes, and the shards that gain or lose rows are written anew.
 
 Defined results: a null text counts as no bytes and as CRC 0; a null or repeated
 doc_id is an ordinary row (ties are ordered by CRC and size); an empty table gives
@@ -13,15 +13,20 @@ an empty plan; other columns of the input are ignored, whatever their names.
 
 from __future__ import annotations
 
+import uuid
 from collections import deque
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from .common import prefix_sums, table, written
+from .common import prefix_sums, shared_dir, table, written
 
 OLD_SHARDS = 16
 NEW_SHARDS = 24
+#: Rows of a shard that are always written by one task, next to each other.
+FILE_ROWS = 1 << 11
 
 
 def min_cost_flow(supply: list[int], capacity: list[int], cost: list[list[int]] | None = None) -> list[list[int]]:
@@ -73,12 +78,12 @@ def even_capacities(total: int, n: int) -> list[int]:
     return [total // n + (j < total % n) for j in range(n)]
 
 
-def sized(docs: DataFrame, old_shard: Column) -> DataFrame:
+def sized(docs: DataFrame, old_shard: Column, *more: Column | str) -> DataFrame:
     return docs.select(
         F.col("doc_id"),
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"),
         F.coalesce(F.crc32("text"), F.lit(0)).cast("long").alias("text_crc32"),
-        old_shard.cast("int").alias("old_shard"),
+        old_shard.cast("int").alias("old_shard"), *more,
     )
 
 
@@ -127,20 +132,49 @@ def affected(plan: DataFrame) -> DataFrame:
     return moved.select("shard").union(moved.select(F.col("old_shard").alias("shard"))).distinct()
 
 
-def rewrite(plan: DataFrame, docs: DataFrame, path: str) -> None:
-    """Write the affected shards' documents under ``path`` as shard=<n> folders, in slot order.
+def rewrite(plan: DataFrame, docs: DataFrame, path: str, old_shard: Column | None = None) -> list[int]:
+    """Write the affected shards' documents under ``path`` as shard=<n> folders, each file in slot order; the affected shards.
 
-    Documents are matched to the plan by doc_id, text CRC and occurrence, so repeated rows keep their count.
+    Documents are matched to the plan by doc_id, text CRC, size, ``old_shard`` if given, and occurrence, so repeated rows keep
+    their count.  Shards that aren't affected stay as they are under ``path``; an affected one that has no rows left goes.
     """
-    from pyspark.sql.window import Window
-
-    keys = ["doc_id", "text_crc32"]
-    number = lambda df, *by: df.withColumn("_copy", F.row_number().over(Window.partitionBy(*keys).orderBy(*by)))
-    todo = number(plan.join(affected(plan), "shard", "left_semi").select(*keys, "shard", "slot"), "shard", "slot")
-    rows = number(docs.withColumn("text_crc32", F.coalesce(F.crc32("text"), F.lit(0)).cast("long")), "text")
-    same = todo.doc_id.eqNullSafe(rows.doc_id) & (todo.text_crc32 == rows.text_crc32) & (todo._copy == rows._copy)
-    out = rows.join(todo, same).select(todo.shard, todo.slot, *[rows[c] for c in docs.columns if c not in ("shard", "slot")])
-    out.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").mode("overwrite").parquet(path)
+    changed = [r["shard"] for r in affected(plan).collect()]
+    if not changed:
+        return []
+    emptied = set(changed) - {r["shard"] for r in plan.select("shard").distinct().collect()}  # asked now: the plan may read what is overwritten
+    columns = [c for c in docs.columns if c not in ("shard", "slot")]
+    known = ["doc_id", "text_crc32", "size", "old_shard"]
+    row = F.struct(*columns).alias("_row")
+    rows = sized(docs, F.lit(None) if old_shard is None else old_shard, row).select(*known, F.lit(None).cast("struct<shard:int,slot:bigint>").alias("_place"), "_row")
+    old = (F.lit(None) if old_shard is None else F.col("old_shard")).cast("int").alias("old_shard")
+    place = F.struct(F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"))
+    todo = plan.filter(F.col("shard").isin(changed)).select(*known[:3], old, place, F.lit(None).cast(rows.schema["_row"].dataType))
+    # dealt by the keys once: both windows are over them and something more, so the texts aren't shuffled again
+    both = rows.union(todo).repartition(*known).withColumn("_todo", F.col("_place").isNotNull())
+    copy = F.row_number().over(Window.partitionBy(*known, "_todo").orderBy("_place", F.xxhash64("_row")))
+    at = F.max("_place").over(Window.partitionBy(*known, "_copy"))
+    placed = both.withColumn("_copy", copy).withColumn("_at", at).filter("not _todo and _at is not null")
+    out = placed.select("_at.shard", "_at.slot", *[F.col("_row")[c].alias(c) for c in columns])
+    dealt = out.repartition("shard", F.expr(f"slot div {FILE_ROWS}")).sortWithinPartitions("shard", "slot")
+    dealt.write.partitionBy("shard").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    jvm, conf = plan.sparkSession.sparkContext._jvm, plan.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    for shard in emptied:
+        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/shard={shard}")
+        folder.getFileSystem(conf).delete(folder, True)
+    return changed
+
+
+def resharded(docs: DataFrame, old_shard: Column, n_old: int, n_new: int, capacities: list[int] | None = None) -> DataFrame:
+    """The digest of the layout after the affected shards were written: their rows as read from the new files, the others' from the plan."""
+    spark = docs.sparkSession
+    plan = written(reshard(docs, old_shard, n_old, n_new, capacities), "reshard-plan")
+    path = f"{shared_dir(spark).rstrip('/')}/textloom/shards-{uuid.uuid4().hex}"
+    changed = rewrite(plan, docs, path, old_shard)
+    if not changed:
+        return digest(plan)
+    fields = [f for f in docs.schema.fields if f.name not in ("shard", "slot")]
+    files = spark.read.schema(T.StructType([*fields, T.StructField("slot", T.LongType()), T.StructField("shard", T.IntegerType())])).parquet(path)
+    return digest(sized(files, old_shard, "shard", "slot")).union(digest(plan.filter(~F.col("shard").isin(changed))))
 
 
 def old_layout() -> Column:
@@ -157,4 +191,4 @@ def digest(plan: DataFrame) -> DataFrame:
 
 def op8_min_cost_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return digest(reshard(docs, old_layout(), OLD_SHARDS, NEW_SHARDS))
+    return resharded(docs, old_layout(), OLD_SHARDS, NEW_SHARDS)
