@@ -4,9 +4,10 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from textloom.llm import sharding
+from textloom.llm import sharding, simhash
 
 from .cases import frame, odd_rows
+from .test_documents import linked, simhash_of
 
 
 def test_reshard_writes(spark, monkeypatch):
@@ -33,3 +34,19 @@ def test_rewrite_live_layout(spark, tmp_path):
     assert sorted(sharding.rewrite(plan, docs, path, F.col("shard"))) == [1, 3]
     now = spark.read.parquet(path)
     assert sorted((r["doc_id"], r["text"], r["shard"]) for r in now.collect()) == [(i, t, 1 if s == 3 else s) for i, t, s in rows]
+
+
+def test_one_of_each_row(spark):
+    """Null and repeated ids: each group keeps one row, the first by id with nulls last."""
+    near = odd_rows()[5][1].split()
+    data = odd_rows() + [(None, " ".join(near), None, None, None, None, None, None), (7, "a clean text that shares the id of another row", "en", "s1", 1, 1, "k", "s")]
+    data += [(None, odd_rows()[2][1] + " ", "en", "s1", 1, 1, "k", "s")] * 2 + [(None, "only rows without an id", "en", "s1", 1, 1, "k", "s"), (None, "only  rows without an id", "en", "s1", 1, 1, "k", "s")]
+    groups = {}
+    for d, r in zip(data, linked([simhash_of(d[1]) for d in data])):
+        groups.setdefault(r, []).append(d)
+    want = Counter(min((d[0] is None, d[0] or 0) for d in g) for g in groups.values())
+    kept = simhash.one_of_each(frame(spark, data))
+    assert kept.columns == frame(spark, data).columns
+    found = kept.collect()
+    assert Counter((r["doc_id"] is None, r["doc_id"] or 0) for r in found) == want
+    assert len({simhash_of(r["text"]) for r in found}) == len(found) == len(groups)

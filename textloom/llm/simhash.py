@@ -217,19 +217,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents that stay: of each group the one with the smallest doc_id; all columns.
+    """The rows that stay: of each group the first by doc_id (nulls last), hash of the text and number; all columns.
 
-    Rows that repeat a doc_id are one document.  Rows without an id can't name a group and
-    stay, but for exact copies of each other's text.
+    Where ids repeat or are null, rows are numbered and groups are made of the numbers, so each group keeps one row and no other group loses one.
     """
-    found = written(near_duplicates(docs), "groups")
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
-    rows, known, ids = found.agg(F.count("*"), F.count("doc_id"), F.countDistinct("doc_id")).first()
-    if known > ids or rows > known:
-        named, unnamed = kept.filter("doc_id is not null"), kept.filter("doc_id is null")
-        kept = named.dropDuplicates(["doc_id"]).union(unnamed.dropDuplicates(["text"]))
-    return kept
+    rows, ids = docs.agg(F.count("*"), F.countDistinct("doc_id")).first()
+    if rows == ids:
+        found = written(near_duplicates(docs), "groups")
+        gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
+        return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    numbered = written(docs.withColumn("_number", F.monotonically_increasing_id()), "numbered")
+    found = near_duplicates(numbered.select(F.col("_number").alias("doc_id"), "text")).select(F.col("doc_id").alias("_of"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.xxhash64("text").alias("c"), F.col("_number").alias("d"))
+    named = numbered.select("_number", order.alias("order")).join(found, F.col("_number") == F.col("_of"))
+    first = written(named.groupBy("component_id").agg(F.min("order").alias("least")).select(F.col("least.d").alias("_first")), "first-of-each")
+    return numbered.join(first, F.col("_number") == F.col("_first"), "left_semi").drop("_number")
 
 
 def op5_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
