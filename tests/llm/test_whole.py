@@ -4,7 +4,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from textloom.llm import sharding, simhash
+from textloom.llm import line_dedup, sharding, simhash
 
 from .cases import frame, odd_rows
 from .test_documents import linked, simhash_of
@@ -50,3 +50,15 @@ def test_one_of_each_row(spark):
     found = kept.collect()
     assert Counter((r["doc_id"] is None, r["doc_id"] or 0) for r in found) == want
     assert len({simhash_of(r["text"]) for r in found}) == len(found) == len(groups)
+
+
+def test_lines_of_rows_without_own_ids(spark):
+    """Equal lines at one place of rows that share an id, or have none, are duplicates; other lines stay."""
+    texts = ["the same first line\nred green blue", "the same first line\none two three", "a b c d\nsun moon star", "a b c d\nfire water earth"]
+    data = [(i, t, "en", "s", 1, 1, "k", "s") for i, t in zip((None, None, 5, 5), texts)]
+    counts = line_dedup.line_counts(frame(spark, data))
+    assert counts.columns == ["doc_id", "n_lines", "n_exact", "n_similar"]
+    assert Counter(tuple(r) for r in counts.collect()) == Counter([(None, 2, 0, 0), (None, 2, 1, 0), (5, 2, 0, 0), (5, 2, 1, 0)])
+    kept = line_dedup.dedup_lines(frame(spark, data))
+    assert kept.columns == frame(spark, data).columns
+    assert Counter(x for r in kept.collect() for x in r["text"].split("\n")) == Counter({x: 1 for t in texts for x in t.split("\n")})
