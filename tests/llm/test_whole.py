@@ -62,3 +62,9 @@ def test_lines_of_rows_without_own_ids(spark):
     kept = line_dedup.dedup_lines(frame(spark, data))
     assert kept.columns == frame(spark, data).columns
     assert Counter(x for r in kept.collect() for x in r["text"].split("\n")) == Counter({x: 1 for t in texts for x in t.split("\n")})
+
+
+def test_sql_is_text():
+    import __spark_entry__
+
+    assert all(isinstance(sql, str) for sql in __spark_entry__.oracle_sql().values())

@@ -28,7 +28,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op2_line_set_join": OP2_SQL,
-    "op9_compression_toxicity": op9_compression_toxicity,
     "op4_revisit_asof": OP4_SQL,
     "op10_source_mix": OP10_SQL,
 }
