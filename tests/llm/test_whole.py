@@ -4,7 +4,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from textloom.llm import line_dedup, sharding, simhash
+from textloom.llm import line_dedup, sharding, simhash, toxicity
 
 from .cases import frame, odd_rows
 from .test_documents import linked, simhash_of
@@ -68,3 +68,11 @@ def test_sql_is_text():
     import __spark_entry__
 
     assert all(isinstance(sql, str) for sql in __spark_entry__.oracle_sql().values())
+
+
+def test_ordinary_windows(monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "_content", lambda samples, most: seen.append(len(samples)) or b"")
+    monkeypatch.setattr(toxicity, "ORDINARY_WINDOWS", 7)
+    toxicity._dictionaries([b"word " * 600, b"other " * 600], [0, 1], 1)
+    assert seen[0] == 7

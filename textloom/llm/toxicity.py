@@ -35,6 +35,8 @@ WINDOW = 12
 THRESHOLD = 0.7
 NUMBERS = 11
 ORDINARY_BYTES, TOXIC_BYTES = 7500, 1600
+#: Most windows of ordinary rows, in shuffled order, that their dictionary is trained on.
+ORDINARY_WINDOWS = 20_000
 _EDGES = b".,!?;:\"()'"
 _FRAME = {
     "strategy": zstandard.STRATEGY_GREEDY, "min_match": 4, "window_log": 14, "hash_log": 16, "chain_log": 16,
@@ -148,7 +150,7 @@ def _dictionaries(texts: list[bytes], y: list[int], seed: int) -> Distance:
     random.Random(seed).shuffle(plain)
     found = [b" " + w for t, kind in zip(texts, y) if kind for w in t.translate(LOWER_ASCII).split() if w.startswith(stems)] if stems else []
     toxic = [b"".join(found[i:i + 4]) + b" " for i in range(0, len(found), 4)]
-    return Distance(_content(plain[:20000], ORDINARY_BYTES), _content(toxic, TOXIC_BYTES))
+    return Distance(_content(plain[:ORDINARY_WINDOWS], ORDINARY_BYTES), _content(toxic, TOXIC_BYTES))
 
 
 def fit(texts: list[bytes], y: list[int], seed: int = 7) -> Model:
