@@ -249,7 +249,26 @@ def test_line_dedup(spark):
     kept = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(frame(spark, data)).collect()}
     assert all(len([x for x in (kept[d] or "").split("\n") if WORD.search(x)]) == n - e - s for d, (n, e, s) in want.items())
     assert line_dedup.line_counts(empty(spark)).count() == 0
-    assert line_dedup.line_counts(frame(spark, odd_rows())).count() == len(odd_rows())
+
+
+@pytest.mark.parametrize("limit", [1000, 1])
+def test_line_dedup_odd_rows(spark, monkeypatch, limit):
+    """Null and repeated ids, repeated rows, long texts and odd blanks; a small limit sends lists through their first lines."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(line_dedup, "LONG_LIST", limit)
+    some = " ".join(f"v{i}" for i in range(90))
+    data = odd_rows() + [(900, some.replace(" ", "\t"), *[None] * 6), (901, some.replace("v3 ", "x "), *[None] * 6), (901, some + "\r\n\x0b\n" + some, *[None] * 6), (None, some + " end", *[None] * 6)]
+    docs = frame(spark, data)
+    hashes = [r[0] for r in spark.createDataFrame([(i, d[1]) for i, d in enumerate(data)], "i long, t string").orderBy("i").select(F.xxhash64("t")).collect()]
+    ordered = sorted(zip(data, hashes), key=lambda x: (x[0][0] is None, x[0][0] or 0, x[1]))
+    counts = similar_lines([(i, d[1]) for i, (d, _) in enumerate(ordered)])
+    want = Counter((d[0], *counts[i]) for i, (d, _) in enumerate(ordered))
+    assert Counter(tuple(r) for r in line_dedup.line_counts(docs).collect()) == want
+    kept = line_dedup.dedup_lines(docs)
+    assert kept.columns == docs.columns
+    left = Counter((r["doc_id"], len([x for x in (r["text"] or "").split("\n") if WORD.search(x)])) for r in kept.collect())
+    assert left == Counter((d[0], counts[i][0] - counts[i][1] - counts[i][2]) for i, (d, _) in enumerate(ordered))
 
 
 def least_moved(supply, capacity):
