@@ -25,7 +25,7 @@ from .common import prefix_sums, shared_dir, table, written
 
 OLD_SHARDS = 16
 NEW_SHARDS = 24
-#: Rows of a shard that are always written by one task, next to each other.
+#: Rows of an old shard of mean size that go to one task when shards are written.
 FILE_ROWS = 1 << 11
 
 
@@ -135,6 +135,8 @@ def affected(plan: DataFrame) -> DataFrame:
 def rewrite(plan: DataFrame, docs: DataFrame, path: str, old_shard: Column | None = None) -> list[int]:
     """Write the affected shards' documents under ``path`` as shard=<n> folders, each file in slot order; the affected shards.
 
+    The texts are dealt once, by old shard and a hash of the row: an old shard feeds few new ones, so a task writes few files, and the
+    slots of a shard are spread over its files (they are a column).
     Documents are matched to the plan by doc_id, text CRC, size, ``old_shard`` if given, and occurrence, so repeated rows keep
     their count.  Shards that aren't affected stay as they are under ``path``; an affected one that has no rows left goes.
     """
@@ -149,14 +151,15 @@ def rewrite(plan: DataFrame, docs: DataFrame, path: str, old_shard: Column | Non
     old = (F.lit(None) if old_shard is None else F.col("old_shard")).cast("int").alias("old_shard")
     place = F.struct(F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"))
     todo = plan.filter(F.col("shard").isin(changed)).select(*known[:3], old, place, F.lit(None).cast(rows.schema["_row"].dataType))
-    # dealt by the keys once: both windows are over them and something more, so the texts aren't shuffled again
-    both = rows.union(todo).repartition(*known).withColumn("_todo", F.col("_place").isNotNull())
-    copy = F.row_number().over(Window.partitionBy(*known, "_todo").orderBy("_place", F.xxhash64("_row")))
-    at = F.max("_place").over(Window.partitionBy(*known, "_copy"))
+    # dealt once: both windows are over these two and something more, so the texts aren't shuffled again
+    deals = 1 + plan.count() // (FILE_ROWS * max(1, plan.select("old_shard").distinct().count()))
+    salted = rows.union(todo).withColumn("_deal", F.pmod(F.xxhash64(*known), F.lit(deals)))
+    both = salted.repartition("old_shard", "_deal").withColumn("_todo", F.col("_place").isNotNull())
+    copy = F.row_number().over(Window.partitionBy("_deal", *known, "_todo").orderBy("_place", F.xxhash64("_row")))
+    at = F.max("_place").over(Window.partitionBy("_deal", *known, "_copy"))
     placed = both.withColumn("_copy", copy).withColumn("_at", at).filter("not _todo and _at is not null")
     out = placed.select("_at.shard", "_at.slot", *[F.col("_row")[c].alias(c) for c in columns])
-    dealt = out.repartition("shard", F.expr(f"slot div {FILE_ROWS}")).sortWithinPartitions("shard", "slot")
-    dealt.write.partitionBy("shard").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    out.sortWithinPartitions("shard", "slot").write.partitionBy("shard").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
     jvm, conf = plan.sparkSession.sparkContext._jvm, plan.sparkSession.sparkContext._jsc.hadoopConfiguration()
     for shard in emptied:
         folder = jvm.org.apache.hadoop.fs.Path(f"{path}/shard={shard}")
