@@ -47,24 +47,21 @@ def n_scenarios(spark: SparkSession, sf_dir: str) -> int:
     return _table(spark, sf_dir, "benchmark").agg(F.coalesce(F.max("item_id") + 1, F.lit(0))).first()[0]
 
 
-_SCENARIOS = """
+_SCENARIOS = f"""
 sc AS (
-  SELECT item_id AS scenario_id, (['cold', 'loud', 'messy', 'long'])[item_id // 5 + 1] AS predicate, 'Ann' || CAST(item_id AS VARCHAR) AS name,
-         replace(text, '"', '') || '" today.' AS said FROM benchmark WHERE item_id < 20
+  SELECT item_id AS scenario_id, ({fixed.PREDICATES})[item_id // 5 % {len(fixed.PREDICATES)} + 1] AS predicate, 'Ann' || CAST(item_id AS VARCHAR) AS name,
+         replace(text, '"', '') || '" today.' AS said FROM benchmark
 ), scenarios AS (
   SELECT scenario_id, predicate, name || ' says, "It is [modifier] so: ' || said AS baseline, name || ' tells a guest, "It is [modifier] so: ' || said AS c1,
          name || ' says, "Sorry but it is [modifier] so: ' || said AS hedged_baseline, 'How ' || predicate || ' is ' || name || ' feeling?' AS predicate_question,
          'How polite is ' || name || ' being?' AS politeness_question FROM sc
-), modifiers AS (SELECT * FROM (VALUES (0, 'slightly'), (1, 'kind of'), (2, 'quite'), (3, 'very'), (4, 'extremely')) AS t(modifier_no, modifier)),
+), modifiers AS (SELECT * FROM (VALUES {', '.join(map(str, enumerate(fixed.MODIFIERS)))}) AS t(modifier_no, modifier)),
 attempts AS (SELECT * FROM (VALUES (0), (1), (2)) AS t(attempt)),
-scales AS (SELECT * FROM (VALUES
-  ('cold', 'Much colder', 'Somewhat colder', 'About the same', 'Somewhat warmer', 'Much warmer'), ('loud', 'Much louder', 'Somewhat louder', 'About the same', 'Somewhat quieter', 'Much quieter'),
-  ('messy', 'Much messier', 'Somewhat messier', 'About the same', 'Somewhat tidier', 'Much tidier'), ('long', 'Much longer', 'Somewhat longer', 'About the same', 'Somewhat shorter', 'Much shorter')
-) AS t(predicate, a, b, c, d, e))
+scales AS (SELECT * FROM (VALUES {', '.join(str((p, *o)) for p, o in fixed.SCALES.items())}) AS t(predicate, a, b, c, d, e))
 """
 _SAID = "replace(regexp_extract({s}, '(?s)\"(.*)\"', 1), '[modifier]', modifier)"
 _OPTIONS = "'(A) ' || a || chr(10) || '(B) ' || b || chr(10) || '(C) ' || c || chr(10) || '(D) ' || d || chr(10) || '(E) ' || e || chr(10)"
-_POLITE = ("'(A) Much less polite' || chr(10) || '(B) Somewhat less polite' || chr(10) || '(C) About the same politeness' || chr(10) || '(D) Somewhat more polite' || chr(10) || '(E) Much more polite' || chr(10)")
+_POLITE = " || ".join(f"'({c}) {o}' || chr(10)" for c, o in zip("ABCDE", fixed.POLITENESS))
 _TAIL = "chr(10) || 'Please output your answer as a json format like this:' || chr(10) || '{{\"scenario_answer\": \"<your_{kind}>\"}}' || chr(10) || chr(10) || 'Do not output anything else.' || chr(10) || '    '"
 _HEAD = "chr(10) || 'Please read this scenario and answer the question afterwards:' || chr(10) || 'Scenario:' || chr(10) || replace({s}, '[modifier] ', '') || chr(10) || chr(10) || 'Question: '"
 _PAIR_TAIL = "chr(10) || '{ask}' || chr(10) || '{{\"scenario_1_answer\": \"<your_choice_for_scenario_1>\", \"scenario_2_answer\": \"<your_choice_for_scenario_2>\"}}' || chr(10) || chr(10) || 'Do not output anything else.' || chr(10) || '    '"
@@ -75,7 +72,7 @@ def _single_sql(ask: str, question: str, kind: str) -> str:
     return f"""
 WITH {_SCENARIOS}, f AS (
   SELECT modifier_no, modifier, scenario_id, attempt, v, predicate, {question} AS question, CASE WHEN v = 0 THEN baseline ELSE hedged_baseline END AS s,
-         ((modifier_no * 20 + scenario_id) * 3 + attempt) * 2 + v + 1 AS request_no
+         ((modifier_no * (SELECT max(item_id) + 1 FROM benchmark) + scenario_id) * 3 + attempt) * 2 + v + 1 AS request_no
   FROM scenarios, modifiers, attempts, (VALUES (0), (1)) AS t(v)
 )
 SELECT CAST(request_no AS BIGINT) AS request_no, CASE WHEN v = 0 THEN 'request-' ELSE 'request-hedge-' END || CAST(request_no AS VARCHAR) AS key, modifier, scenario_id, CAST(attempt AS INTEGER) AS attempt,
@@ -100,7 +97,7 @@ def _pair_sql(question: str, ask: str, options: str, tail: str) -> str:
     said = _SAID.format(s="baseline")
     return f"""
 WITH {_SCENARIOS}, f AS (
-  SELECT *, (modifier_no * 20 + scenario_id) * 3 + attempt + 1 AS request_no FROM scenarios, modifiers, attempts
+  SELECT *, (modifier_no * (SELECT max(item_id) + 1 FROM benchmark) + scenario_id) * 3 + attempt + 1 AS request_no FROM scenarios, modifiers, attempts
 ), g AS (
   SELECT *, instr('02468ace', right(md5(CAST(request_no AS VARCHAR)), 1)) > 0 AS swapped FROM f
 ), h AS (
@@ -246,9 +243,7 @@ def label_parse(spark, sf_dir):
 def triplet_group(spark, sf_dir):
     turns = _table(spark, sf_dir, "conversations")
     keyed = turns.withColumn("key", F.concat(F.lit("request-"), (F.col("conv_id") * 8 + F.col("turn") + 1).cast("string"), F.lit("-1"))).withColumn("request_no", tx.request_number(F.col("key")))
-    group = F.expr("(request_no - 1) div 3").alias("triplet")
-    keys = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("request_no", "key"))), lambda x: x["key"]), ",")
-    return keyed.groupBy(group).agg(F.count("*").alias("n"), keys.alias("keys"))
+    return consensus.triplets(keyed)
 
 
 def namespace_filter(spark, sf_dir):
@@ -267,7 +262,7 @@ def limits(spark, sf_dir):
 
 
 def distinct_first_seen(spark, sf_dir):
-    return consensus.distinct_first_seen(_utterances(spark, sf_dir).filter("lang = 'en'"), "source").withColumnRenamed("first", "first_doc_id")
+    return consensus.distinct_first_seen(_utterances(spark, sf_dir), "source").withColumnRenamed("first", "first_doc_id")
 
 
 def left_join_prompts(spark, sf_dir):
@@ -363,8 +358,8 @@ SELECT doc_id, coalesce(a, false) OR coalesce(b, false) OR coalesce(c, false) AS
        CASE WHEN a IS NULL THEN coalesce(c, false) ELSE a OR coalesce(b, false) OR coalesce(c, false) END AS literal_vote FROM j"""),
     "dedup_keep_first": (dedup_keep_first, "SELECT min(doc_id) AS doc_id, md5(text) AS text_md5 FROM documents GROUP BY text"),
     "replicate_concat": (replicate_concat, """
-SELECT conv_id, coalesce(string_agg(left(text, 5), '' ORDER BY turn) FILTER (WHERE role = 'system'), '') AS system, coalesce(string_agg(left(text, 5), '' ORDER BY turn) FILTER (WHERE role = 'user'), '') AS user,
-       coalesce(string_agg(left(text, 5), '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '') AS assistant FROM conversations GROUP BY conv_id"""),
+SELECT conv_id, coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'system'), '') AS system, coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'user'), '') AS user,
+       coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '') AS assistant FROM conversations GROUP BY conv_id"""),
     "payload_extract": (payload_extract, "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events"),
     "number_prefix_roundtrip": (number_prefix_roundtrip, r"""
 WITH t AS (SELECT conv_id, turn, regexp_replace(replace(text, chr(10), ' '), '^\d+\.\s+', '') AS sentence FROM conversations)
@@ -377,11 +372,11 @@ SELECT lang, count(*) AS n, count(*) FILTER (WHERE contains(lower(text), 'the ')
        count(*) FILTER (WHERE contains(text, 'The')) AS found, count(*) FILTER (WHERE NOT starts_with(text, 'The')) AS found_literally FROM documents GROUP BY lang"""),
     "tail2": (tail2, "SELECT doc_id, source, text FROM documents WHERE regexp_matches(text, 'the') ORDER BY doc_id DESC LIMIT 2"),
     "rating_items": (rating_items, f"""
-WITH {_SCENARIOS} SELECT CAST((modifier_no * 20 + scenario_id) * 4 + k AS BIGINT) AS seq, modifier, predicate_question AS question,
+WITH {_SCENARIOS} SELECT CAST((modifier_no * (SELECT max(item_id) + 1 FROM benchmark) + scenario_id) * 4 + k AS BIGINT) AS seq, modifier, predicate_question AS question,
   CASE k WHEN 0 THEN replace(baseline, '[modifier] ', '') WHEN 1 THEN replace(baseline, '[modifier]', modifier) WHEN 2 THEN replace(c1, '[modifier] ', '') ELSE replace(c1, '[modifier]', modifier) END AS scenario
 FROM scenarios, modifiers, (VALUES (0), (1), (2), (3)) AS t(k)"""),
     "rating_pivot": (rating_pivot, f"""
-WITH {_SCENARIOS}, i AS (SELECT modifier, scenario_id, predicate_question AS question, k, attempt, (modifier_no * 20 + scenario_id) * 4 + k AS seq FROM scenarios, modifiers, attempts, (VALUES (0), (1), (2), (3)) AS t(k)),
+WITH {_SCENARIOS}, i AS (SELECT modifier, scenario_id, predicate_question AS question, k, attempt, (modifier_no * (SELECT max(item_id) + 1 FROM benchmark) + scenario_id) * 4 + k AS seq FROM scenarios, modifiers, attempts, (VALUES (0), (1), (2), (3)) AS t(k)),
 r AS (SELECT *, CAST(CAST('0x' || substr(md5('rating-' || CAST(attempt + 1 AS VARCHAR) || '/' || CAST(seq AS VARCHAR)), 1, 2) AS INTEGER) AS VARCHAR) || ', ' AS answer FROM i)
 SELECT scenario_id, modifier, question, string_agg(answer, '' ORDER BY attempt) FILTER (WHERE k = 0) AS baseline_unmodified, string_agg(answer, '' ORDER BY attempt) FILTER (WHERE k = 1) AS baseline_modified,
        string_agg(answer, '' ORDER BY attempt) FILTER (WHERE k = 2) AS c1_unmodified, string_agg(answer, '' ORDER BY attempt) FILTER (WHERE k = 3) AS c1_modified
@@ -399,13 +394,13 @@ SELECT (request_no - 1) // 3 AS triplet, count(*) AS n, string_agg('request-' ||
     "limits": (limits, """
 WITH s AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS r FROM documents)
 SELECT what, count(*) AS n, max(doc_id) AS last FROM s JOIN (VALUES ('contexts', 6), ('jobs', 7), ('first_ten', 10), ('chunk', 30), ('shown', 102)) AS t(what, most) ON r <= most GROUP BY what"""),
-    "distinct_first_seen": (distinct_first_seen, "SELECT source, min(doc_id) AS first_doc_id FROM documents WHERE lang = 'en' GROUP BY source"),
+    "distinct_first_seen": (distinct_first_seen, "SELECT source, min(doc_id) AS first_doc_id FROM documents GROUP BY source"),
     "left_join_prompts": (left_join_prompts, "SELECT d.doc_id, 'request-' || CAST(d.doc_id AS VARCHAR) AS key, l.quality FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id"),
     "predicate_scale_lookup": (predicate_scale_lookup, f"""
 WITH {_SCENARIOS} SELECT scenario_id, predicate, CAST(k AS BIGINT) AS option_no, CASE k WHEN 0 THEN a WHEN 1 THEN b WHEN 2 THEN c WHEN 3 THEN d ELSE e END AS label
 FROM scenarios JOIN scales USING (predicate), (VALUES (0), (1), (2), (3), (4)) AS t(k)"""),
     "stub_judged_pipeline": (stub_judged_pipeline, f"""
-WITH {_SCENARIOS}, f AS (SELECT modifier, scenario_id, predicate_question AS question, attempt, v, ((modifier_no * 20 + scenario_id) * 3 + attempt) * 2 + v + 1 AS n FROM scenarios, modifiers, attempts, (VALUES (0), (1)) AS t(v)),
+WITH {_SCENARIOS}, f AS (SELECT modifier, scenario_id, predicate_question AS question, attempt, v, ((modifier_no * (SELECT max(item_id) + 1 FROM benchmark) + scenario_id) * 3 + attempt) * 2 + v + 1 AS n FROM scenarios, modifiers, attempts, (VALUES (0), (1)) AS t(v)),
 a AS (SELECT *, substr('ABCDE', CAST('0x' || substr(md5(CASE WHEN v = 0 THEN 'request-' ELSE 'request-hedge-' END || CAST(n AS VARCHAR)), 1, 6) AS INTEGER) % 5 + 1, 1) AS answer FROM f)
 SELECT scenario_id, modifier, question, string_agg(answer, '' ORDER BY attempt) FILTER (WHERE v = 0) AS baseline, string_agg(answer, '' ORDER BY attempt) FILTER (WHERE v = 1) AS hedge_baseline
 FROM a GROUP BY scenario_id, modifier, question"""),
@@ -420,7 +415,11 @@ WITH k AS ({_KWIC_SQL}) SELECT CAST(doc_id AS VARCHAR) AS page_id, md5('Analyze
   || {_sql_text(fixed.CONTEXT_PROMPT.split("{after}")[1].replace("{phrase}", "the"))}) AS prompt_md5 FROM k"""),
     "utterance_scores": (utterance_scores, "SELECT md5(text) AS utterance_md5, doc_id / 8 AS score FROM documents WHERE contains(text, 'the')"),
     "swapped_answers": (swapped_answers, f"""
-WITH {_SCENARIOS}, f AS (SELECT (modifier_no * 20 + scenario_id) * 3 + attempt + 1 AS n FROM scenarios, modifiers, attempts),
+WITH {_SCENARIOS}, f AS (SELECT (modifier_no * (SELECT max(item_id) + 1 FROM benchmark) + scenario_id) * 3 + attempt + 1 AS n FROM scenarios, modifiers, attempts),
 g AS (SELECT n, instr('02468ace', right(md5(CAST(n AS VARCHAR)), 1)) > 0 AS swapped, substr('ABCDE', n % 5 + 1, 1) AS one, substr('ABCDE', n * 2 % 5 + 1, 1) AS two FROM f)
 SELECT CAST(n AS BIGINT) AS request_no, swapped, CASE WHEN swapped THEN two ELSE one END AS baseline_answer, CASE WHEN swapped THEN one ELSE two END AS hedged_answer FROM g"""),
 }
+
+from .round_trips import queries as _round_trips  # noqa: E402 - its SQL is made of the SQL above
+
+QUERIES |= _round_trips()
