@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from ..functions import fixed
 
 
 def ordered_concat(order: str, value: Column, between: str = "", after: str = "") -> Column:
@@ -54,9 +55,11 @@ def consensus(wide: DataFrame, literal: bool = False) -> DataFrame:
 
 
 def keep_first(df: DataFrame, by: list[str], order: str = "seq") -> DataFrame:
-    """The first row of each group in order; nulls are one group."""
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(order))
-    return df.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
+    """The first row of each group in order; nulls are one group.  Groups are aggregated before they are shuffled, so a hot one is one row of each task.
+
+    ``order`` has no nulls.
+    """
+    return df.groupBy(*by).agg(F.min_by(F.struct(*df.columns), order).alias("_first")).select("_first.*")
 
 
 def distinct_first_seen(df: DataFrame, value: str, order: str = "seq") -> DataFrame:
@@ -68,3 +71,14 @@ def unswapped(answers: DataFrame) -> DataFrame:
     """The paired answers as if no pair had been swapped."""
     one, two, swapped = F.col("scenario_1_answer"), F.col("scenario_2_answer"), F.col("swapped")
     return answers.withColumns({"baseline_answer": F.when(swapped, two).otherwise(one), "hedged_answer": F.when(swapped, one).otherwise(two)})
+
+
+def triplets(keyed: DataFrame, size: int = fixed.JUDGES) -> DataFrame:
+    """(triplet, n, keys): requests of consecutive numbers, from 1, that ask the same of each judge; keys in order, joined by commas."""
+    keys = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("request_no", "key"))), lambda x: x["key"]), ",")
+    return keyed.groupBy(F.expr(f"(request_no - 1) div {size}").alias("triplet")).agg(F.count("*").alias("n"), keys.alias("keys"))
+
+
+def with_word(labelled: DataFrame, word: str, column: str = "modifier_word") -> DataFrame:
+    """The rows whose word is exactly this one; case counts, null doesn't match."""
+    return labelled.filter(F.col(column) == word)

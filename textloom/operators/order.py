@@ -12,10 +12,18 @@ from pyspark.sql.window import Window
 def _checkpointed(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="textloom-"))
     return df.checkpoint()
 
 
+def in_file_order(rows: DataFrame) -> DataFrame:
+    """Add ``place``, which orders the rows of a scan as they stand in the files: file name, start of the part of it, row in that part."""
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))
+    return rows.withColumn("place", at)
+
+
 def with_seq(df: DataFrame, *order: str, name: str = "seq", start: int = 0) -> DataFrame:
     """Add gapless row numbers in the given order (a total one, for results that don't change).
 

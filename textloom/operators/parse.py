@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,12 @@ from ..sources.schemas import RESPONSES
 STRICT = {"allowSingleQuotes": "false"}
 
 
+def one_object(text: Column, schema: str) -> Column:
+    """The text as one JSON object; null if it is anything else, such as an object and something after it."""
+    listed = F.from_json(F.concat(F.lit("["), text, F.lit("]")), f"array<{schema}>", STRICT)
+    return F.get(F.transform(F.array(listed), lambda a: F.when(F.size(a) == 1, F.get(a, F.lit(0)))), F.lit(0))
+
+
 def response_text(response: Column) -> Column:
     """candidates[0].content.parts[0].text, null where the path is missing."""
     return F.get(F.get(response["candidates"], F.lit(0))["content"]["parts"], F.lit(0))["text"]
@@ -27,7 +35,7 @@ def envelopes(lines: DataFrame) -> DataFrame:
 
 def answers(responses: DataFrame, fields: tuple[str, ...] = ("scenario_answer",)) -> DataFrame:
     """Add each field of the object in ``raw`` without parentheses, its typed form ``<field>_typed``, and parse_error."""
-    parsed = responses.drop("parse_error").withColumn("_o", F.from_json(object_part(F.col("raw")), ", ".join(f"{f} string" for f in fields), STRICT))
+    parsed = responses.drop("parse_error").withColumn("_o", one_object(object_part(F.col("raw")), f"struct<{', '.join(f'{f}: string' for f in fields)}>"))
     out = parsed
     for f in fields:
         out = out.withColumn(f, stripped_of(F.col("_o")[f], "()")).withColumn(f"{f}_typed", answer_letter(F.col(f)))
@@ -61,9 +69,19 @@ def labels(raw: Column, literal: bool = False) -> Column:
 
     Of repeated keys the last value counts, at the first one's place.  A value that isn't a pair makes the whole null.
     """
-    entries = F.map_entries(F.from_json(object_part(repaired(raw, literal)), "map<string,array<string>>", STRICT))
-    keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
-    values = F.transform(keys, lambda k: F.element_at(F.filter(entries, lambda e: e["key"] == k), -1)["value"])
-    whole = F.forall(values, lambda v: v.isNotNull() & (F.size(v) >= 2))
-    pairs = F.transform(values, lambda v: F.struct(truthy(F.get(v, F.lit(0))).alias("is_modifier"), F.get(v, F.lit(1)).alias("word")))
-    return F.when(whole, pairs)
+    def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+        """The body with the value as a lambda's variable, so that it is evaluated once however often the body uses it."""
+        return F.get(F.transform(F.array(value), body), F.lit(0))
+
+    def paired(values: Column) -> Column:
+        whole = F.forall(values, lambda v: v.isNotNull() & (F.size(v) >= 2))
+        return F.when(whole, F.transform(values, lambda v: F.struct(truthy(F.get(v, F.lit(0))).alias("is_modifier"), F.get(v, F.lit(1)).alias("word"))))
+
+    def valued(entries: Column, keys: Column) -> Column:
+        last = F.transform(keys, lambda k: F.element_at(F.filter(entries, lambda e: e["key"] == k), -1)["value"])
+        return F.when(F.size(keys) == F.size(entries), F.transform(entries, lambda e: e["value"])).otherwise(last)  # few payloads repeat a key
+
+    def of(entries: Column) -> Column:
+        return bound(F.array_distinct(F.transform(entries, lambda e: e["key"])), lambda keys: bound(valued(entries, keys), paired))
+
+    return bound(F.map_entries(one_object(object_part(repaired(raw, literal)), "map<string,array<string>>")), of)

@@ -73,8 +73,8 @@ def read_prompt_sentences(requests: DataFrame) -> DataFrame:
     return requests.select(request_number(F.col("key")).alias("request_no"), F.posexplode(numbered_lines(F.col("prompt"))).alias("place", "sentence"))
 
 
-def talk_page_contexts(pages: DataFrame, phrase: str, around: int = 3, most: int | None = 6, order: str = "page_id") -> DataFrame:
-    """Contexts of a phrase in talk pages; the first ``most`` in order, as the study stops after six."""
+def talk_page_contexts(pages: DataFrame, phrase: str, around: int = 3, most: int | None = 6, order: str = "place") -> DataFrame:
+    """Contexts of a phrase in talk pages; the first ``most`` in order, by default that of the files, as the study stops after six."""
     found = context.keyword_in_context(pages, phrase, around)
     return found.orderBy(order).limit(most) if most else found
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.text import stripped
+from ..operators.order import in_file_order, with_seq
 from . import schemas
 
 
@@ -31,8 +32,8 @@ def slider_settings(scenario_rows: DataFrame) -> DataFrame:
 
 
 def utterances(spark: SparkSession, path: str) -> DataFrame:
-    """A corpus as JSON lines: id, text, meta; ``seq`` grows with file order (it may have gaps)."""
-    return spark.read.schema(schemas.UTTERANCES).json(path).withColumn("seq", F.monotonically_increasing_id())
+    """A corpus as JSON lines: id, text, meta and the gapless ``seq``, from 0 in the order of file names and lines, as chunks need it."""
+    return with_seq(in_file_order(spark.read.schema(schemas.UTTERANCES).json(path)), "place").drop("place")
 
 
 def score(meta: str = "meta", name: str = "Normalized Score"):
@@ -40,25 +41,26 @@ def score(meta: str = "meta", name: str = "Normalized Score"):
 
 
 def wiki_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Pages of an XML dump (also .bz2); the first revision counts, missing elements are null."""
-    return spark.read.format("xml").option("rowTag", "page").schema(schemas.PAGES).load(path)
+    """Pages of an XML dump (also .bz2) with their ``place``; the first revision counts, missing elements are null, white space stays."""
+    return in_file_order(spark.read.format("xml").option("rowTag", "page").option("ignoreSurroundingSpaces", False).schema(schemas.PAGES).load(path))
 
 
 def talk_pages(pages: DataFrame, namespace: str = "3", max_pages: int | None = None) -> DataFrame:
     """page_id, title, timestamp, last_editor, text of the namespace's pages that have a revision.
 
-    ``max_pages`` (none or 0: all) counts pages of the namespace before those without a revision go.
+    ``max_pages`` (none or 0: all) takes the first pages of the namespace by ``place``, before those without a revision go.
     """
     rows = pages.filter(F.col("ns") == namespace)
-    rows = rows.limit(max_pages) if max_pages else rows
+    rows = rows.orderBy("place").limit(max_pages) if max_pages else rows
     first = F.get("revision", F.lit(0))
     return rows.filter(first.isNotNull()).select(
         F.col("id").alias("page_id"), "title", first["timestamp"].alias("timestamp"), first["contributor"]["username"].alias("last_editor"), first["text"]["_VALUE"].alias("text"))
 
 
-def talk_page_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Talk pages as JSON lines (also .bz2); a malformed line fails the query."""
-    return spark.read.schema(schemas.TALK_PAGES).option("mode", "FAILFAST").json(path)
+def talk_page_lines(spark: SparkSession, path: str, placed: bool = False) -> DataFrame:
+    """Talk pages as JSON lines (also .bz2), with their ``place`` in the files if asked for; a malformed line fails the query."""
+    rows = spark.read.schema(schemas.TALK_PAGES).option("mode", "FAILFAST").json(path)
+    return in_file_order(rows) if placed else rows
 
 
 def typed_talk_pages(rows: DataFrame) -> DataFrame:

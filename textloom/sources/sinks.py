@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from . import schemas
+
 
 def write_csv(df: DataFrame, path: str, one_file: bool = False) -> None:
     """With header, doubled quotes and UTF-8; ``one_file`` is for small results."""
@@ -12,6 +14,13 @@ def write_csv(df: DataFrame, path: str, one_file: bool = False) -> None:
     out.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
+def write_scenarios(rows: DataFrame, path: str) -> None:
+    """A scenario table in the file's own form, ordered by ``scenario_id``: one file, CRLF line ends, in cells too."""
+    ordered = rows.repartition(1).sortWithinPartitions("scenario_id")
+    cells = [F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in schemas.SCENARIOS.names]
+    ordered.select(*cells).write.mode("overwrite").option("header", True).option("escape", '"').option("lineSep", "\r\n").csv(path)
+
+
 def envelope(key: Column, prompt: Column) -> Column:
     """{key, request: {contents: [{parts: [{text}]}]}}."""
     part = F.array(F.struct(prompt.alias("text")))
