@@ -60,6 +60,24 @@ def test_repetition(spark):
     assert repetition.repetition(empty(spark)).count() == 0
 
 
+def test_repetition_of_equal_hashes():
+    """Different spans whose rolling hashes agree modulo 2**64 (a Thue-Morse word and its complement), as lines and as words, and long equal lines."""
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    spaced, filler = " ".join(word) + " " + " ".join(other), " ".join(f"w{i}" for i in range(60))
+    texts = [f"{word}\n{other}", f"{word} x y {other} x y {word} x y", f"{word}\n{other}\n{word}", spaced, f"{spaced}\n{filler}\n{spaced}", "z" * 9000 + "\n" + "z" * 9000 + "\n" + "z" * 9001, "", "x"]
+    powers = repetition.Powers()
+    spans = np.frombuffer((word + other).encode(), np.uint8)
+    hashes = repetition.span_hashes(spans, np.array([0, 1024]), np.array([1024, 2048]), powers)
+    assert hashes[0] == hashes[1]
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    for group in (texts, *[[t] for t in texts]):
+        found = repetition.measure([t.encode() for t in group], powers)
+        assert [tuple(found[c][i] for c in names) for i in range(len(group))] == [base_counts(t) for t in group]
+
+
 def simhash_of(text):
     ws = WORD.findall((text or "").translate(LOWER))
     shingles = [" ".join(ws[i:i + 3]) for i in range(len(ws) - 2)] or ([" ".join(ws)] if ws else [])

@@ -11,7 +11,7 @@ gives an empty result; other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +26,8 @@ LIMITS = {5: 0.25, 6: 0.24, 7: 0.23, 8: 0.22, 9: 0.21, 10: 0.20}
 LINE_LIMIT = 0.30
 SYMBOLS = b"#*$%&|<>"
 PIECE_BYTES = 1 << 20
+#: Spans of more bytes are compared one by one, shorter ones all at once.
+LONG_SPAN = 1 << 12
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 WORD_BASE = np.uint64(0xD6E8FEB86659FD93 | 1)
@@ -73,12 +75,29 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers:
     return mixed((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
-def repeated(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Masks: the key occurs twice or more; an equal key stands before it."""
+def same_bytes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether spans a[k] and b[k] are the same bytes, for all k."""
+    sizes = ends[a] - starts[a]
+    if (sizes != ends[b] - starts[b]).any():
+        return False
+    for k in np.flatnonzero(sizes > LONG_SPAN):
+        if not np.array_equal(data[starts[a[k]]: ends[a[k]]], data[starts[b[k]]: ends[b[k]]]):
+            return False
+    few = np.flatnonzero(sizes <= LONG_SPAN)
+    whole = np.cumsum(sizes[few])
+    for part in np.split(few, np.searchsorted(whole, np.arange(PIECE_BYTES, whole[-1], PIECE_BYTES))) if len(few) else []:
+        n = sizes[part]
+        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        if (data[np.repeat(starts[a[part]], n) + inside] != data[np.repeat(starts[b[part]], n) + inside]).any():
+            return False
+    return True
+
+
+def equal_neighbours(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each key that stood before, its place and the place before it that has the same key."""
     n = len(keys)
-    twice, later = np.zeros(n, bool), np.zeros(n, bool)
     if n < 2:
-        return twice, later
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     low = np.uint64((1 << int(n - 1).bit_length()) - 1)
     packed = np.sort((keys & ~low) | np.arange(n, dtype=np.uint64))
     same = (packed[1:] ^ packed[:-1]) <= low
@@ -86,12 +105,30 @@ def repeated(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     run[1:] |= same
     run[:-1] |= same
     at = np.sort((packed[run] & low).astype(np.int64))
-    if len(at):
-        at = at[np.argsort(keys[at], kind="stable")]
-        again = keys[at][1:] == keys[at][:-1]
-        later[at[1:][again]] = True
-        twice[at[1:][again]] = True
-        twice[at[:-1][again]] = True
+    at = at[np.argsort(keys[at], kind="stable")]
+    again = keys[at][1:] == keys[at][:-1]
+    return at[1:][again], at[:-1][again]
+
+
+def exact_ids(things: Iterable) -> np.ndarray:
+    """A number for each distinct thing, spread over 64 bits."""
+    known: dict = {}
+    return mixed(np.array([known.setdefault(x, len(known)) for x in things], np.uint64))
+
+
+def repeated(keys: np.ndarray, equal: Callable[[np.ndarray, np.ndarray], bool], things: Callable[[], Iterable]) -> tuple[np.ndarray, np.ndarray]:
+    """Masks: the thing occurs twice or more; an equal one stands before it.
+
+    ``keys`` are hashes of the things.  ``equal`` compares the things themselves wherever hashes agree; if any two differ,
+    ``things`` gives all of them, and they are numbered instead of hashed.
+    """
+    later_at, before = equal_neighbours(keys)
+    if len(later_at) and not equal(later_at, before):
+        later_at, before = equal_neighbours(exact_ids(things()))
+    twice, later = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
+    later[later_at] = True
+    twice[later_at] = True
+    twice[before] = True
     return twice, later
 
 
@@ -120,12 +157,18 @@ def measure(texts: list[bytes], powers: Powers) -> dict[str, np.ndarray]:
     line_chars = chars[line_end] - chars[line_start]
     salt = mixed(np.arange(1, n_texts + 1, dtype=np.uint64))
     some = np.flatnonzero(line_chars)
-    _, later = repeated(mixed(span_hashes(data, line_start[some], line_end[some], powers) ^ salt[line_doc[some]]))
+    at, to, of = line_start[some], line_end[some], line_doc[some]
+    _, later = repeated(
+        mixed(span_hashes(data, at, to, powers) ^ salt[of]),
+        lambda a, b: bool((of[a] == of[b]).all()) and same_bytes(data, at, to, a, b),
+        lambda: ((d, data[i:j].tobytes()) for d, i, j in zip(of.tolist(), at, to)))
     n_dup_lines = np.bincount(line_doc[some], later, n_texts).astype(np.int64)
     dup_line_chars = np.bincount(line_doc[some], later * line_chars[some], n_texts)
 
     size = chars[ends] - chars[starts]
     word = span_hashes(data, starts, ends, powers)
+    if not same_bytes(data, starts, ends, *equal_neighbours(word)):
+        word = exact_ids(data[i:j].tobytes() for i, j in zip(starts, ends))
     rolled, cover, n = word.copy(), {}, 1
     with np.errstate(over="ignore"):
         for n in range(2, max(LIMITS) + 1):
@@ -133,7 +176,10 @@ def measure(texts: list[bytes], powers: Powers) -> dict[str, np.ndarray]:
             if n != 3 and n not in LIMITS:
                 continue
             inside = np.flatnonzero(doc[: len(rolled)] == doc[n - 1:]) if len(rolled) else np.zeros(0, np.int64)
-            twice, later = repeated(mixed(rolled[inside] ^ salt[doc[inside]]))
+            twice, later = repeated(
+                mixed(rolled[inside] ^ salt[doc[inside]]),
+                lambda a, b: bool((doc[inside[a]] == doc[inside[b]]).all()) and all((word[inside[a] + k] == word[inside[b] + k]).all() for k in range(n)),  # noqa: B023
+                lambda: ((doc[i], *word[i: i + n].tolist()) for i in inside))  # noqa: B023
             at = inside[twice if n == 3 else later]
             step = np.bincount(at, minlength=len(word) + 1) - np.bincount(at + n, minlength=len(word) + 1)
             covered = np.cumsum(step)[:-1] > 0
