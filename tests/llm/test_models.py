@@ -96,6 +96,73 @@ def test_decontaminate(spark):
     assert decontaminate.contaminated(spark.createDataFrame([], DDL), decontaminate.benchmark_items(bench)).count() == 0
 
 
+def brute_matches(text, items, n_chunks, average, df):
+    """Every passage against every chunk, then each found item verified around its passages."""
+    ws, out = decontaminate.words(text), []
+    last = max(0, -(-len(ws) // 64) - 2)
+    for item, q, a in items:
+        q, a = decontaminate.words(q), decontaminate.words(a)
+        whole, starts, best = q + a, [], 0.0
+        for s in range(0, 64 * last + 1, 64):
+            passage = set(ws[s:s + 128])
+            for c in range(0, len(whole), 64):
+                tf = Counter(whole[c:c + 64])
+                size = sum(tf.values())
+                part = {w: np.log(1 + (n_chunks - df[w] + 0.5) / (df[w] + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * size / average)) for w, f in tf.items()}
+                score = sum(v for w, v in part.items() if w in passage) / sum(part.values())
+                if score >= 0.6 - 1e-9:
+                    starts.append(s)
+                    best = max(best, score)
+        places = []
+        for s in sorted(set(starts)):
+            if places and s - len(whole) <= places[-1][1]:
+                places[-1][1] = s + 128 + len(whole)
+            else:
+                places.append([max(0, s - len(whole)), s + 128 + len(whole)])
+        for i, j in places:
+            near = ws[i:j]
+            n = min(5, len(q))
+            grams = {tuple(q[k:k + n]) for k in range(len(q) - n + 1)} if q else set()
+            there = {tuple(near[k:k + n]) for k in range(len(near) - n + 1)}
+            if (not q or len(grams & there) >= 0.8 * len(grams)) and (not a or len(set(a) & set(near)) >= 0.8 * len(set(a))):
+                out.append((item, round(best, 9), len(set(starts)), min(starts)))
+                break
+    return out
+
+
+def test_contaminated_is_exhaustive(spark, monkeypatch):
+    """The whole result against brute force: parts of items, answers far from their questions, null and repeated ids, long texts, several indexes."""
+    rng = random.Random(12)
+    texts = [(i % 17 if i else None, prose(rng, rng.randint(2, 150)).capitalize() + ". " + prose(rng, rng.randint(1, 8)) + ".") for i in range(25)]
+    docs = odd_rows()
+    for i in range(70):
+        words = prose(rng, rng.randint(0, 300)).split()
+        q, a = decontaminate.split_item(texts[rng.randrange(25)][1])
+        at = rng.randint(0, len(words))
+        if i % 4 == 0:
+            words[at:at] = (q + " " + a).split()
+        elif i % 4 == 1:
+            words = q.split() + words * 2 + prose(rng, 700).split() + a.split()  # the answer isn't where the question is
+        elif i % 4 == 2:
+            words[at:at] = q.split()[: rng.randint(1, 150)]
+        docs.append((1000 + i // 2, " ".join(words), "en", "s", 1, 1, "k", "s"))
+    docs.append((3000, prose(rng, 20_000) + " " + texts[3][1] + " " + prose(rng, 9_000), "en", "s", 1, 1, "k", "s"))
+    docs += [(3001, texts[0][1], "en", "s", 1, 1, "k", "s"), (None, texts[0][1], None, None, None, None, None, None)]
+    split = [(i, *decontaminate.split_item(t)) for i, t in texts]
+    tokens = [decontaminate.words(q) + decontaminate.words(a) for _, q, a in split]
+    chunks = [t[s:s + 64] for t in tokens for s in range(0, len(t), 64)]
+    df = Counter(w for c in chunks for w in set(c))
+    want = Counter((d[0], *m) for d in docs for m in brute_matches(d[1], split, len(chunks), sum(map(len, tokens)) / len(chunks), df))
+    bench = decontaminate.benchmark_items(spark.createDataFrame(texts, "item_id long, text string"))
+    whole = decontaminate.indexes
+    for limit in (decontaminate.INDEX_BYTES, 2000):
+        monkeypatch.setattr(decontaminate, "indexes", lambda items, limit=limit: whole(items, limit))
+        found = decontaminate.contaminated(frame(spark, docs), bench).collect()
+        assert Counter((r["doc_id"], r["item_id"], round(r["score"], 9), r["n_passages"], r["first_word"]) for r in found) == want
+        assert decontaminate.clean(frame(spark, docs), bench).count() == sum(not brute_matches(d[1], split, len(chunks), sum(map(len, tokens)) / len(chunks), df) for d in docs)
+    assert any(k[1] is None for k in want) and len(want) > 15
+
+
 def test_search_is_exhaustive():
     """Pruned retrieval finds what scoring every passage against every chunk finds."""
     rng = random.Random(2)

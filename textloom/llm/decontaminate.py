@@ -4,11 +4,11 @@ Items are cut into chunks of at most ``CHUNK`` words and indexed.  A document's
 passages are ``2 * CHUNK`` words with half overlap, so a copied chunk lies whole in
 one of them.  A chunk's score is the BM25 of the shared words over the chunk's
 BM25 with itself, between 0 and 1; all chunks at ``THRESHOLD`` or more are retrieved.
-A retrieved item is verified: of its five-word shingles and of its answer's words
-a share of ``OVERLAP`` must stand in the document.
+A retrieved item is verified where it was found, in the passages that retrieved it and as many words around them as the item has:
+of its question's five-word shingles and of its answer's words a share of ``OVERLAP`` each must stand together in one such place.
 
 Defined results: a null or empty text or item matches nothing; an item without a question or an answer
-is verified by what it has; repeated documents give a row each, repeated item ids are one item each; empty tables
+is verified by what it has; repeated documents give a row each, null ids stay null, repeated or null item ids are one item each; empty tables
 give an empty result; other columns are ignored, whatever their names.
 """
 
@@ -38,6 +38,8 @@ BLOCK = 8
 WIDE = 32
 #: Bytes of item texts in one index; more items make more indexes, each broadcast by itself.
 INDEX_BYTES = 4 << 20
+#: Indexes that one pass over the documents asks, all held in a worker's memory (about ten bytes for each byte of their items).
+PASS_INDEXES = 8
 PIECE_BYTES = 1 << 19
 _BARE = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -56,7 +58,7 @@ def split_item(text: str | None) -> tuple[str, str]:
 class Index:
     """Posting lists in blocks over item chunks; impacts are shares of a chunk's score with itself."""
 
-    def __init__(self, items: list[tuple[int, str, str]], n: int, average: float, df: dict[bytes, int]):
+    def __init__(self, items: list[tuple[int | None, str, str]], n: int, average: float, df: dict[bytes, int]):
         self.items = [(i, words(q), words(a)) for i, q, a in items]
         chunks = []
         for k, (_, q, a) in enumerate(self.items):
@@ -91,15 +93,13 @@ class Index:
         self.cols = np.array([b for m in narrow for b in m], np.int64)
         self.maxima = np.array([v for m in narrow for v in m.values()])
 
-    def search(self, terms: list[int], least: float, start: int = 0, end: int | None = None) -> list[tuple[int, float]]:
-        """All (chunk, score) of chunks from ``start`` to ``end`` with a score of ``least`` or more, for distinct terms."""
-        end = len(self.of) if end is None else end
+    def search(self, terms: list[int], least: float, live: list[int] | None = None) -> list[tuple[int, float]]:
+        """All (chunk, score) of chunks with a score of ``least`` or more, for distinct terms.
+
+        ``live`` are the blocks, in order, that can hold such chunks, where their bounds have been added up already; the pivot jumps to the next of them.
+        """
         docs, slack, found = self.docs, least - 1e-9, []
-        heads = []
-        for t in terms:
-            p = bisect_left(docs[t], start)
-            if p < len(docs[t]) and docs[t][p] < end:
-                heads.append((docs[t][p], t, p))
+        heads = [(docs[t][0], t, 0) for t in terms]
         while heads:
             heads.sort()
             bound, pivot = 0.0, -1
@@ -113,8 +113,14 @@ class Index:
             at = heads[pivot][0]
             while pivot + 1 < len(heads) and heads[pivot + 1][0] == at:
                 pivot += 1
-            block = at // BLOCK
-            if sum(self.block_max[t].get(block, 0.0) for _, t, _ in heads[: pivot + 1]) >= slack:
+            block, goal = at // BLOCK, None
+            if live is not None:
+                k = bisect_left(live, block)
+                if k == len(live):
+                    break
+                if live[k] != block:  # no chunk before the next live block can reach the threshold, with any lists
+                    goal, pivot = live[k] * BLOCK, len(heads) - 1
+            if goal is None and sum(self.block_max[t].get(block, 0.0) for _, t, _ in heads[: pivot + 1]) >= slack:
                 goal, score = at + 1, 0.0
                 for _, t, p in heads[: pivot + 1]:
                     p = bisect_left(docs[t], at, p)
@@ -122,7 +128,7 @@ class Index:
                         score += self.impacts[t][p]
                 if score >= slack:
                     found.append((at, score))
-            else:  # no chunk of the block can reach the threshold with these lists
+            elif goal is None:  # no chunk of the block can reach the threshold with these lists
                 goal = (block + 1) * BLOCK
                 if pivot + 1 < len(heads):
                     goal = max(at + 1, min(goal, heads[pivot + 1][0]))
@@ -130,7 +136,7 @@ class Index:
             for k, (c, t, p) in enumerate(heads):
                 if k <= pivot and c < goal:
                     p = bisect_left(docs[t], goal, p)
-                    if p == len(docs[t]) or docs[t][p] >= end:
+                    if p == len(docs[t]):
                         continue
                     c = docs[t][p]
                 moved.append((c, t, p))
@@ -138,10 +144,9 @@ class Index:
         return found
 
     def retrieve(self, texts: list[list[bytes]], least: float) -> list[dict[int, list]]:
-        """For each text's words {item: [score, passages, first word]} over all of its passages.
+        """For each text's words {item: [score, first words of the passages]} over all of its passages.
 
-        Passages and blocks whose block bounds add up to less than ``least`` go first, for all
-        passages at once; the others are searched.
+        The block bounds are added up for all passages at once; a passage with blocks that reach ``least`` is searched through these.
         """
         get, none = self.ids.get, len(self.ids)
         sizes = np.array([len(ws) for ws in texts], np.int64)
@@ -165,38 +170,58 @@ class Index:
         found: list[dict[int, list]] = [{} for _ in texts]
         cut = np.searchsorted(of, np.arange(total + 1))
         for starts, width, sums in ((pair, 2, bound[pair] + bound[pair + 1]), (alone, 1, bound[alone])):
-            for k, block in zip(*np.nonzero(sums >= least - 1e-6)):
+            row, block = np.nonzero(sums >= least - 1e-6)
+            edge = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else row
+            for k, live in zip(row[edge].tolist(), np.split(block, edge[1:])):
                 s = int(starts[k])
                 terms = np.unique(term[cut[s]:cut[s + width]]).tolist()
-                for chunk, score in self.search(terms, least, int(block) * BLOCK, (int(block) + 1) * BLOCK):
-                    seen = found[owner[s]].setdefault(self.of[chunk], [0.0, 0, int(s - segment0[owner[s]]) * CHUNK])
-                    seen[0], seen[1], seen[2] = max(seen[0], score), seen[1] + 1, min(seen[2], int(s - segment0[owner[s]]) * CHUNK)
+                for chunk, score in self.search(terms, least, live.tolist()):
+                    seen = found[owner[s]].setdefault(self.of[chunk], [0.0, set()])
+                    seen[0] = max(seen[0], score)
+                    seen[1].add(int(s - segment0[owner[s]]) * CHUNK)
         return found
 
-    def matches(self, texts: list[str | None], least: float = THRESHOLD, overlap: float = OVERLAP) -> list[list[tuple]]:
-        """For each text its verified items as (item, score, passages, first word, shingle share, answer share)."""
-        tokens = [words(t) for t in texts]
+    def matches(self, tokens: list[list[bytes]], least: float = THRESHOLD, overlap: float = OVERLAP) -> list[list[tuple]]:
+        """For each text's words its verified items as (item, score, passages, first word, question share, answer share)."""
         return [self._verified(ws, got, overlap) if got else [] for ws, got in zip(tokens, self.retrieve(tokens, least))]
 
     def _verified(self, ws: list[bytes], retrieved: dict[int, list], overlap: float) -> list[tuple]:
-        have = {tuple(ws[i:i + SHINGLE]) for i in range(len(ws))}  # the last ones are shorter
         out = []
-        for k, (score, n, first) in sorted(retrieved.items()):
+        for k, (score, starts) in sorted(retrieved.items()):
             item, q, a = self.items[k]
-            whole = q + a
-            if len(whole) < SHINGLE:
-                joined, inner = b" " + b" ".join(ws) + b" ", b" " + b" ".join(whole) + b" "
-                share = float(inner in joined)
-            else:
-                shingles = {tuple(whole[i:i + SHINGLE]) for i in range(len(whole) - SHINGLE + 1)}
-                share = len(shingles & have) / len(shingles)
-            answers = set(a)
-            answer = len(answers.intersection(ws)) / len(answers) if answers else 1.0
-            if share >= overlap and answer >= overlap:
-                out.append((item, score, n, first, share, answer))
+            shares = [(shingle_share(q, part), word_share(a, part)) for part in surroundings(ws, starts, len(q) + len(a))]
+            question, answer = max(shares, key=lambda s: (min(s), s))
+            if min(question, answer) >= overlap:
+                out.append((item, score, len(starts), min(starts), question, answer))
         return out
 
 
+def surroundings(ws: list[bytes], starts: set[int], around: int) -> Iterator[list[bytes]]:
+    """The passages that begin at ``starts`` with ``around`` words on either side, joined where they meet."""
+    begin = end = None
+    for s in sorted(starts):
+        if end is None or s - around > end:
+            if end is not None:
+                yield ws[begin:end]
+            begin = max(0, s - around)
+        end = s + 2 * CHUNK + around
+    yield ws[begin:end]
+
+
+def shingle_share(part: list[bytes], ws: list[bytes]) -> float:
+    """The share of the part's shingles that are in the words; a part shorter than one has to be in them whole, and an empty one is."""
+    if not part:
+        return 1.0
+    n = min(SHINGLE, len(part))
+    wanted = {tuple(part[i:i + n]) for i in range(len(part) - n + 1)}
+    return len(wanted.intersection(tuple(ws[i:i + n]) for i in range(len(ws) - n + 1))) / len(wanted)
+
+
+def word_share(part: list[bytes], ws: list[bytes]) -> float:
+    wanted = set(part)
+    return len(wanted.intersection(ws)) / len(wanted) if wanted else 1.0
+
+
 def indexes(items: DataFrame, limit: int = INDEX_BYTES) -> Iterator[Index]:
     """Indexes of about ``limit`` bytes of items each, under the statistics of all items.
 
@@ -226,26 +251,41 @@ def indexes(items: DataFrame, limit: int = INDEX_BYTES) -> Iterator[Index]:
         own = sized.filter(F.pmod(F.xxhash64("item_id", "question"), F.lit(blocks)) == k) if blocks > 1 else sized
         mine = own.mapInArrow(counted, "bytes long, n_words long, n_chunks long, terms array<binary>").select(F.explode("terms").alias("term")).distinct()
         counts = {bytes(r["term"]): r["df"] for r in df.join(mine, "term", "left_semi").toLocalIterator()}
-        rows = sorted((r["item_id"] if r["item_id"] is not None else -1, r["question"], r["answer"]) for r in own.toLocalIterator())
+        rows = sorted(((r["item_id"], r["question"], r["answer"]) for r in own.toLocalIterator()), key=lambda r: (r[0] is None, r[0] or 0, r[1:]))
         yield Index(rows, n_chunks, n_words / n_chunks, counts)
 
 
 DDL = "doc_id long, item_id long, score double, n_passages long, first_word long, shingle_share double, answer_share double"
 
 
+def _passes(spark: SparkSession, items: DataFrame) -> Iterator[list]:
+    """Broadcast indexes, ``PASS_INDEXES`` at a time: a pass over the documents asks them all."""
+    sent = []
+    for index in indexes(items):
+        sent.append(spark.sparkContext.broadcast(index))
+        if len(sent) == PASS_INDEXES:
+            yield sent
+            sent = []
+    if sent:
+        yield sent
+
+
+def _matches(texts: list[str | None], sent: list, least: float = THRESHOLD, overlap: float = OVERLAP) -> list[list[tuple]]:
+    tokens = [words(t) for t in texts]
+    return [sum(found, []) for found in zip(*(index.value.matches(tokens, least, overlap) for index in sent))]
+
+
 def contaminated(docs: DataFrame, items: DataFrame, least: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
-    """One row per document and verified item; one pass over the documents for each index, no shuffle."""
+    """One row per document and verified item; one pass over the documents for ``PASS_INDEXES`` indexes, no shuffle."""
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
     out = spark.createDataFrame([], DDL)
-    for index in indexes(items):
-        sent = spark.sparkContext.broadcast(index)
+    for sent in _passes(spark, items):
 
         def matched(batches, sent=sent):
             for piece in pieces(batches, "text", PIECE_BYTES):
-                matches = sent.value.matches(piece.column("text").to_pylist(), least, overlap)
-                found = [(d, *m) for d, ms in zip(piece.column("doc_id").to_pylist(), matches) for m in ms]
+                found = [(d, *m) for d, ms in zip(piece.column("doc_id").to_pylist(), _matches(piece.column("text").to_pylist(), sent, least, overlap)) for m in ms]
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
                 yield pa.record_batch([pa.array([r[i] for r in found], kind) for i, kind in enumerate(kinds)],
                                       ["doc_id", "item_id", "score", "n_passages", "first_word", "shingle_share", "answer_share"])
@@ -270,12 +310,11 @@ def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     at = docs.columns.index("text")  # by place: other columns' names don't matter
-    for index in indexes(items):
-        sent = spark.sparkContext.broadcast(index)
+    for sent in _passes(spark, items):
 
         def passed(batches, sent=sent):
             for piece in pieces(batches, "text", PIECE_BYTES):
-                yield piece.filter(pa.array([not m for m in sent.value.matches(piece.column(at).to_pylist())], pa.bool_()))
+                yield piece.filter(pa.array([not m for m in _matches(piece.column(at).to_pylist(), sent)], pa.bool_()))
 
         docs = docs.mapInArrow(passed, docs.schema)
     return docs

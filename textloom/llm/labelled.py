@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 
 def held_out(doc_id: Column) -> Column:
     """True for rows that no model may learn from: crc32 of the id as text leaves 1 when divided by 3."""
@@ -14,7 +16,8 @@ def held_out(doc_id: Column) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
     """(doc_id, text, y): at most ``most`` labelled rows that aren't held out, chosen by a hash of the id.
 
-    Null ids, null labels and repeated ids are left out; at most ``most`` ids are broadcast.
+    Null ids and null labels are left out; of repeated ids the greatest label and the least text count.  At most ``most`` ids
+    are broadcast, and the rows are written, so that the table is read once.
     """
     ids = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
@@ -23,7 +26,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -
         .orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(most)
     )
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
+    found = rows.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
+    return written(found, f"sample-{label}")
 
 
 def logistic(x, y, steps: int = 400, penalty: float = 1e-3):

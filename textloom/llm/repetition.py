@@ -116,14 +116,14 @@ def exact_ids(things: Iterable) -> np.ndarray:
     return mixed(np.array([known.setdefault(x, len(known)) for x in things], np.uint64))
 
 
-def repeated(keys: np.ndarray, equal: Callable[[np.ndarray, np.ndarray], bool], things: Callable[[], Iterable]) -> tuple[np.ndarray, np.ndarray]:
+def repeated(keys: np.ndarray, equal: Callable[[np.ndarray, np.ndarray], bool] | None = None, things: Callable[[], Iterable] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Masks: the thing occurs twice or more; an equal one stands before it.
 
-    ``keys`` are hashes of the things.  ``equal`` compares the things themselves wherever hashes agree; if any two differ,
+    ``keys`` are hashes of the things, or the things.  ``equal`` compares the things themselves wherever hashes agree; if any two differ,
     ``things`` gives all of them, and they are numbered instead of hashed.
     """
     later_at, before = equal_neighbours(keys)
-    if len(later_at) and not equal(later_at, before):
+    if equal and len(later_at) and not equal(later_at, before):
         later_at, before = equal_neighbours(exact_ids(things()))
     twice, later = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
     later[later_at] = True

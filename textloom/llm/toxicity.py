@@ -90,11 +90,16 @@ def marking_stems(texts: list[bytes], y: list[int]) -> list[bytes]:
 
 
 def _content(samples: list[bytes], most: int) -> bytes:
-    """The content of a trained dictionary, or the samples themselves where there are too few to train."""
+    """The content of a trained dictionary, at most ``most`` bytes, or the samples themselves where there are too few to train.
+
+    A dictionary begins with tables for its own frames; its content begins where the samples' bytes do.
+    """
+    joined = b"".join(samples)
     try:
-        return zstandard.train_dictionary(most + 692, samples).as_bytes()[-most:]
+        made = zstandard.train_dictionary(most + 692, samples).as_bytes()
     except zstandard.ZstdError:
-        return b"".join(samples)[:most]
+        return joined[:most]
+    return made[next((p for p in range(8, len(made)) if made[p:p + 16] in joined), len(made)):][-most:]
 
 
 class Distance:
