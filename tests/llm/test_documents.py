@@ -147,6 +147,28 @@ def test_links(spark, monkeypatch, most):
     assert sorted(map(sorted, ({k, *v} for k, v in got.items()))) == sorted(sorted(g) for g in groups.values() if len(g) > 1)
 
 
+def test_skew_join(spark):
+    """Hot keys go by broadcast and all others by a shuffle; every row keeps its partner, once."""
+    from textloom.llm import common
+
+    rows = spark.createDataFrame([(0, i) for i in range(3000)] + [(k, k) for k in range(1, 500)], "k long, v long")
+    of = rows.groupBy("k").count().selectExpr("k", "k * 2 as twice", "count as n")
+    got = common.skew_join(rows, of, "k", 3499)
+    assert got.columns == ["k", "v", "twice"] and Counter(map(tuple, got.collect())) == Counter((r["k"], r["v"], 2 * r["k"]) for r in rows.collect())
+
+
+def test_hot_fingerprint(spark):
+    """Thousands of empty texts and copies around one text: one component each."""
+    near = [f"alpha beta gamma delta w{i}" for i in range(40)]
+    data = [(i, "" if i % 2 else near[i % 40], *[None] * 6) for i in range(4000)]
+    prints = {t: simhash_of(t) for t in {d[1] for d in data}}
+    keys = sorted(prints, key=lambda t: min(d[0] for d in data if d[1] == t))
+    root = dict(zip(keys, linked([prints[t] for t in keys])))
+    least = {r: min(d[0] for d in data if root[d[1]] == r) for r in set(root.values())}
+    found = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(frame(spark, data)).collect()}
+    assert found == {d[0]: least[root[d[1]]] for d in data}
+
+
 def test_close_pairs():
     rng = np.random.default_rng(2)
     group = np.sort(rng.integers(0, 20, 600))

@@ -16,6 +16,8 @@ from pyspark.sql.window import Window
 WORD = r"[^\x20\x09-\x0D]+"
 #: ``bytes.translate`` table that lower-cases A-Z and leaves other bytes alone.
 LOWER_ASCII = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+#: Keys that hold more than one row in so many are hot.
+HOT_SHARE = 10_000
 #: Records handed to a Python worker at once; long texts are cut further by ``pieces``.
 BATCH_ROWS = 2000
 
@@ -39,6 +41,8 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="textloom-")
@@ -62,6 +66,21 @@ def drop_written(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def skew_join(rows: DataFrame, of: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` with the columns of ``of`` that have the same key; ``of`` has unique keys under ``key`` and, as ``n``, how many rows have each.
+
+    Keys of more than one row in ``HOT_SHARE`` of ``total`` are joined by broadcast (there are at most ``HOT_SHARE`` of them), so that no
+    task gets all rows of such a key; the others are joined by a shuffle.
+    """
+    names = [c for c in of.columns if c not in (key, "n")]
+    small = of.select(F.col(key).alias("_key"), F.struct(*names).alias("_of"), "n")
+    cut = max(1000, total // HOT_SHARE)
+    tagged = rows.join(F.broadcast(small.filter(F.col("n") > cut).drop("n")), F.col(key) == F.col("_key"), "left")
+    hot = tagged.filter("_of is not null").select(*rows.columns, "_of.*")
+    rest = tagged.filter("_of is null").select(*rows.columns).join(small.filter(F.col("n") <= cut).drop("n"), F.col(key) == F.col("_key"))
+    return hot.union(rest.select(*rows.columns, "_of.*"))
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER_ASCII, pieces, small_batches, table, written
+from .common import LOWER_ASCII, pieces, skew_join, small_batches, table, written
 from .components import components
 
 RADIUS = 2
@@ -208,12 +208,13 @@ def links(nodes: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id): the smallest doc_id reachable over links of fingerprints."""
     prints = written(fingerprints(docs), "fingerprints")
-    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "nodes")
     roots = components(links(nodes.select("fp"))).select(F.col("a").alias("_fp"), F.col("b").alias("_root"))
-    linked = nodes.join(roots, F.col("fp") == F.col("_fp"), "left").select("fp", "least", F.coalesce("_root", "fp").alias("root"))
-    by_root = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = linked.join(by_root, "root").select(F.col("fp").alias("_fp"), "component_id")
-    return prints.join(of, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
+    linked = nodes.join(roots, F.col("fp") == F.col("_fp"), "left").select("fp", "least", "n", F.coalesce("_root", "fp").alias("root"))
+    linked = written(linked, "linked")
+    by_root = linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    of = skew_join(linked.withColumnRenamed("n", "rows"), by_root, "root", nodes.count()).select("fp", "component_id", F.col("rows").alias("n"))
+    return skew_join(prints.select("doc_id", "fp"), written(of, "components"), "fp", prints.count()).select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
