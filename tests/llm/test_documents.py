@@ -157,8 +157,10 @@ def test_skew_join(spark):
     assert got.columns == ["k", "v", "twice"] and Counter(map(tuple, got.collect())) == Counter((r["k"], r["v"], 2 * r["k"]) for r in rows.collect())
 
 
-def test_hot_fingerprint(spark):
-    """Thousands of empty texts and copies around one text: one component each."""
+@pytest.mark.parametrize("few", [50_000, 20])
+def test_hot_fingerprint(spark, monkeypatch, few):
+    """Thousands of empty texts and copies around one text: one component each, whichever way stars are joined."""
+    monkeypatch.setattr("textloom.llm.components.FEW", few)
     near = [f"alpha beta gamma delta w{i}" for i in range(40)]
     data = [(i, "" if i % 2 else near[i % 40], *[None] * 6) for i in range(4000)]
     prints = {t: simhash_of(t) for t in {d[1] for d in data}}

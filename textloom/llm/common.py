@@ -66,15 +66,17 @@ def drop_written(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def skew_join(rows: DataFrame, of: DataFrame, key: str, total: int) -> DataFrame:
+def skew_join(rows: DataFrame, of: DataFrame, key: str, total: int, few: int = 1000) -> DataFrame:
     """``rows`` with the columns of ``of`` that have the same key; ``of`` has unique keys under ``key`` and, as ``n``, how many rows have each.
 
     Keys of more than one row in ``HOT_SHARE`` of ``total`` are joined by broadcast (there are at most ``HOT_SHARE`` of them), so that no
-    task gets all rows of such a key; the others are joined by a shuffle.
+    task gets all rows of such a key; the others are joined by a shuffle.  Up to ``few`` rows of a key aren't many for one task.
     """
     names = [c for c in of.columns if c not in (key, "n")]
     small = of.select(F.col(key).alias("_key"), F.struct(*names).alias("_of"), "n")
-    cut = max(1000, total // HOT_SHARE)
+    cut = max(few, total // HOT_SHARE)
+    if total <= cut:
+        return rows.join(small.drop("n"), F.col(key) == F.col("_key")).select(*rows.columns, "_of.*")
     tagged = rows.join(F.broadcast(small.filter(F.col("n") > cut).drop("n")), F.col(key) == F.col("_key"), "left")
     hot = tagged.filter("_of is not null").select(*rows.columns, "_of.*")
     rest = tagged.filter("_of is null").select(*rows.columns).join(small.filter(F.col("n") <= cut).drop("n"), F.col(key) == F.col("_key"))

@@ -8,15 +8,19 @@ from pyspark.sql import functions as F
 from .common import drop_written, skew_join, written
 
 
+#: Edges of a node that are joined in one task.
+FEW = 50_000
+
+
 def _large_star(edges: DataFrame, total: int) -> DataFrame:
     both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a")))
     least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
-    return skew_join(both, least, "a", 2 * total).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a > b").distinct()
+    return skew_join(both, least, "a", 2 * total, FEW).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a > b").distinct()
 
 
 def _small_star(edges: DataFrame, total: int) -> DataFrame:
     least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-    joined = skew_join(edges, least, "a", total)
+    joined = skew_join(edges, least, "a", total, FEW)
     return joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", "m")).filter("a > b").distinct()
 
 

@@ -213,7 +213,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     linked = nodes.join(roots, F.col("fp") == F.col("_fp"), "left").select("fp", "least", "n", F.coalesce("_root", "fp").alias("root"))
     linked = written(linked, "linked")
     by_root = linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
-    of = skew_join(linked.withColumnRenamed("n", "rows"), by_root, "root", nodes.count()).select("fp", "component_id", F.col("rows").alias("n"))
+    of = skew_join(linked.withColumnRenamed("n", "rows"), by_root, "root", nodes.count(), 50_000).select("fp", "component_id", F.col("rows").alias("n"))
     return skew_join(prints.select("doc_id", "fp"), written(of, "components"), "fp", prints.count()).select("doc_id", "fp", "component_id")
 
 
