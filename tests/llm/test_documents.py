@@ -293,7 +293,7 @@ def test_line_dedup(spark):
     assert line_dedup.line_counts(empty(spark)).count() == 0
 
 
-@pytest.mark.parametrize("limit", [1000, 1])
+@pytest.mark.parametrize("limit", [500, 1])
 def test_line_dedup_odd_rows(spark, monkeypatch, limit):
     """Null and repeated ids, repeated rows, long texts and odd blanks; a small limit sends lists through their first lines."""
     from pyspark.sql import functions as F
