@@ -15,7 +15,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from .common import prefix_sums, table, word_count, written
 
@@ -57,8 +56,8 @@ def targets(sizes: dict[str | None, int], most: int = MOST_EPOCHS) -> dict[str |
     return out
 
 
-def mix(docs: DataFrame, weight: Column | None = None, most: int = MOST_EPOCHS, seed: str = SEED) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, epochs, chosen, taken, text_hash.
+def mix(docs: DataFrame, weight: Column | None = None, most: int = MOST_EPOCHS, seed: str = SEED, also: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, epochs, chosen, taken, text_hash and the columns ``also``.
 
     ``weight`` is a positive column of ``docs``; by default ``quality_weight``.
     The driver sees one row per source.  The fraction is taken while a document's
@@ -67,7 +66,7 @@ def mix(docs: DataFrame, weight: Column | None = None, most: int = MOST_EPOCHS,
     """
     size = word_count(F.col("text"))
     keyed = docs.select(
-        "doc_id", "source", size.alias("size"), F.xxhash64("text").alias("text_hash"),
+        "doc_id", "source", size.alias("size"), F.xxhash64("text").alias("text_hash"), *also,
         (weight if weight is not None else quality_weight(F.col("text"), size)).alias("weight"),
     ).withColumn("key", exponential_key(F.col("doc_id"), F.col("weight"), seed)).drop("weight")
     ordered = written(prefix_sums(keyed, "source", ["key", "doc_id", "size", "text_hash"], "size", "mix"), "mix-order")
@@ -85,30 +84,24 @@ def mix(docs: DataFrame, weight: Column | None = None, most: int = MOST_EPOCHS,
     chosen = (F.col("before") + F.col("size") / 2 <= F.col("budget")).cast("int") * (F.col("size") > 0).cast("int")
     return ordered.join(plan, F.col("source").eqNullSafe(F.col("_source"))).withColumn("chosen", chosen).select(
         "doc_id", "source", "size", "source_size", "target", "epochs", "chosen",
-        (F.col("size") * (F.col("epochs") + F.col("chosen"))).cast("long").alias("taken"), "text_hash",
+        (F.col("size") * (F.col("epochs") + F.col("chosen"))).cast("long").alias("taken"), "text_hash", *also,
     )
 
 
 def mixed_rows(docs: DataFrame, weight: Column | None = None, most: int = MOST_EPOCHS, seed: str = SEED) -> DataFrame:
     """The documents of the mix, each as often as it is taken; columns of ``docs``.
 
-    Rows that agree in doc_id, source and text are numbered on both sides, so that each gets its own decision.
+    Where ids repeat or are null, the rows are numbered first, so that each gets its own decision and no task gets all of equal rows.
     """
-    takes = mix(docs, weight, most, seed).select("doc_id", "source", "text_hash", (F.col("epochs") + F.col("chosen")).alias("_times"))
-    takes = written(takes, "mix-takes")
-    rows, ids = takes.agg(F.count("*"), F.countDistinct("doc_id")).first()
+    rows, ids = docs.agg(F.count("*"), F.countDistinct("doc_id")).first()
     if rows == ids:
-        left, right = docs, takes.select(F.col("doc_id").alias("_id"), "_times")
-        same = left["doc_id"] == right["_id"]
+        left, name = docs, "doc_id"
     else:
-        nth = Window.partitionBy("doc_id", "source", "text_hash")
-        left = docs.withColumn("text_hash", F.xxhash64("text")).withColumn("_nth", F.row_number().over(nth.orderBy(F.lit(0))))
-        right = takes.withColumn("_nth", F.row_number().over(nth.orderBy(F.desc("_times"))))
-        same = left["_nth"] == right["_nth"]
-        for k in ("doc_id", "source", "text_hash"):
-            same = same & left[k].eqNullSafe(right[k])
-    return left.join(right.filter("_times > 0"), same).select(
-        *[left[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), right["_times"])).alias("_copy")).drop("_copy")
+        left, name = written(docs.withColumn("_row_number", F.monotonically_increasing_id()), "mix-rows"), "_row_number"
+    found = mix(left, weight, most, seed, () if name == "doc_id" else (name,))
+    takes = written(found.select(F.col(name).alias("_id"), (F.col("epochs") + F.col("chosen")).alias("_times")).filter("_times > 0"), "mix-takes")
+    return left.join(takes, left[name] == takes["_id"]).select(
+        *[left[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), takes["_times"])).alias("_copy")).drop("_copy")
 
 
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
