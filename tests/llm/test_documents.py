@@ -273,6 +273,27 @@ def similar_lines(data):
     return {d[0]: tuple(gone[d[0]]) for d in data}
 
 
+def test_rarity_and_word_keys(spark):
+    data = odd_rows()
+    docs = frame(spark, data)
+    classes = line_dedup.rarity(docs)
+    buckets = line_dedup.BUCKETS
+
+    def hashed(word):
+        return xxhash.xxh64(word.encode(), seed=42).intdigest()
+
+    counts = Counter(hashed(w) & (buckets - 1) for r in data for w in WORD.findall(r[1] or ""))
+    want = [min(int(np.log1p(counts[b]) / np.log(1.125)), 255) - 128 for b in range(buckets)]
+    assert spark.range(1).select(classes.alias("c")).first()["c"] == want
+
+    lines = ["b a  b\ta ", "", "same same", "\x0b", " ".join(f"w{i % 40}" for i in range(100))]
+    frame_ = spark.createDataFrame([(line,) for line in lines], "line string")
+    found = {r["line"]: r["k"] for r in frame_.select("line", line_dedup.word_keys(frame_["line"], classes).alias("k")).collect()}
+    for line in lines:
+        keys = [(want[hashed(w) & (buckets - 1)] << 56) | (hashed(w) >> 8) for w in set(WORD.findall(line))]
+        assert found[line] == sorted(keys)
+
+
 def test_line_dedup(spark):
     rng = random.Random(4)
     vocabulary = [f"w{i}" for i in range(60)]
