@@ -6,6 +6,7 @@ from .clustering import OP12_SQL, op12_sort_means
 from .decontaminate import op1_bm25_decontaminate
 from .line_dedup import OP2_SQL, op2_line_set_join
 from .mixing import OP10_SQL, op10_source_mix
+from .page_text import op13_page_differencing
 from .quality import op6_attention_quality
 from .repetition import op3_repetition_coverage
 from .sharding import op8_min_cost_reshard
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_compression_toxicity": op9_compression_toxicity,
     "op10_source_mix": op10_source_mix,
     "op12_sort_means": op12_sort_means,
+    "op13_page_differencing": op13_page_differencing,
 }
 
 ORACLE_SQL = {
