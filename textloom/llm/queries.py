@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .clustering import OP12_SQL, op12_sort_means
+from .collocations import OP11_SQL, op11_phrase_collocations
 from .decontaminate import op1_bm25_decontaminate
 from .line_dedup import OP2_SQL, op2_line_set_join
 from .mixing import OP10_SQL, op10_source_mix
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_min_cost_reshard": op8_min_cost_reshard,
     "op9_compression_toxicity": op9_compression_toxicity,
     "op10_source_mix": op10_source_mix,
+    "op11_phrase_collocations": op11_phrase_collocations,
     "op12_sort_means": op12_sort_means,
     "op13_page_differencing": op13_page_differencing,
 }
@@ -34,5 +36,6 @@ ORACLE_SQL = {
     "op2_line_set_join": OP2_SQL,
     "op4_revisit_asof": OP4_SQL,
     "op10_source_mix": OP10_SQL,
+    "op11_phrase_collocations": OP11_SQL,
     "op12_sort_means": OP12_SQL,
 }
