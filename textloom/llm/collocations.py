@@ -1,9 +1,9 @@
 """Phrase collocations from vertical positional inverted lists.
 
 Texts are cut into blocks of some megabytes, a language in each, and a block keeps for each of its words the sorted list of the
-word's positions (a piece's end takes a position of its own, so nothing adjoins across it).  Frequent phrases of m words are extended to m + 1
-by merging their positions, moved by m, with the postings of adjacent words: where they meet, the longer phrase stands, and the length of its
-list is its exact frequency in the block.  Lists stay with their block; only numbers of occurrences are summed over blocks,
+word's positions (a piece's end takes a position of its own, so nothing adjoins across it).  A frequent phrase of m words is extended by merging its
+positions with those of the phrases of m words that begin one word later, the postings of its neighbours (for m = 1, of adjacent words): where a place and the next one meet, the longer phrase stands,
+and the length of its list is its exact frequency in the block.  Lists stay with their block; only numbers of occurrences are summed over blocks,
 and phrases below the least frequency go before the next level, since a part of a phrase is as frequent as the phrase at least.
 
 Blocks hand over counts first, and lists only of pairs that a bit table of fixed size (``BITS``) of the frequent pairs doesn't rule out; a
@@ -24,6 +24,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import drop_written, pieces, prefix_sums, small_batches, table, written
 
@@ -34,6 +35,8 @@ BEST = 2000
 BLOCK = 8 << 20
 #: Bits of the table that tells frequent pairs; more pairs than that only make it less use.
 BITS = 1 << 23
+#: Bits of a word's number in its block, and of a block's number in its task; the task's number takes the next twenty.
+_CODE, _NUMBER = 27, 16
 #: Lower-cases A-Z and turns what ends a piece into full stops, which no word can hold then.
 _FOLDED = bytes(46 if c in b".,;:!?\n\x0b\x0c\r" else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -98,22 +101,24 @@ def inverted(text: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return found.dictionary.slice(1), lengths[1:], order[lengths[0]:]  # the first is the full stop
 
 
-def _postings(most: int) -> Callable:
+def _inverted_blocks(most: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number = TaskContext.get().partitionId() << 32, 0
+        block = TaskContext.get().partitionId() << _NUMBER
         held: dict[str, list[bytes]] = {}
         size: dict[str, int] = {}
 
-        def block(lang: str) -> Iterator[pa.RecordBatch]:
-            nonlocal number
+        def rows(lang: str) -> Iterator[pa.RecordBatch]:
+            """A row for each word, and one with all lists, of which the n-th is that of word n."""
+            nonlocal block
             words, lengths, positions = inverted(b".".join(held.pop(lang)))
             size.pop(lang)
-            if len(words):
-                n = len(words)
+            n = len(words)
+            if n:
                 yield pa.record_batch(
-                    [pa.array([lang] * n, pa.string()), words, pa.array(np.full(n, part + number)), pa.array(lengths), _binary(lengths, positions)],
-                    ["lang", "word", "block", "n", "positions"])
-                number += 1
+                    [pa.array(np.full(n, block)), pa.array([lang] * n, pa.string()), words, pa.array(np.arange(n, dtype=np.int32)), pa.array(lengths), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], _BLOCK_COLUMNS)
+                packed = [lengths.astype(np.int64).tobytes()], [varints(_gaps(lengths, positions))]
+                yield pa.record_batch([pa.array([block]), *(pa.nulls(1, t) for t in (pa.string(), pa.string(), pa.int32(), pa.int64())), *(pa.array(x, pa.binary()) for x in packed)], _BLOCK_COLUMNS)
+                block += 1
 
         for piece in pieces(batches, "text", most):
             for lang, text in zip(piece.column("lang").to_pylist(), piece.column("text").cast(pa.binary()).to_pylist()):
@@ -124,109 +129,107 @@ def _postings(most: int) -> Callable:
                     held.setdefault(lang, []).append(now)
                     size[lang] = size.get(lang, 0) + len(now)
                     if size[lang] >= most:
-                        yield from block(lang)
+                        yield from rows(lang)
         for lang in list(held):
-            yield from block(lang)
+            yield from rows(lang)
 
     return run
 
 
-def postings(docs: DataFrame, most: int = BLOCK) -> DataFrame:
-    """(lang, word, block, n, positions): each word's list in each block."""
+_BLOCK_COLUMNS = ["block", "lang", "word", "code", "n", "lengths", "gaps"]
+
+
+def inverted_blocks(docs: DataFrame, most: int = BLOCK) -> DataFrame:
+    """For each block a row for each word (block, lang, word, code, n) and a row with all position lists (block, lengths, gaps)."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text")).filter("text is not null")
-    return rows.mapInArrow(_postings(most), "lang string, word string, block long, n long, positions binary")
+    return rows.mapInArrow(_inverted_blocks(most), "block long, lang string, word string, code int, n long, lengths binary, gaps binary")
 
 
-def _packed_block(block: int, ids: list, lasts: list, packed: list[bytes]) -> pa.RecordBatch:
-    lengths = np.fromiter((int((np.frombuffer(p, np.uint8) < 128).sum()) for p in packed), np.int64, len(packed))
-    values = [[block], [np.array(ids, np.int64).tobytes()], [np.array(lasts, np.int64).tobytes()], [lengths.tobytes()], [b"".join(packed)]]
-    return pa.record_batch([pa.array(v, t) for v, t in zip(values, [pa.int64()] + [pa.binary()] * 4)], ["block", "ids", "lasts", "lengths", "gaps"])
+def _chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each block's lists those with an id."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            lengths = np.frombuffer(row["lengths"], np.int64)
+            codes, ids = np.array([x["code"] for x in row["chosen"]], np.int64), np.array([x["id"] for x in row["chosen"]], np.int64)
+            raw = np.frombuffer(row["gaps"], np.uint8)
+            ends = np.flatnonzero(raw < 128)[np.cumsum(lengths) - 1] + 1  # of each list in bytes
+            starts = np.r_[0, ends[:-1]]
+            packed = b"".join(row["gaps"][a:b] for a, b in zip(starts[codes].tolist(), ends[codes].tolist()))
+            yield _block_row(row["block"], ids, lengths[codes], packed)
+
+
+def _block_row(block: int, ids: np.ndarray, lengths: np.ndarray, packed: bytes) -> pa.RecordBatch:
+    values = [[block], [ids.astype(np.int64).tobytes()], [lengths.astype(np.int64).tobytes()], [packed]]
+    return pa.record_batch([pa.array(v, t) for v, t in zip(values, [pa.int64()] + [pa.binary()] * 3)], ["block", "ids", "lengths", "gaps"])
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by block to one row for each block."""
-    block, ids, lasts, packed = None, [], [], []
+    block, ids, packed = None, [], []
+
+    def out() -> pa.RecordBatch:
+        lengths = np.fromiter((int((np.frombuffer(p, np.uint8) < 128).sum()) for p in packed), np.int64, len(packed))
+        return _block_row(block, np.array(ids, np.int64), lengths, b"".join(packed))
+
     for batch in batches:
-        for b, i, w, p in zip(*(batch.column(c).to_pylist() for c in ("block", "id", "last", "positions"))):
+        for b, i, p in zip(*(batch.column(c).to_pylist() for c in ("block", "id", "positions"))):
             if b != block:
                 if ids:
-                    yield _packed_block(block, ids, lasts, packed)
-                block, ids, lasts, packed = b, [], [], []
+                    yield out()
+                block, ids, packed = b, [], []
             ids.append(i)
-            lasts.append(w)
             packed.append(p)
     if ids:
-        yield _packed_block(block, ids, lasts, packed)
-
+        yield out()
 
-def gathered(lists: DataFrame, label: str) -> DataFrame:
-    """One row of packed lists for each block, written; ``lists`` has block, id, last and positions."""
-    rows = lists.select("block", "id", "last", "positions").repartition("block").sortWithinPartitions("block", "id")
-    return written(rows.mapInArrow(_gathered, "block long, ids binary, lasts binary, lengths binary, gaps binary"), label)
 
+_BLOCKS = "block long, ids binary, lengths binary, gaps binary"
 
-def _merged(row: dict, ids: str, shift: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All positions of a block's lists in order, the number of each one's list, and the lists' ids."""
-    lengths = np.frombuffer(row["lengths"], np.int64)
-    positions = _ungapped(lengths, from_varints(row["gaps"])) + shift
-    order = np.argsort(positions, kind="stable")
-    return positions[order], np.repeat(np.arange(len(lengths)), lengths)[order], np.frombuffer(row[ids], np.int64)
 
+def gathered(lists: DataFrame) -> DataFrame:
+    """One row of packed lists for each block, written; ``lists`` has block, id and positions."""
+    rows = lists.select("block", "id", "positions").repartition("block").sortWithinPartitions("block", "id")
+    return written(rows.mapInArrow(_gathered, _BLOCKS), "lists")
 
-def extended(phrases: dict, adjacent: dict, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Phrases of m + 1 words in a block: ids of their first m words, of the last word, lengths of their lists, and the lists.
 
-    ``adjacent`` has the words' own lists (m = 1), or those of two-word phrases, whose ``lasts`` are words that may follow.
-    """
-    at, of, ids = _merged(phrases, "ids")
-    there, which, words = _merged(adjacent, "ids" if m == 1 else "lasts", 0 if m == 1 else 1)
-    found = np.searchsorted(there, at + m)
-    found[found == len(there)] = 0
-    meet = there[found] == at + m if len(there) else np.zeros(len(at), bool)
-    pair = of[meet] * len(words) + which[found[meet]]
-    if m > 1:  # a word may stand in several lists of two-word phrases
-        word_of = np.unique(words, return_inverse=True)
-        words, pair = word_of[0], of[meet] * len(word_of[0]) + word_of[1][which[found[meet]]]
+def extended(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a block's phrases of m words those of m + 1: ids of their first and of their last m words, lengths of their lists, and the lists."""
+    lengths, ids = np.frombuffer(row["lengths"], np.int64), np.frombuffer(row["ids"], np.int64)
+    positions = _ungapped(lengths, from_varints(row["gaps"]))
+    order = np.argsort(positions, kind="stable")  # merges the lists; one phrase of m words at most begins at a position
+    at, of = positions[order], np.repeat(np.arange(len(lengths)), lengths)[order]
+    meet = np.flatnonzero(at[1:] == at[:-1] + 1)
+    pair = of[meet] * len(ids) + of[meet + 1]
     order = np.argsort(pair, kind="stable")
-    pair, positions = pair[order], at[meet][order]
+    pair, found = pair[order], at[meet][order]
     starts = np.flatnonzero(np.diff(pair, prepend=-1))
-    return ids[pair[starts] // len(words)] if len(pair) else ids[:0], words[pair[starts] % len(words)] if len(pair) else words[:0], np.diff(np.r_[starts, len(pair)]), positions
+    first, last = np.divmod(pair[starts], max(1, len(ids)))
+    return ids[first], ids[last], np.diff(np.r_[starts, len(pair)]), found
 
 
-def _bit(ids: np.ndarray, words: np.ndarray, bits: int) -> np.ndarray:
-    mixed = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + words.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+def _bit(ids: np.ndarray, others: np.ndarray, bits: int) -> np.ndarray:
+    mixed = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + others.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
     return ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(65 - bits.bit_length())).astype(np.int64)
 
 
-def _extensions(m: int, joined: bool) -> Callable:
-    """Batches of block rows to the ids, words, lengths and lists of their extensions, block by block."""
-    def blocks(batch: pa.RecordBatch) -> Iterator[tuple]:
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
         for row in batch.to_pylist():
-            other = {k: row[f"_{k}"] for k in ("lasts", "lengths", "gaps")} if joined else row
-            yield row["block"], *extended(row, other, m)
-
-    return blocks
-
-
-def _counts(m: int, joined: bool) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, ids, words, lengths, _ in _extensions(m, joined)(batch):
-                yield pa.record_batch([pa.array(ids), pa.array(words), pa.array(lengths)], ["id", "word_id", "n"])
-
-    return run
+            ids, others, lengths, _ = extended(row)
+            yield pa.record_batch([pa.array(ids), pa.array(others), pa.array(lengths)], ["id", "other", "n"])
 
 
-def _lists(m: int, joined: bool, table: bytes) -> Callable:
+def _lists(table: bytes) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(np.frombuffer(table, np.uint8), bitorder="little").astype(bool)
         for batch in batches:
-            for block, ids, words, lengths, positions in _extensions(m, joined)(batch):
-                may = bits[_bit(ids, words, len(bits))]
+            for row in batch.to_pylist():
+                ids, others, lengths, positions = extended(row)
+                may = bits[_bit(ids, others, len(bits))]
                 if may.any():
-                    ids, words, positions, lengths = ids[may], words[may], positions[np.repeat(may, lengths)], lengths[may]
-                    yield pa.record_batch([pa.array(np.full(len(ids), block)), pa.array(ids), pa.array(words), _binary(lengths, positions)], ["block", "id", "word_id", "positions"])
+                    ids, others, positions, lengths = ids[may], others[may], positions[np.repeat(may, lengths)], lengths[may]
+                    yield pa.record_batch([pa.array(np.full(len(ids), row["block"])), pa.array(ids), pa.array(others), _binary(lengths, positions)], ["block", "id", "other", "positions"])
 
     return run
 
@@ -234,14 +237,14 @@ def _lists(m: int, joined: bool, table: bytes) -> Callable:
 def _bits_of(bits: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.record_batch([pa.array(_bit(batch.column("id").to_numpy(), batch.column("word_id").to_numpy(), bits))], ["bit"])
+            yield pa.record_batch([pa.array(_bit(batch.column("id").to_numpy(), batch.column("other").to_numpy(), bits))], ["bit"])
 
     return run
 
 
 def bit_table(pairs: DataFrame, bits: int = BITS) -> bytes:
-    """A bit for each (id, word_id) of ``pairs``: ``bits`` / 8 bytes (a power of two, 64 at least), whatever their number."""
-    found = pairs.select("id", "word_id").mapInArrow(_bits_of(bits), "bit long")
+    """A bit for each (id, other) of ``pairs``: ``bits`` / 8 bytes (a power of two, 64 at least), whatever their number."""
+    found = pairs.select("id", "other").mapInArrow(_bits_of(bits), "bit long")
     # at most bits / 64 rows
     rows = found.groupBy(F.shiftright("bit", 6).alias("place")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).collect()
     out = np.zeros(bits // 64, np.int64)
@@ -250,60 +253,58 @@ def bit_table(pairs: DataFrame, bits: int = BITS) -> bytes:
     return out.tobytes()
 
 
-def frequent_words(lists: DataFrame, least: int) -> DataFrame:
-    """(id, lang, phrase, f, firsts, lasts) of the frequent words; single words have no parts."""
-    none = F.array().cast("array<long>")
-    found = lists.groupBy("lang", F.col("word").alias("phrase")).agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
-    return written(found.select(F.monotonically_increasing_id().alias("id"), "lang", "phrase", "f", none.alias("firsts"), none.alias("lasts")), "frequent")
-
+def frequent_words(rows: DataFrame, least: int) -> DataFrame:
+    """(block, code, id, lang, word, f) of the frequent words in each block that has them, written.  A word's id is the smallest of its places (block, code)."""
+    place = F.shiftleft("block", _CODE).bitwiseOR(F.col("code").cast("long"))
+    everywhere = Window.partitionBy("lang", "word")  # a row for each block that has the word
+    summed = rows.select("block", "code", "lang", "word", F.sum("n").over(everywhere).alias("f"), F.min(place).over(everywhere).alias("id"))
+    return written(summed.filter(F.col("f") >= least), "frequent-words")
 
-def frequent_phrases(counts: DataFrame, shorter: DataFrame, words: DataFrame, least: int) -> DataFrame:
-    """(id, lang, phrase, f, firsts, lasts, before_id, word_id): ``firsts`` has the frequencies of the first 1, 2, ... words, ``lasts`` those of all but the first 1, 2, ... words."""
-    found = written(counts.groupBy("id", "word_id").agg(F.sum("n").alias("f")).filter(F.col("f") >= least), "frequent-pairs")
-    first = shorter.select("id", "lang", F.col("phrase").alias("first"), F.col("f").alias("first_f"), "firsts")
-    word = words.select(F.col("id").alias("word_id"), F.col("phrase").alias("word"))
-    whole = found.join(first, "id").join(word, "word_id").select(
-        F.col("id").alias("before_id"), "word_id", "lang", F.concat_ws(" ", "first", "word").alias("phrase"), "f", F.concat("firsts", F.array("first_f")).alias("firsts"))
-    last = shorter.select(F.col("lang").alias("_lang"), F.col("phrase").alias("_last"), F.concat(F.array("f"), F.col("lasts")).alias("lasts"))
-    joined = whole.join(last, (F.col("lang") == F.col("_lang")) & (_after_first(F.col("phrase")) == F.col("_last")))
-    return written(joined.select(F.monotonically_increasing_id().alias("id"), "lang", "phrase", "f", "firsts", "lasts", "before_id", "word_id"), "frequent")
 
+def frequent_phrases(counts: DataFrame, shorter: DataFrame, least: int) -> DataFrame:
+    """(id, lang, phrase, f, last, firsts, lasts, first_id, last_id) of the frequent phrases that are one word longer than ``shorter``, written.
 
-def _after_first(phrase: Column) -> Column:
-    return F.substring(phrase, F.instr(phrase, " ") + 1, F.length(phrase))
+    ``last`` is the last word; ``firsts`` has the frequencies of the first 1, 2, ... words, ``lasts`` those of all but the first 1, 2, ... words.
+    """
+    found = counts.groupBy("id", "other").agg(F.sum("n").alias("f")).filter(F.col("f") >= least).select(F.col("id").alias("first_id"), F.col("other").alias("last_id"), "f")
+    first = shorter.select(F.col("id").alias("first_id"), "lang", F.col("phrase").alias("first"), F.concat("firsts", F.array("f")).alias("firsts"))
+    last = shorter.select(F.col("id").alias("last_id"), "last", F.concat(F.array("f"), F.col("lasts")).alias("lasts"))
+    joined = found.join(first, "first_id").join(last, "last_id")
+    return written(joined.select(F.monotonically_increasing_id().alias("id"), "lang", F.concat_ws(" ", "first", "last").alias("phrase"), "f", "last", "firsts", "lasts", "first_id", "last_id"), "frequent")
 
 
 def candidates(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, block: int = BLOCK, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
     """The frequent phrases of 2 to ``longest`` words as (lang, phrase, words, f, firsts, lasts), and (lang, n) with the number of words."""
-    lists = written(postings(docs, block), "postings")
-    totals = written(lists.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
-    words = frequent_words(lists, least)
-    own = words.select("id", F.col("lang").alias("_lang"), "phrase")
-    kept = lists.join(own, (F.col("lang") == F.col("_lang")) & (F.col("word") == F.col("phrase"))).select("block", "id", F.col("id").alias("last"), "positions")
-    now = gathered(kept, "lists")
-    drop_written(lists)
-    phrases, found, pairs = words, None, None
-    for m in range(1, longest):
-        joined = m > 2
-        both = now
-        if joined:
-            other = pairs.select(F.col("block").alias("_block"), *[F.col(c).alias(f"_{c}") for c in ("lasts", "lengths", "gaps")])
-            both = now.join(other, F.col("block") == F.col("_block"))
-        longer = frequent_phrases(both.mapInArrow(_counts(m, joined), "id long, word_id long, n long"), phrases, words, least)
-        part = longer.select("lang", "phrase", F.lit(m + 1).alias("words"), "f", "firsts", "lasts")
+    blocks = written(inverted_blocks(docs, block), "inverted")
+    words_in = blocks.filter("word is not null")
+    totals = written(words_in.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
+    frequent = frequent_words(words_in, least)
+    none = F.array().cast("array<long>")
+    own = F.col("id") == F.shiftleft("block", _CODE).bitwiseOR(F.col("code").cast("long"))
+    phrases = frequent.filter(own).select("id", "lang", F.col("word").alias("phrase"), "f", F.col("word").alias("last"), none.alias("firsts"), none.alias("lasts"))
+    chosen = frequent.groupBy(F.col("block").alias("_block")).agg(F.collect_list(F.struct("code", "id")).alias("chosen"))  # as many as a block has words
+    lists = blocks.filter("gaps is not null").select("block", "lengths", "gaps").join(chosen, F.col("block") == F.col("_block"))
+    now = written(lists.select("block", "lengths", "gaps", "chosen").mapInArrow(_chosen, _BLOCKS), "lists")
+    drop_written(blocks)
+    found = None
+    for m in range(2, longest + 1):
+        longer = frequent_phrases(now.mapInArrow(_counts, "id long, other long, n long"), phrases, least)
+        part = longer.select("lang", "phrase", F.lit(m).alias("words"), "f", "firsts", "lasts")
         found = part if found is None else found.unionByName(part)
-        if m + 1 < longest:
-            known = longer.select(F.col("before_id").alias("id"), "word_id", F.col("id").alias("new_id"))
-            rows = both.mapInArrow(_lists(m, joined, bit_table(known, bits)), "block long, id long, word_id long, positions binary")
-            after = gathered(rows.join(known, ["id", "word_id"]).select("block", F.col("new_id").alias("id"), F.col("word_id").alias("last"), "positions"), "lists")
-            pairs = after if m == 1 else pairs
-            if m != 2:
-                drop_written(now)
+        if m < longest:
+            known = longer.select(F.col("first_id").alias("id"), F.col("last_id").alias("other"), F.col("id").alias("new_id"))
+            rows = now.mapInArrow(_lists(bit_table(known, bits)), "block long, id long, other long, positions binary")
+            after = gathered(rows.join(known, ["id", "other"]).select("block", F.col("new_id").alias("id"), "positions"))
+            drop_written(now)
             now = after
         phrases = longer
     return found, totals
 
 
+def _after_first(phrase: Column) -> Column:
+    return F.substring(phrase, F.instr(phrase, " ") + 1, F.length(phrase))
+
+
 def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, best: int = BEST, block: int = BLOCK, bits: int = BITS) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's first ``best`` candidates that no longer one covers.
 
