@@ -6,8 +6,9 @@ positions with those of the phrases of m words that begin one word later, the po
 and the length of its list is its exact frequency in the block.  Lists stay with their block; only numbers of occurrences are summed over blocks,
 and phrases below the least frequency go before the next level, since a part of a phrase is as frequent as the phrase at least.
 
-Blocks hand over counts first, and lists only of pairs that a bit table of fixed size (``BITS``) of the frequent pairs doesn't rule out; a
-join then takes exactly the frequent ones.  Candidates, their parts and the ranking are joins and range partitions.  The driver sees that bit table only.
+Blocks hand over counts first, and lists only of pairs that a bit table of fixed size (``BITS``) of the frequent pairs doesn't rule out; where the lists meet
+the frequent pairs, exactly those stay.  Both are dealt by a hash of the pair, a row for each block and part instead of one for each pair; a frequent pair has an entry of each block at
+most, so none is hot.  Candidates, their parts and the ranking are joins and range partitions.  The driver sees that bit table and the number of blocks only.
 
 Defined results: a null text is empty and a null language is ``und``; a text without words adds nothing; repeated rows, repeated and null
 ids count as often as they stand; ties are ranked by the phrase's bytes; an empty table gives an empty result; other columns are ignored,
@@ -35,6 +36,8 @@ BEST = 2000
 BLOCK = 8 << 20
 #: Bits of the table that tells frequent pairs; more pairs than that only make it less use.
 BITS = 1 << 23
+#: Parts that pairs are dealt to, at least; with more than four times as many blocks there are more.
+PARTS = 32
 #: Bits of a word's number in its block, and of a block's number in its task; the task's number takes the next twenty.
 _CODE, _NUMBER = 27, 16
 #: Lower-cases A-Z and turns what ends a piece into full stops, which no word can hold then.
@@ -146,56 +149,60 @@ def inverted_blocks(docs: DataFrame, most: int = BLOCK) -> DataFrame:
     return rows.mapInArrow(_inverted_blocks(most), "block long, lang string, word string, code int, n long, lengths binary, gaps binary")
 
 
+def planes(values: np.ndarray) -> bytes:
+    """64-bit numbers by the significance of their bytes, which compresses well in a shuffle."""
+    return values.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def from_planes(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, np.uint8).reshape(8, -1).T.copy().view("<i8").ravel()
+
+
+def _slices(gaps: bytes, lengths: np.ndarray, chosen: np.ndarray) -> bytes:
+    """Of packed lists the chosen ones."""
+    ends = np.flatnonzero(np.frombuffer(gaps, np.uint8) < 128)[np.cumsum(lengths) - 1] + 1  # of each list in bytes
+    starts = np.r_[0, ends[:-1]]
+    return b"".join(gaps[a:b] for a, b in zip(starts[chosen].tolist(), ends[chosen].tolist()))
+
+
+def _row(names: list[str], kinds: list[pa.DataType], *values) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([v], t) for v, t in zip(values, kinds)], names)
+
+
+_BLOCKS = "block long, ids binary, lengths binary, gaps binary"
+_BLOCK = ["block", "ids", "lengths", "gaps"], [pa.int64()] + [pa.binary()] * 3
+
+
 def _chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each block's lists those with an id."""
     for batch in batches:
         for row in batch.to_pylist():
             lengths = np.frombuffer(row["lengths"], np.int64)
             codes, ids = np.array([x["code"] for x in row["chosen"]], np.int64), np.array([x["id"] for x in row["chosen"]], np.int64)
-            raw = np.frombuffer(row["gaps"], np.uint8)
-            ends = np.flatnonzero(raw < 128)[np.cumsum(lengths) - 1] + 1  # of each list in bytes
-            starts = np.r_[0, ends[:-1]]
-            packed = b"".join(row["gaps"][a:b] for a, b in zip(starts[codes].tolist(), ends[codes].tolist()))
-            yield _block_row(row["block"], ids, lengths[codes], packed)
-
-
-def _block_row(block: int, ids: np.ndarray, lengths: np.ndarray, packed: bytes) -> pa.RecordBatch:
-    values = [[block], [ids.astype(np.int64).tobytes()], [lengths.astype(np.int64).tobytes()], [packed]]
-    return pa.record_batch([pa.array(v, t) for v, t in zip(values, [pa.int64()] + [pa.binary()] * 3)], ["block", "ids", "lengths", "gaps"])
+            yield _row(*_BLOCK, row["block"], planes(ids), planes(lengths[codes]), _slices(row["gaps"], lengths, codes))
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by block to one row for each block."""
-    block, ids, packed = None, [], []
+    block, held = None, []
 
     def out() -> pa.RecordBatch:
-        lengths = np.fromiter((int((np.frombuffer(p, np.uint8) < 128).sum()) for p in packed), np.int64, len(packed))
-        return _block_row(block, np.array(ids, np.int64), lengths, b"".join(packed))
+        return _row(*_BLOCK, block, *(planes(np.concatenate([from_planes(h[k]) for h in held])) for k in (0, 1)), b"".join(h[2] for h in held))
 
     for batch in batches:
-        for b, i, p in zip(*(batch.column(c).to_pylist() for c in ("block", "id", "positions"))):
+        for b, *rest in zip(*(batch.column(c).to_pylist() for c in _BLOCK[0])):
             if b != block:
-                if ids:
+                if held:
                     yield out()
-                block, ids, packed = b, [], []
-            ids.append(i)
-            packed.append(p)
-    if ids:
+                block, held = b, []
+            held.append(rest)
+    if held:
         yield out()
 
 
-_BLOCKS = "block long, ids binary, lengths binary, gaps binary"
-
-
-def gathered(lists: DataFrame) -> DataFrame:
-    """One row of packed lists for each block, written; ``lists`` has block, id and positions."""
-    rows = lists.select("block", "id", "positions").repartition("block").sortWithinPartitions("block", "id")
-    return written(rows.mapInArrow(_gathered, _BLOCKS), "lists")
-
-
 def extended(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of a block's phrases of m words those of m + 1: ids of their first and of their last m words, lengths of their lists, and the lists."""
-    lengths, ids = np.frombuffer(row["lengths"], np.int64), np.frombuffer(row["ids"], np.int64)
+    lengths, ids = from_planes(row["lengths"]), from_planes(row["ids"])
     positions = _ungapped(lengths, from_varints(row["gaps"]))
     order = np.argsort(positions, kind="stable")  # merges the lists; one phrase of m words at most begins at a position
     at, of = positions[order], np.repeat(np.arange(len(lengths)), lengths)[order]
@@ -208,32 +215,128 @@ def extended(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     return ids[first], ids[last], np.diff(np.r_[starts, len(pair)]), found
 
 
-def _bit(ids: np.ndarray, others: np.ndarray, bits: int) -> np.ndarray:
+def _mixed(ids: np.ndarray, others: np.ndarray) -> np.ndarray:
     mixed = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + others.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-    return ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(65 - bits.bit_length())).astype(np.int64)
+    return (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in batch.to_pylist():
-            ids, others, lengths, _ = extended(row)
-            yield pa.record_batch([pa.array(ids), pa.array(others), pa.array(lengths)], ["id", "other", "n"])
+def _bit(ids: np.ndarray, others: np.ndarray, bits: int) -> np.ndarray:
+    return (_mixed(ids, others) >> np.uint64(65 - bits.bit_length())).astype(np.int64)
+
+
+def _dealt(ids: np.ndarray, others: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each part and the pairs that it gets."""
+    part = ((_mixed(ids, others) >> np.uint64(20)) % np.uint64(parts)).astype(np.int32)
+    order = np.argsort(part, kind="stable")
+    found, starts = np.unique(part[order], return_index=True)
+    for p, at in zip(found.tolist(), np.split(order, starts[1:])):
+        yield p, at
+
+
+_COUNTS = ["part", "ids", "others", "n"], [pa.int32()] + [pa.binary()] * 3
+_LISTS = ["part", "block", "ids", "others", "new_ids", "lengths", "gaps"], [pa.int32(), pa.int64()] + [pa.binary()] * 5
+
+
+def _counted(parts: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                ids, others, lengths, _ = extended(row)
+                for p, at in _dealt(ids, others, parts):
+                    yield _row(*_COUNTS, p, planes(ids[at]), planes(others[at]), planes(lengths[at]))
+
+    return run
+
+
+def _summed(ids: np.ndarray, others: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    order = np.lexsort((others, ids))
+    ids, others = ids[order], others[order]
+    starts = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (others[1:] != others[:-1])]) if len(ids) else np.zeros(0, np.int64)
+    return ids[starts], others[starts], np.add.reduceat(n[order], starts) if len(ids) else n
+
+
+def _frequent(least: int) -> Callable:
+    """Rows sorted by part to the pairs of each part that are frequent."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held, size = None, [], 0
+
+        def out() -> pa.RecordBatch:
+            ids, others, n = _summed(*(np.concatenate(x) for x in zip(*held)))
+            often = n >= least
+            return pa.record_batch([pa.array(ids[often]), pa.array(others[often]), pa.array(n[often])], ["id", "other", "f"])
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["part"] != part:
+                    if held:
+                        yield out()
+                    part, held, size = row["part"], [], 0
+                held.append(tuple(from_planes(row[c]) for c in ("ids", "others", "n")))
+                size += len(held[-1][0])
+                if size > 1 << 21 and size > 2 * len(held[0][0]):  # what is summed already comes first
+                    held = [_summed(*(np.concatenate(x) for x in zip(*held)))]
+                    size = len(held[0][0])
+        if held:
+            yield out()
+
+    return run
 
 
-def _lists(table: bytes) -> Callable:
+def _known(parts: int) -> Callable:
+    """Frequent pairs as rows that stand before the lists of their part."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, others, new = (batch.column(c).to_numpy() for c in ("id", "other", "new_id"))
+            for p, at in _dealt(ids, others, parts):
+                yield _row(*_LISTS, p, -1, planes(ids[at]), planes(others[at]), planes(new[at]), None, None)
+
+    return run
+
+
+def _lists(table: bytes, parts: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(np.frombuffer(table, np.uint8), bitorder="little").astype(bool)
         for batch in batches:
             for row in batch.to_pylist():
                 ids, others, lengths, positions = extended(row)
                 may = bits[_bit(ids, others, len(bits))]
-                if may.any():
-                    ids, others, positions, lengths = ids[may], others[may], positions[np.repeat(may, lengths)], lengths[may]
-                    yield pa.record_batch([pa.array(np.full(len(ids), row["block"])), pa.array(ids), pa.array(others), _binary(lengths, positions)], ["block", "id", "other", "positions"])
+                ids, others, positions, lengths = ids[may], others[may], positions[np.repeat(may, lengths)], lengths[may]
+                packed = _binary(lengths, positions).to_pylist() if len(ids) else []
+                for p, at in _dealt(ids, others, parts):
+                    yield _row(*_LISTS, p, row["block"], planes(ids[at]), planes(others[at]), None, planes(lengths[at]), b"".join(packed[i] for i in at.tolist()))
 
     return run
 
 
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by part and block, frequent pairs first, to each block's lists of frequent pairs under their new ids."""
+    part, held, known = None, [], None
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row["part"] != part:
+                part, held, known = row["part"], [], None
+            if row["block"] < 0:
+                held.append(tuple(from_planes(row[c]) for c in ("ids", "others", "new_ids")))
+                continue
+            if known is None:
+                ids, others, new = (np.concatenate(x) for x in zip(*held)) if held else [np.zeros(0, np.int64)] * 3
+                firsts, lasts = np.unique(ids), np.unique(others)
+                pair = np.searchsorted(firsts, ids) * max(1, len(lasts)) + np.searchsorted(lasts, others)
+                order = np.argsort(pair)
+                known, held = (firsts, lasts, pair[order], new[order]), []
+            firsts, lasts, pair, new = known
+            if not len(new):
+                continue
+            ids, others = from_planes(row["ids"]), from_planes(row["others"])
+            a, b = (np.minimum(np.searchsorted(u, x), len(u) - 1) for u, x in ((firsts, ids), (lasts, others)))
+            wanted = a * len(lasts) + b
+            at = np.minimum(np.searchsorted(pair, wanted), len(pair) - 1)
+            chosen = np.flatnonzero((firsts[a] == ids) & (lasts[b] == others) & (pair[at] == wanted))
+            if len(chosen):
+                lengths = from_planes(row["lengths"])
+                yield _row(*_BLOCK, row["block"], planes(new[at[chosen]]), planes(lengths[chosen]), _slices(row["gaps"], lengths, chosen))
+
+
 def _bits_of(bits: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -261,12 +364,26 @@ def frequent_words(rows: DataFrame, least: int) -> DataFrame:
     return written(summed.filter(F.col("f") >= least), "frequent-words")
 
 
-def frequent_phrases(counts: DataFrame, shorter: DataFrame, least: int) -> DataFrame:
+def frequent_pairs(blocks: DataFrame, least: int, parts: int) -> DataFrame:
+    """(id, other, f): pairs of phrases of m words, one word apart, that stand together ``least`` times."""
+    rows = blocks.mapInArrow(_counted(parts), "part int, ids binary, others binary, n binary")
+    return rows.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_frequent(least), "id long, other long, f long")
+
+
+def longer_lists(blocks: DataFrame, known: DataFrame, parts: int, bits: int) -> DataFrame:
+    """The blocks' lists of the pairs in ``known`` (id, other, new_id), written."""
+    kinds = "part int, block long, ids binary, others binary, new_ids binary, lengths binary, gaps binary"
+    rows = blocks.mapInArrow(_lists(bit_table(known, bits), parts), kinds).union(known.mapInArrow(_known(parts), kinds))
+    met = rows.repartition(parts, "part").sortWithinPartitions("part", "block").mapInArrow(_met, _BLOCKS)
+    return written(met.repartition("block").sortWithinPartitions("block").mapInArrow(_gathered, _BLOCKS), "lists")
+
+
+def frequent_phrases(found: DataFrame, shorter: DataFrame) -> DataFrame:
     """(id, lang, phrase, f, last, firsts, lasts, first_id, last_id) of the frequent phrases that are one word longer than ``shorter``, written.
 
     ``last`` is the last word; ``firsts`` has the frequencies of the first 1, 2, ... words, ``lasts`` those of all but the first 1, 2, ... words.
     """
-    found = counts.groupBy("id", "other").agg(F.sum("n").alias("f")).filter(F.col("f") >= least).select(F.col("id").alias("first_id"), F.col("other").alias("last_id"), "f")
+    found = found.select(F.col("id").alias("first_id"), F.col("other").alias("last_id"), "f")
     first = shorter.select(F.col("id").alias("first_id"), "lang", F.col("phrase").alias("first"), F.concat("firsts", F.array("f")).alias("firsts"))
     last = shorter.select(F.col("id").alias("last_id"), "last", F.concat(F.array("f"), F.col("lasts")).alias("lasts"))
     joined = found.join(first, "first_id").join(last, "last_id")
@@ -286,15 +403,15 @@ def candidates(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, bloc
     lists = blocks.filter("gaps is not null").select("block", "lengths", "gaps").join(chosen, F.col("block") == F.col("_block"))
     now = written(lists.select("block", "lengths", "gaps", "chosen").mapInArrow(_chosen, _BLOCKS), "lists")
     drop_written(blocks)
+    parts = max(PARTS, now.count() // 4)
     found = None
     for m in range(2, longest + 1):
-        longer = frequent_phrases(now.mapInArrow(_counts, "id long, other long, n long"), phrases, least)
+        longer = frequent_phrases(frequent_pairs(now, least, parts), phrases)
         part = longer.select("lang", "phrase", F.lit(m).alias("words"), "f", "firsts", "lasts")
         found = part if found is None else found.unionByName(part)
         if m < longest:
             known = longer.select(F.col("first_id").alias("id"), F.col("last_id").alias("other"), F.col("id").alias("new_id"))
-            rows = now.mapInArrow(_lists(bit_table(known, bits)), "block long, id long, other long, positions binary")
-            after = gathered(rows.join(known, ["id", "other"]).select("block", F.col("new_id").alias("id"), "positions"))
+            after = longer_lists(now, known, parts, bits)
             drop_written(now)
             now = after
         phrases = longer
