@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from .fixed import SLOT
 
+#: JSON as the standard has it.
+STRICT = {"allowSingleQuotes": "false"}
 TERMINATED = r"(?U)(?<=[.!?;])\s+"
 
 
@@ -70,6 +72,22 @@ def list_part(text: Column) -> Column:
     return F.regexp_extract(text, r"(?s)\[.*\]", 0)
 
 
+def whole_json(text: Column) -> Column:
+    """The text if it is one JSON value and nothing else; otherwise null.
+
+    The text is put between a key and a closing key that is its own MD5: an object with exactly these two keys can only
+    come of a whole value, since a text that closes the object early leaves the closing key out, and one that adds keys shows them.
+    """
+    end = F.md5(text)
+    around = F.from_json(F.concat(F.lit('{"v":'), text, F.lit(',"'), end, F.lit('":1}')), "map<string,string>", STRICT)
+    return F.when(F.map_keys(around) == F.array(F.lit("v"), end), text)
+
+
+def whole_object(text: Column) -> Column:
+    """The text if it is one JSON object and nothing else; otherwise null."""
+    return F.when(stripped(text).startswith("{"), whole_json(text))
+
+
 def without_number(line: Column) -> Column:
     return F.regexp_replace(line, r"^\d+\.\s+", "")
 

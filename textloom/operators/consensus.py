@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,17 +56,35 @@ def consensus(wide: DataFrame, literal: bool = False) -> DataFrame:
     return out.drop(*[f"{n}_{j}" for n in ("is_modifier", "modifier_word") for j in (1, 2, 3)])
 
 
-def keep_first(df: DataFrame, by: list[str], order: str = "seq") -> DataFrame:
+def hashed_keys(by: list[str]) -> list[Column]:
+    """128 bits that stand for the values of ``by`` in a shuffle."""
+    return [F.xxhash64(*by), F.xxhash64(F.lit("second"), *by)]
+
+
+def keep_first(df: DataFrame, by: list[str], order: str = "seq", keys: Callable[[list[str]], list[Column]] = hashed_keys) -> DataFrame:
     """The first row of each group in order; nulls are one group.  Groups are aggregated before they are shuffled, so a hot one is one row of each task.
 
-    ``order`` has no nulls.
+    Rows are grouped by 128 bits of ``by``, never by the values themselves, which may be long texts; each group's different values travel with it once, so
+    a collision shows.  Rows whose keys collide are grouped again with their SHA-256 besides; should values still share a key, the query fails.  ``order`` has no nulls.
     """
-    return df.groupBy(*by).agg(F.min_by(F.struct(*df.columns), order).alias("_first")).select("_first.*")
+    names = [f"_k{i}" for i in range(len(keys(by)))]
+    keyed = df.withColumns(dict(zip(names, keys(by))))
+    rest = F.struct(*[c for c in df.columns if c not in by], F.lit(1).alias("_one"))
+    held = [F.collect_set(F.struct(*by)).alias("_values"), F.min_by(rest, order).alias("_rest")]
+    columns = [F.get("_values", F.lit(0))[c].alias(c) if c in by else F.col("_rest")[c].alias(c) for c in df.columns]
+    groups = keyed.groupBy(*names).agg(*held)
+    met = groups.filter(F.size("_values") > 1).select(*[F.col(k).alias(f"{k}_") for k in names])
+    same = F.lit(True)
+    for k in names:
+        same = same & (F.col(k) == F.col(f"{k}_"))
+    again = keyed.join(met, same, "left_semi").groupBy(*names, F.sha2(F.to_json(F.struct(*by)), 256).alias("_sha")).agg(*held)
+    told = F.when(F.size("_values") == 1, F.col("_values")).otherwise(F.raise_error(F.lit("different values share a SHA-256")))
+    return groups.filter(F.size("_values") == 1).select(*columns).unionByName(again.withColumn("_values", told).select(*columns))
 
 
 def distinct_first_seen(df: DataFrame, value: str, order: str = "seq") -> DataFrame:
-    """(value, first): distinct values with the place where each is first seen."""
-    return df.groupBy(value).agg(F.min(order).alias("first"))
+    """(value, first): distinct values with the place where each is first seen; grouped as by ``keep_first``."""
+    return keep_first(df.select(value, order), [value], order).select(value, F.col(order).alias("first"))
 
 
 def unswapped(answers: DataFrame) -> DataFrame:

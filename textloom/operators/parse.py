@@ -1,22 +1,34 @@
-"""Answers in free text to typed columns.  A row that can't be parsed gets nulls and ``parse_error``."""
+"""Answers in free text to typed columns.  A row that can't be parsed gets nulls and ``parse_error``, the reason.
+
+Every payload is read strictly: it is one whole JSON value, or it is rejected, whatever stands before or behind a first value.  ``with_rejects`` makes
+two tables of parsed rows in one pass, and ``rejected`` shows what was thrown away, by parser.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..functions.text import answer_letter, list_part, object_part, request_number, stripped, stripped_of, truthy
+from ..functions.text import STRICT, answer_letter, list_part, object_part, request_number, stripped, stripped_of, truthy, whole_json, whole_object
 from ..sources.schemas import RESPONSES
 
-STRICT = {"allowSingleQuotes": "false"}
+NOT_JSON, NO_ANSWER = "the line isn't a JSON object", "no answer in the envelope"
+NO_OBJECT, NO_FIELD = "no answer object", "no answer in the object"
+NO_LIST, WRONG_LENGTH = "no list", "wrong length"
+NO_PAIR = "a value that isn't a pair"
+
+
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """The body with the value as a lambda's variable, so that it is evaluated once however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def one_object(text: Column, schema: str) -> Column:
-    """The text as one JSON object; null if it is anything else, such as an object and something after it."""
-    listed = F.from_json(F.concat(F.lit("["), text, F.lit("]")), f"array<{schema}>", STRICT)
-    return F.get(F.transform(F.array(listed), lambda a: F.when(F.size(a) == 1, F.get(a, F.lit(0)))), F.lit(0))
+    """The text as one JSON object (of repeated keys the last counts); null if it is anything else."""
+    return F.from_json(whole_json(text), schema, STRICT)
 
 
 def response_text(response: Column) -> Column:
@@ -27,29 +39,96 @@ def response_text(response: Column) -> Column:
 def envelopes(lines: DataFrame) -> DataFrame:
     """(key, request_no, raw, line, parse_error) of raw result lines; other columns stay."""
     rest = [c for c in lines.columns if c != "line"]
-    parsed = lines.withColumn("_r", F.from_json("line", RESPONSES, STRICT))
+    parsed = lines.withColumn("_w", whole_object(F.col("line"))).withColumn("_r", F.from_json("_w", RESPONSES, STRICT))
     raw = response_text(F.col("_r.response"))
-    return parsed.select(*rest, F.col("_r.key").alias("key"), request_number(F.col("_r.key")).alias("request_no"), raw.alias("raw"), "line",
-                         F.when(raw.isNull(), F.lit("no answer in the envelope")).alias("parse_error"))
+    error = F.when(F.col("_w").isNull(), F.lit(NOT_JSON)).when(raw.isNull(), F.lit(NO_ANSWER))
+    return parsed.select(*rest, F.col("_r.key").alias("key"), request_number(F.col("_r.key")).alias("request_no"), raw.alias("raw"), "line", error.alias("parse_error"))
+
+
+def _unanswered(responses: DataFrame) -> Column:
+    """The reason that an envelope already has, or that there is no answer."""
+    earlier = F.col("parse_error") if "parse_error" in responses.columns else F.lit(None).cast("string")
+    return F.coalesce(earlier, F.when(F.col("raw").isNull(), F.lit(NO_ANSWER)))
 
 
 def answers(responses: DataFrame, fields: tuple[str, ...] = ("scenario_answer",)) -> DataFrame:
     """Add each field of the object in ``raw`` without parentheses, its typed form ``<field>_typed``, and parse_error."""
-    parsed = responses.drop("parse_error").withColumn("_o", one_object(object_part(F.col("raw")), f"struct<{', '.join(f'{f}: string' for f in fields)}>"))
-    out = parsed
+    schema = f"struct<{', '.join(f'{f}: string' for f in fields)}>"
+    out = responses.withColumn("_o", one_object(object_part(F.col("raw")), schema))
     for f in fields:
         out = out.withColumn(f, stripped_of(F.col("_o")[f], "()")).withColumn(f"{f}_typed", answer_letter(F.col(f)))
-    missing = F.greatest(*[F.col(f).isNull() for f in fields]) if len(fields) > 1 else F.col(fields[0]).isNull()
-    return out.withColumn("parse_error", F.when(missing, F.lit("no answer object"))).drop("_o")
+    missing = F.lit(False)
+    for f in fields:
+        missing = missing | F.col(f).isNull()
+    error = F.coalesce(_unanswered(responses), F.when(F.col("_o").isNull(), F.lit(NO_OBJECT)).when(missing, F.lit(NO_FIELD)))
+    return out.withColumn("parse_error", error).drop("_o")
 
 
-def array_answers(responses: DataFrame, expected: int | None = None) -> DataFrame:
-    """Explode the list in ``raw``: the other columns, place (from 0), answer; with parse_error for rows without a list."""
-    parsed = responses.drop("parse_error").withColumn("_a", F.from_json(list_part(stripped(F.col("raw"))), "array<string>", STRICT))
-    error = F.when(F.col("_a").isNull(), F.lit("no list"))
+def _listed(responses: DataFrame, expected: int | Column | None, cut: bool) -> DataFrame:
+    """Add ``_a``, the strings of the list in ``raw``, and parse_error."""
+    parsed = responses.withColumn("_a", F.from_json(whole_json(list_part(stripped(F.col("raw")))), "array<string>", STRICT))
+    error = F.when(F.col("_a").isNull(), F.lit(NO_LIST))
     if expected is not None:
-        error = error.when(F.size("_a") != expected, F.lit("wrong length"))
-    return parsed.withColumn("parse_error", error).select(*[c for c in responses.columns if c != "parse_error"], "parse_error", F.posexplode_outer("_a").alias("place", "answer"))
+        most = F.lit(expected) if isinstance(expected, int) else expected
+        if cut:
+            parsed = parsed.withColumn("_a", F.slice("_a", F.lit(1), most))
+        error = error.when(F.size("_a") != most, F.lit(WRONG_LENGTH))
+    return parsed.withColumn("parse_error", F.coalesce(_unanswered(responses), error))
+
+
+def list_answers(responses: DataFrame, expected: int | Column | None = None, cut: bool = False) -> DataFrame:
+    """Add ``answers``, the strings of the list in ``raw``, and parse_error; a list of another length than ``expected`` is rejected whole, since its places can't be trusted.
+
+    ``cut`` takes the first ``expected`` of a longer list instead.
+    """
+    return _listed(responses, expected, cut).withColumn("answers", F.when(F.col("parse_error").isNull(), F.col("_a"))).drop("_a")
+
+
+def array_answers(responses: DataFrame, expected: int | Column | None = None) -> DataFrame:
+    """Explode the list in ``raw``: the other columns, place (from 0), answer; with parse_error for rows without a list, and on each answer of a list of another length."""
+    kept = [c for c in responses.columns if c != "parse_error"]
+    return _listed(responses, expected, False).select(*kept, "parse_error", F.posexplode_outer("_a").alias("place", "answer"))
+
+
+def label_answers(responses: DataFrame, literal: bool = False) -> DataFrame:
+    """Add ``labels`` (see ``labels``) and parse_error."""
+    parsed = responses.withColumn("labels", labels(F.col("raw"), literal))
+    whole = whole_json(object_part(repaired(F.col("raw"), literal)))
+    error = F.when(F.col("labels").isNull(), F.coalesce(_unanswered(responses), F.when(whole.isNull(), F.lit(NO_OBJECT)).otherwise(F.lit(NO_PAIR))))
+    return parsed.withColumn("parse_error", error)
+
+
+def rejected(parsed: DataFrame, parser: str, text: str = "raw") -> DataFrame:
+    """(parser, key, line, reason) of the rows with a parse_error; ``line`` is the text that couldn't be read."""
+    shown = F.coalesce(*[F.col(c) for c in (text, "line") if c in parsed.columns])
+    return parsed.filter("parse_error is not null").select(F.lit(parser).alias("parser"), F.col("key"), shown.alias("line"), F.col("parse_error").alias("reason"))
+
+
+@dataclass
+class Parsed:
+    """Two tables of one pass, and how many rows each has."""
+
+    good: DataFrame
+    rejected: DataFrame
+    n_good: int
+    n_rejected: int
+
+
+def with_rejects(parsed: DataFrame, parser: str, path: str, text: str = "raw") -> Parsed:
+    """Write parsed rows once, the rejected ones in a folder of their own, and read both back.
+
+    The rows are parsed and counted while they are written; reading one of the two doesn't touch the other's files.
+    """
+    flag = "rejected"
+    while flag in parsed.columns:
+        flag += "_"
+    seen = Observation(parser)
+    bad = F.col("parse_error").isNotNull()
+    watched = parsed.withColumn(flag, bad).observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(bad).alias("bad"))
+    watched.write.mode("overwrite").partitionBy(flag).parquet(path)
+    stored = parsed.sparkSession.read.schema(watched.schema).parquet(path)
+    rows, bad_rows = seen.get["rows"], seen.get["bad"]
+    return Parsed(stored.filter(~F.col(flag)).drop(flag, "parse_error"), rejected(stored.filter(flag), parser, text), rows - bad_rows, bad_rows)
 
 
 def repaired(raw: Column, literal: bool = False) -> Column:
@@ -64,24 +143,25 @@ def repaired(raw: Column, literal: bool = False) -> Column:
     return F.regexp_replace(F.regexp_replace(raw, pair + r'("(?:[^"\\]|\\.)*")\s*\)', ': ["$1", $2]'), pair + r"NA\s*\)", ': ["$1", "NA"]')
 
 
-def labels(raw: Column, literal: bool = False) -> Column:
-    """array<struct<is_modifier, word>> in the order of the payload's keys; null if it can't be parsed.
+def _label_entries(raw: Column, literal: bool) -> Column:
+    return F.map_entries(one_object(object_part(repaired(raw, literal)), "map<string,array<string>>"))
 
-    Of repeated keys the last value counts, at the first one's place.  A value that isn't a pair makes the whole null.
-    """
-    def bound(value: Column, body: Callable[[Column], Column]) -> Column:
-        """The body with the value as a lambda's variable, so that it is evaluated once however often the body uses it."""
-        return F.get(F.transform(F.array(value), body), F.lit(0))
 
+def _labels_of(entries: Column) -> Column:
     def paired(values: Column) -> Column:
         whole = F.forall(values, lambda v: v.isNotNull() & (F.size(v) >= 2))
         return F.when(whole, F.transform(values, lambda v: F.struct(truthy(F.get(v, F.lit(0))).alias("is_modifier"), F.get(v, F.lit(1)).alias("word"))))
 
-    def valued(entries: Column, keys: Column) -> Column:
+    def valued(keys: Column) -> Column:
         last = F.transform(keys, lambda k: F.element_at(F.filter(entries, lambda e: e["key"] == k), -1)["value"])
         return F.when(F.size(keys) == F.size(entries), F.transform(entries, lambda e: e["value"])).otherwise(last)  # few payloads repeat a key
 
-    def of(entries: Column) -> Column:
-        return bound(F.array_distinct(F.transform(entries, lambda e: e["key"])), lambda keys: bound(valued(entries, keys), paired))
+    return _bound(F.array_distinct(F.transform(entries, lambda e: e["key"])), lambda keys: _bound(valued(keys), paired))
+
+
+def labels(raw: Column, literal: bool = False) -> Column:
+    """array<struct<is_modifier, word>> in the order of the payload's keys; null if it can't be parsed.
 
-    return bound(F.map_entries(one_object(object_part(repaired(raw, literal)), "map<string,array<string>>")), of)
+    Of repeated keys the last value counts, at the first one's place.  A value that isn't a pair makes the whole null.
+    """
+    return _bound(_label_entries(raw, literal), _labels_of)

@@ -420,6 +420,7 @@ g AS (SELECT n, instr('02468ace', right(md5(CAST(n AS VARCHAR)), 1)) > 0 AS swap
 SELECT CAST(n AS BIGINT) AS request_no, swapped, CASE WHEN swapped THEN two ELSE one END AS baseline_answer, CASE WHEN swapped THEN one ELSE two END AS hedged_answer FROM g"""),
 }
 
-from .round_trips import queries as _round_trips  # noqa: E402 - its SQL is made of the SQL above
+from .intake import queries as _intake  # noqa: E402 - their SQL is made of the SQL above
+from .round_trips import queries as _round_trips  # noqa: E402
 
-QUERIES |= _round_trips()
+QUERIES |= _round_trips() | _intake()

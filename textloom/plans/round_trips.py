@@ -6,8 +6,6 @@ Files go to the folder that ``spark.checkpoint.dir`` names.
 from __future__ import annotations
 
 import hashlib
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +15,7 @@ from ..functions import text as tx
 from ..operators import consensus, design, judge, parse
 from ..operators.order import with_seq
 from ..sources import readers, sinks
+from ..sources.scratch import shared_path as _path
 from . import studies
 
 
@@ -24,15 +23,6 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _path(spark: SparkSession, name: str) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="textloom-")
-    return f"{folder.rstrip('/')}/textloom/{name}-{uuid.uuid4().hex}"
-
-
 def scenario_scan(spark, sf_dir):
     """Scenarios written as a scenario file and read in file order."""
     from .catalogue import scenario_table
@@ -108,7 +98,7 @@ def first_contexts(spark, sf_dir):
     path = _path(spark, "talk")
     rows = _table(spark, sf_dir, "documents").repartitionByRange(5, "doc_id").sortWithinPartitions("doc_id").select(F.col("doc_id").cast("string").alias("page_id"), F.col("source").alias("title"), F.lit("t").alias("timestamp"), F.lit("e").alias("last_editor"), "text")
     sinks.write_json_lines(rows, path)
-    return studies.talk_page_contexts(readers.talk_page_lines(spark, path, placed=True), "the").select("page_id", "sentence_position")
+    return studies.first_contexts(spark, path, "the").select("page_id", "sentence_position")
 
 
 def request_file(spark, sf_dir):
@@ -188,15 +178,6 @@ def exact_words(spark, sf_dir):
     return consensus.with_word(consensus.consensus(_three(spark, sf_dir)), "x").select("doc_id", "is_modifier")
 
 
-def strict_answers(spark, sf_dir):
-    """Answers with an object, with a second object behind it, with text behind it, and with none: only the first is an answer."""
-    number = F.col("conv_id") * 8 + F.col("turn")
-    ok = F.concat(F.lit('{"scenario_answer": "('), F.substring(F.lit("ABCDE"), (number % 5 + 1).cast("int"), F.lit(1)), F.lit(')"}'))
-    raw = F.when(number % 4 == 0, ok).when(number % 4 == 1, F.concat(ok, F.lit(' y {"b": 2}'))).when(number % 4 == 2, F.concat(ok, F.lit(', {"b": 2}'))).otherwise("none")
-    parsed = parse.answers(_table(spark, sf_dir, "conversations").select("conv_id", "turn", raw.alias("raw")))
-    return parsed.select("conv_id", "turn", "scenario_answer", parsed.parse_error.isNotNull().alias("failed"))
-
-
 def queries() -> dict:
     """name: (query, SQL)."""
     from . import catalogue as c
@@ -240,6 +221,4 @@ SELECT 'request-' || CAST(chunk + 1 AS VARCHAR) || '-1' AS key, md5(first) AS fi
         "frequency_frame": (frequency_frame, "SELECT lang AS label, CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM documents) AS frequency FROM documents GROUP BY lang"),
         "json_counts": (json_counts, "SELECT count(*) AS n_written, count(*) FILTER (WHERE role = 'user') AS n_user, count(*) AS n_read, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM conversations"),
         "exact_words": (exact_words, f"SELECT doc_id, is_modifier FROM ({c.QUERIES['judge_vote'][1]}) WHERE modifier_word = 'x'"),
-        "strict_answers": (strict_answers, """
-SELECT conv_id, turn, CASE WHEN (conv_id * 8 + turn) % 4 = 0 THEN substr('ABCDE', (conv_id * 8 + turn) % 5 + 1, 1) END AS scenario_answer, (conv_id * 8 + turn) % 4 <> 0 AS failed FROM conversations"""),
     }

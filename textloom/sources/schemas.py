@@ -12,6 +12,7 @@ def _struct(*names: str) -> T.StructType:
 #: The scenario file by position: the ninth header is empty, the tenth packs eleven names.
 SCENARIOS = _struct("baseline", "c1", "hedged_baseline", "c2", "politeness_question", "left_of_slider", "right_of_slider", "predicate_question", "unnamed", "packed")
 UTTERANCES = T.StructType([T.StructField("id", S), T.StructField("text", S), T.StructField("meta", T.MapType(S, S))])
+DYNAMIC_UTTERANCES = T.StructType([T.StructField("id", S), T.StructField("text", S), T.StructField("meta", T.VariantType())])
 PAGES = T.StructType([
     T.StructField("title", S), T.StructField("ns", S), T.StructField("id", S),
     T.StructField("revision", T.ArrayType(T.StructType([
