@@ -3,9 +3,10 @@
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from textloom.llm import mixing, quality, suffix_dedup
+from textloom.llm import mixing, quality, sharding, suffix_dedup
 
 from .cases import DDL, frame, odd_rows
 from .test_documents import brute_spans, linked, simhash_of
@@ -89,3 +90,58 @@ def test_stages_on_odd_rows(spark, tmp_path):
 
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, spark.createDataFrame([], DDL), sf).count() == 0, name
+
+
+CLASHING = ["_copy", "_number", "_row_number", "_id", "shard", "slot", "_n", "_times", "_gone"]
+
+
+@pytest.mark.parametrize("unique", [True, False])
+def test_stages_keep_clashing_columns(spark, tmp_path, unique):
+    """Columns with the names that stages use themselves come out as they went in, with unique ids and with null and repeated ones."""
+    import random
+
+    import corpus_pipeline
+
+    docs, labels = corpus(60)
+    items = items_of(spark, random.Random(1), 4)
+    for name, rows, ddl in (("labels", labels, "doc_id long, quality int, toxic int"), ("benchmark", items, "item_id long, text string")):
+        spark.createDataFrame(rows, ddl).write.parquet(str(tmp_path / f"{name}.parquet"))
+    odd = [(None if d[0] is None else d[0] + 5000, *d[1:]) for d in odd_rows()]
+    data = docs if unique else docs + odd
+    table = [(*d[:5], *[700 + 10 * i + k for k in range(len(CLASHING))]) for i, d in enumerate(data)]
+    ddl = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} int" for c in CLASHING)
+    rows = {t: None for t in table}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark, spark.createDataFrame(table, ddl).repartition(3), str(tmp_path))
+        assert found.columns == ["doc_id", "text", "lang", "source", "n_chars", *CLASHING], name
+        kept = [tuple(r) for r in found.collect()]
+        assert kept and set(kept) <= set(rows), name
+    given = spark.createDataFrame(table, ddl).repartition(3)
+    paths = []
+    rewrite = sharding.rewrite
+    sharding.rewrite = lambda plan, docs, path, *more: paths.append(path) or rewrite(plan, docs, path, *more)
+    try:
+        dealt = corpus_pipeline.STAGES[-1][1](spark, given, str(tmp_path)).collect()
+    finally:
+        sharding.rewrite = rewrite
+    assert Counter(r["doc_id"] for r in dealt) == Counter(t[0] for t in table)
+    files = spark.read.parquet(paths[0]).select(*given.columns).collect()
+    assert Counter(map(tuple, files)) == Counter(table)
+
+
+def test_rows_without_an_id_are_drawn_whatever_their_length(spark):
+    """Null and repeated ids: each row draws for itself, so that long rows are taken as well as short ones, and reruns agree."""
+    data = [(None if i % 2 else 7, " ".join(["word"] * (1 + i // 10)), "en", "a", 1, 1, "k", "s") for i in range(1000)]
+    data += [(10_000 + i, "other words " * 40, "en", f"b{i % 5}", 1, 1, "k", "s") for i in range(200)]
+    by_size = {}
+    for n in (3, 5):
+        found = mixing.mix(frame(spark, data, n)).filter("source = 'a'").select("doc_id", "size", "taken", "epochs", "chosen").collect()
+        by_size[n] = Counter(map(tuple, found))
+        assert abs(sum(r["taken"] for r in found) - next(r["target"] for r in mixing.mix(frame(spark, data, n)).filter("source = 'a'").select("target").limit(1).collect())) < 100
+    assert by_size[3] == by_size[5]
+    drawn = Counter((size > 50, chosen) for (_, size, _, _, chosen), c in by_size[3].items() for _ in range(c))
+    share = {long: drawn[(long, 1)] / (drawn[(long, 0)] + drawn[(long, 1)]) for long in (False, True)}
+    assert 0 < drawn[(True, 1)] and 0 < drawn[(False, 0)] and abs(share[True] - share[False]) < 0.15
+    equal = frame(spark, [(None, "the same text", "en", "a", 1, 1, "k", "s")] * 300 + [(i, "other words " * 9, "en", "b", 1, 1, "k", "s") for i in range(40)], 4)
+    taken = [r["chosen"] for r in mixing.mix(equal).filter("source = 'a'").collect()]
+    assert len(taken) == 300

@@ -57,6 +57,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, with underscores before it until no column of the frame has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def drop_written(df: DataFrame) -> None:
     """Delete the files behind a frame made by ``written``; nothing may read it afterwards."""
     spark = df.sparkSession

@@ -3,11 +3,12 @@
 Each source has a token budget.  Complete epochs of a source come first; the
 fraction that is left goes to documents in the order of their exponential keys
 ``-ln(u) / weight``, prefix-summed until the budget is met.  ``u`` is a hash of
-the seed and the doc_id, so reruns and retries agree.
+the seed and the doc_id, so reruns and retries agree.  In a table where ids repeat or are null, it is a hash of the seed, the doc_id, the
+text's hash and the number of the row among those that share both: every row draws for itself, and reruns draw the same.
 
 Defined results: a null text has size 0; a null source is a source of its own,
-last in order; rows with the same doc_id have the same key and are ordered by
-size and text hash; a source without words has target 0; an empty table gives an empty result.
+last in order; ties are ordered by doc_id, size and text hash; a source without words has target 0; an empty table gives an empty result;
+other columns are ignored by ``mix`` and kept as they are by ``mixed_rows``, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,8 +16,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from .common import prefix_sums, table, word_count, written
+from .common import fresh, prefix_sums, table, word_count, written
 
 SYMBOLS = "#*$%&|<>"
 MOST_EPOCHS = 3
@@ -29,8 +31,8 @@ def quality_weight(text: Column, size: Column) -> Column:
     return (size + 1).cast("double") / (size + 1 + F.coalesce(symbols, F.lit(0))).cast("double")
 
 
-def exponential_key(doc_id: Column, weight: Column, seed: str = SEED) -> Column:
-    digits = F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 13)
+def exponential_key(name: Column, weight: Column, seed: str = SEED) -> Column:
+    digits = F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(name.cast("string"), F.lit("")))), 1, 13)
     u = (F.conv(digits, 16, 10).cast("double") + 1) / F.lit(float(2**52 + 1))
     return -F.log(u) / weight
 
@@ -56,6 +58,28 @@ def targets(sizes: dict[str | None, int], most: int = MOST_EPOCHS) -> dict[str |
     return out
 
 
+def occurrences(rows: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, text_hash and others, written) with ``nth``: 0, 1, ... among the rows that share doc_id and text_hash.
+
+    Rows are numbered in the partitions they stand in, and each partition's numbers are shifted by the counts of those before it, so that no task gets all of equal rows.
+    Which of equal rows gets which number doesn't matter.
+    """
+    placed = written(rows.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "mix-occurrences")
+    same = ["doc_id", "text_hash"]
+    counts = placed.groupBy("_part", *same).agg(F.count("*").alias("_n"))
+    earlier = F.sum("_n").over(Window.partitionBy(*same).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    shifts = counts.select(F.col("_part").alias("_p"), F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.coalesce(earlier, F.lit(0)).alias("_shift"))
+    own = F.row_number().over(Window.partitionBy("_part", *same).orderBy("_at")) - 1
+    met = (F.col("_part") == F.col("_p")) & F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
+    return placed.withColumn("_own", own).join(shifts, met).withColumn("nth", F.col("_own") + F.col("_shift")).drop("_part", "_at", "_own", "_p", "_id", "_hash", "_shift")
+
+
+def own_ids(docs: DataFrame) -> bool:
+    """Whether every row has an id, and no other row the same."""
+    rows, ids = docs.agg(F.count("*"), F.countDistinct("doc_id")).first()
+    return rows == ids
+
+
 def mix(docs: DataFrame, weight: Column | None = None, most: int = MOST_EPOCHS, seed: str = SEED, also: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, epochs, chosen, taken, text_hash and the columns ``also``.
 
@@ -68,7 +92,12 @@ def mix(docs: DataFrame, weight: Column | None = None, most: int = MOST_EPOCHS,
     keyed = docs.select(
         "doc_id", "source", size.alias("size"), F.xxhash64("text").alias("text_hash"), *also,
         (weight if weight is not None else quality_weight(F.col("text"), size)).alias("weight"),
-    ).withColumn("key", exponential_key(F.col("doc_id"), F.col("weight"), seed)).drop("weight")
+    )
+    name = F.col("doc_id")
+    if not own_ids(docs):
+        keyed = occurrences(keyed)
+        name = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), "text_hash", "nth")
+    keyed = keyed.withColumn("key", exponential_key(name, F.col("weight"), seed)).select("doc_id", "source", "size", "text_hash", *also, "key")
     ordered = written(prefix_sums(keyed, "source", ["key", "doc_id", "size", "text_hash"], "size", "mix"), "mix-order")
     sizes = {r["source"]: int(r["s"]) for r in ordered.groupBy("source").agg(F.sum("size").alias("s")).collect()}
     goal = targets(sizes, most)
@@ -93,15 +122,16 @@ def mixed_rows(docs: DataFrame, weight: Column | None = None, most: int = MOST_E
 
     Where ids repeat or are null, the rows are numbered first, so that each gets its own decision and no task gets all of equal rows.
     """
-    rows, ids = docs.agg(F.count("*"), F.countDistinct("doc_id")).first()
-    if rows == ids:
+    if own_ids(docs):
         left, name = docs, "doc_id"
     else:
-        left, name = written(docs.withColumn("_row_number", F.monotonically_increasing_id()), "mix-rows"), "_row_number"
+        name = fresh(docs, "_row_number")
+        left = written(docs.withColumn(name, F.monotonically_increasing_id()), "mix-rows")
     found = mix(left, weight, most, seed, () if name == "doc_id" else (name,))
     takes = written(found.select(F.col(name).alias("_id"), (F.col("epochs") + F.col("chosen")).alias("_times")).filter("_times > 0"), "mix-takes")
+    copy = fresh(docs, "_copy")
     return left.join(takes, left[name] == takes["_id"]).select(
-        *[left[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), takes["_times"])).alias("_copy")).drop("_copy")
+        *[left[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), takes["_times"])).alias(copy)).drop(copy)
 
 
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import prefix_sums, shared_dir, table, written
+from .common import fresh, prefix_sums, shared_dir, table, written
 
 OLD_SHARDS = 16
 NEW_SHARDS = 24
@@ -132,9 +132,11 @@ def affected(plan: DataFrame) -> DataFrame:
     return moved.select("shard").union(moved.select(F.col("old_shard").alias("shard"))).distinct()
 
 
-def rewrite(plan: DataFrame, docs: DataFrame, path: str, old_shard: Column | None = None) -> list[int]:
+def rewrite(plan: DataFrame, docs: DataFrame, path: str, old_shard: Column | None = None, layout: tuple[str, str] = ("shard", "slot")) -> list[int]:
     """Write the affected shards' documents under ``path`` as shard=<n> folders, each file in slot order; the affected shards.
 
+    ``layout`` names the columns of the files that say shard and slot.  Columns of these names in ``docs`` are taken for the old layout's, and replaced; where they are data, choose other names.
+
     The texts are dealt once, by old shard and a hash of the row: an old shard feeds few new ones, so a task writes few files, and the
     slots of a shard are spread over its files (they are a column).
     Documents are matched to the plan by doc_id, text CRC, size, ``old_shard`` if given, and occurrence, so repeated rows keep
@@ -144,7 +146,8 @@ def rewrite(plan: DataFrame, docs: DataFrame, path: str, old_shard: Column | Non
     if not changed:
         return []
     emptied = set(changed) - {r["shard"] for r in plan.select("shard").distinct().collect()}  # asked now: the plan may read what is overwritten
-    columns = [c for c in docs.columns if c not in ("shard", "slot")]
+    shard_name, slot_name = layout
+    columns = [c for c in docs.columns if c not in layout]
     known = ["doc_id", "text_crc32", "size", "old_shard"]
     row = F.struct(*columns).alias("_row")
     rows = sized(docs, F.lit(None) if old_shard is None else old_shard, row).select(*known, F.lit(None).cast("struct<shard:int,slot:bigint>").alias("_place"), "_row")
@@ -158,26 +161,29 @@ def rewrite(plan: DataFrame, docs: DataFrame, path: str, old_shard: Column | Non
     copy = F.row_number().over(Window.partitionBy("_deal", *known, "_todo").orderBy("_place", F.xxhash64("_row")))
     at = F.max("_place").over(Window.partitionBy("_deal", *known, "_copy"))
     placed = both.withColumn("_copy", copy).withColumn("_at", at).filter("not _todo and _at is not null")
-    out = placed.select("_at.shard", "_at.slot", *[F.col("_row")[c].alias(c) for c in columns])
-    out.sortWithinPartitions("shard", "slot").write.partitionBy("shard").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    out = placed.select(F.col("_at.shard").alias(shard_name), F.col("_at.slot").alias(slot_name), *[F.col("_row")[c].alias(c) for c in columns])
+    out.sortWithinPartitions(shard_name, slot_name).write.partitionBy(shard_name).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
     jvm, conf = plan.sparkSession.sparkContext._jvm, plan.sparkSession.sparkContext._jsc.hadoopConfiguration()
     for shard in emptied:
-        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/shard={shard}")
+        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/{shard_name}={shard}")
         folder.getFileSystem(conf).delete(folder, True)
     return changed
 
 
 def resharded(docs: DataFrame, old_shard: Column, n_old: int, n_new: int, capacities: list[int] | None = None) -> DataFrame:
-    """The digest of the layout after the affected shards were written: their rows as read from the new files, the others' from the plan."""
+    """The digest of the layout after the affected shards were written: their rows as read from the new files, the others' from the plan.
+
+    The files have all columns of ``docs``; the columns of shard and slot get other names where ``docs`` has such ones.
+    """
     spark = docs.sparkSession
     plan = written(reshard(docs, old_shard, n_old, n_new, capacities), "reshard-plan")
     path = f"{shared_dir(spark).rstrip('/')}/textloom/shards-{uuid.uuid4().hex}"
-    changed = rewrite(plan, docs, path, old_shard)
+    layout = fresh(docs, "shard"), fresh(docs, "slot")
+    changed = rewrite(plan, docs, path, old_shard, layout)
     if not changed:
         return digest(plan)
-    fields = [f for f in docs.schema.fields if f.name not in ("shard", "slot")]
-    files = spark.read.schema(T.StructType([*fields, T.StructField("slot", T.LongType()), T.StructField("shard", T.IntegerType())])).parquet(path)
-    return digest(sized(files, old_shard, "shard", "slot")).union(digest(plan.filter(~F.col("shard").isin(changed))))
+    files = spark.read.schema(T.StructType([*docs.schema.fields, T.StructField(layout[1], T.LongType()), T.StructField(layout[0], T.IntegerType())])).parquet(path)
+    return digest(sized(files, old_shard, F.col(layout[0]).alias("shard"), F.col(layout[1]).alias("slot"))).union(digest(plan.filter(~F.col("shard").isin(changed))))
 
 
 def old_layout() -> Column:

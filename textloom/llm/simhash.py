@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER_ASCII, pieces, skew_join, small_batches, table, written
+from .common import LOWER_ASCII, fresh, pieces, skew_join, small_batches, table, written
 from .components import components
 
 RADIUS = 2
@@ -218,7 +218,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows that stay: of each group the first by doc_id (nulls last), hash of the text and number; all columns.
+    """The rows that stay: of each group the first by doc_id (nulls last), hash of the text and number; all columns of ``docs`` as they are, whatever their names.
 
     Where ids repeat or are null, rows are numbered and groups are made of the numbers, so each group keeps one row and no other group loses one.
     """
@@ -227,12 +227,13 @@ def one_of_each(docs: DataFrame) -> DataFrame:
         found = written(near_duplicates(docs), "groups")
         gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
         return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
-    numbered = written(docs.withColumn("_number", F.monotonically_increasing_id()), "numbered")
-    found = near_duplicates(numbered.select(F.col("_number").alias("doc_id"), "text")).select(F.col("doc_id").alias("_of"), "component_id")
-    order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.xxhash64("text").alias("c"), F.col("_number").alias("d"))
-    named = numbered.select("_number", order.alias("order")).join(found, F.col("_number") == F.col("_of"))
+    number = fresh(docs, "_number")
+    numbered = written(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    found = near_duplicates(numbered.select(F.col(number).alias("doc_id"), "text")).select(F.col("doc_id").alias("_of"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.xxhash64("text").alias("c"), F.col(number).alias("d"))
+    named = numbered.select(F.col(number).alias("_n"), order.alias("order")).join(found, F.col("_n") == F.col("_of"))
     first = written(named.groupBy("component_id").agg(F.min("order").alias("least")).select(F.col("least.d").alias("_first")), "first-of-each")
-    return numbered.join(first, F.col("_number") == F.col("_first"), "left_semi").drop("_number")
+    return numbered.join(first, numbered[number] == first["_first"], "left_semi").drop(number)
 
 
 def op5_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
