@@ -1,11 +1,11 @@
-"""Toxicity by compression distance: windows compressed with a toxic and an ordinary zstandard dictionary.
+"""Toxicity by compression distance: windows compressed with toxic and ordinary zstandard dictionaries.
 
-Both dictionaries are trained on labelled rows.  Toxic text for training is what
-marks toxic documents: words found by a greedy cover of those documents, with
-all the places where they stand.  The toxic dictionary ends in the ordinary one, so a window of
-ordinary words costs the same with either and only toxic matches make a difference.
-Each text is cut into windows of ``WINDOW`` words; the saved bytes of all its
-windows give a few numbers that a calibrated logistic threshold turns into a score.
+All dictionaries are made from labelled rows.  The ordinary one is trained on windows of ordinary rows.  There are two toxic ones: the word beginnings
+that mark toxic rows, and these with the words in which they stand most.  A beginning marks toxic rows if it has many different neighbours there and few in
+ordinary rows (so copies of a document count once), whatever the language.  A window is compressed with the ordinary dictionary followed by a toxic one, and with the ordinary one
+followed by as many zero bytes, so that distances and table entries are the same in both and only toxic matches make a difference.  Entries begin at every third byte, where the
+compressor's table of a dictionary has its entries, and literals stay as they are, so lengths aren't blurred by their coding.
+Each text is cut into windows of ``WINDOW`` words; the saved bytes of all its windows under each of ``PAIRS`` give a few numbers that a calibrated logistic threshold turns into a score.
 
 Defined results: a null or empty text has no saved bytes and so a low score; a
 null doc_id and repeated rows are ordinary rows; with labels of one kind or none, every score is
@@ -31,16 +31,21 @@ from .labelled import held_out, labelled_sample, logistic
 #: Most labelled documents, and bytes of their texts, that a model learns from.
 TRAIN_DOCS = 6000
 TRAIN_BYTES = 24 << 20
-WINDOW = 12
+WINDOW = 16
 THRESHOLD = 0.7
-NUMBERS = 11
-ORDINARY_BYTES, TOXIC_BYTES = 7500, 1600
+ORDINARY_BYTES = 7500
 #: Most windows of ordinary rows, in shuffled order, that their dictionary is trained on.
 ORDINARY_WINDOWS = 20_000
+#: Words of each beginning in the two toxic dictionaries.
+WORDS = (0, 16)
+#: Toxic dictionary and least length of a match, for each distance.
+PAIRS = ((0, 5), (0, 7), (1, 7))
+#: Numbers that describe a text.
+NUMBERS = 1 + 8 * len(PAIRS)
 _EDGES = b".,!?;:\"()'"
-_FRAME = {
-    "strategy": zstandard.STRATEGY_GREEDY, "min_match": 4, "window_log": 14, "hash_log": 16, "chain_log": 16,
-    "search_log": 8, "target_length": 32, "write_content_size": False, "write_checksum": False, "write_dict_id": False,
+_FRAME = {  # with this strategy and target length, literals aren't compressed
+    "strategy": zstandard.STRATEGY_FAST, "target_length": 1, "window_log": 14, "hash_log": 16, "chain_log": 16,
+    "search_log": 8, "write_content_size": False, "write_checksum": False, "write_dict_id": False,
 }
 
 
@@ -49,44 +54,69 @@ def windows(text: bytes | None) -> list[bytes]:
     return [b" " + b" ".join(words[i:i + WINDOW]) + b" " for i in range(0, len(words), WINDOW)]
 
 
-def _stems(text: bytes) -> set[bytes]:
-    bare = {w.strip(_EDGES) for w in text.translate(LOWER_ASCII).split()}
-    return {w[:k] for w in bare for k in range(4, min(len(w), 12) + 1)}
+def _beginnings(word: bytes) -> list[bytes]:
+    return [word[:k] for k in range(4, min(len(word), 12) + 1)]
 
 
-def marking_stems(texts: list[bytes], y: list[int]) -> list[bytes]:
-    """Word beginnings that mark toxic documents.
+def _words(text: bytes) -> list[bytes]:
+    return [w.strip(_EDGES) for w in text.translate(LOWER_ASCII).split()]
 
-    First a greedy cover of the toxic documents (so that words which merely stand in copies
-    of one document aren't taken), then other beginnings common in toxic and rare in ordinary documents.
+
+def marking_stems(texts: list[bytes], y: list[int], odds: float = 2.3, gain: float = 30.0) -> list[tuple[bytes, list[bytes]]]:
+    """Word beginnings that mark toxic documents, each with its words there, the most frequent first.
+
+    A beginning counts once for each different pair of neighbours.  The one whose count exceeds most what ordinary documents let expect (as a log-likelihood, ``gain`` at least and by a
+    factor of e^``odds``) is taken, its words are taken out, and so on.
     """
-    seen, total, toxic = (Counter(), Counter()), [0, 0], []
+    raw, tokens = (Counter(), Counter()), [0, 0]
+    for t, kind in zip(texts, y):
+        found = _words(t)
+        raw[kind].update(found)
+        tokens[kind] += len(found)
+    share = tokens[1] / max(1, tokens[0])
+
+    def stems_of(words: Counter) -> Counter:
+        out: Counter = Counter()
+        for w, c in words.items():
+            for s in _beginnings(w):
+                out[s] += c
+        return out
+
+    seen = stems_of(raw[1])
+    likely = {s for s, c in seen.items() if c >= 5}
+    plain: Counter = Counter()
+    for w, c in raw[0].items():
+        for s in _beginnings(w):
+            if s in likely:
+                plain[s] += c
+    likely = {s for s in likely if math.log(seen[s] / (share * (plain[s] + 0.5))) >= odds - 0.7}
+    uses: list[dict[bytes, set]] = [{}, {}]
     for t, kind in zip(texts, y):
-        stems = _stems(t)
-        seen[kind].update(stems)
-        total[kind] += 1
-        if kind:
-            toxic.append(stems)
-
-    def odds(w):
-        return math.log((seen[1][w] + 0.5) / (total[1] + 1)) - math.log((seen[0][w] + 0.5) / (total[0] + 1))
-
-    likely = {w for w, c in seen[1].items() if c >= 5 and odds(w) > 2.5}
-    ratio = 2 * total[1] / max(total[0], 1)
-    left, chosen = [s & likely for s in toxic], []
+        found = [b"", *_words(t), b""]
+        for i in range(1, len(found) - 1):
+            w = found[i]
+            if w[:4] and any(s in likely for s in _beginnings(w)):
+                uses[kind].setdefault(w, set()).add((found[i - 1], found[i + 1]))
+    counts = [{w: len(c) for w, c in u.items()} for u in uses]
+    stems = [stems_of(Counter(c)) for c in counts]
+
+    def value(s: bytes) -> float:
+        a, e = stems[1][s], share * (stems[0][s] + 0.5)
+        return a * math.log(a / e) - (a - e) if a >= 5 and math.log(a / e) >= odds else 0.0
+
+    chosen = []
     while True:
-        gain = Counter(w for s in left for w in s)
-        best = max(gain, key=lambda w: (gain[w] - ratio * seen[0][w], len(w), w), default=None)
-        if best is None or gain[best] - ratio * seen[0][best] < 3:
-            break
-        chosen.append(best)
-        left = [s for s in left if best not in s]
-    need = max(5, 0.03 * total[1])
-    more = sorted((w for w in likely if seen[1][w] >= need and odds(w) > 3.5), key=lambda w: (len(w), w))
-    for w in more:
-        if not any(w.startswith(c) for c in chosen):
-            chosen.append(w)
-    return chosen
+        best = max(likely, key=lambda s: (value(s), len(s), s), default=None)
+        if best is None or value(best) < gain:
+            return chosen
+        own = [w for w in counts[1] if w.startswith(best)]
+        chosen.append((best, sorted(own, key=lambda w: (-counts[1][w], w))))
+        for kind in (0, 1):
+            for w in [w for w in counts[kind] if w.startswith(best)]:
+                for s in _beginnings(w):
+                    stems[kind][s] -= counts[kind][w]
+                del counts[kind][w]
+        likely = {s for s in likely if stems[1][s] >= 5}
 
 
 def _content(samples: list[bytes], most: int) -> bytes:
@@ -102,10 +132,14 @@ def _content(samples: list[bytes], most: int) -> bytes:
     return made[next((p for p in range(8, len(made)) if made[p:p + 16] in joined), len(made)):][-most:]
 
 
+def _aligned(entry: bytes) -> bytes:
+    return entry + b"\0" * (-len(entry) % 3)
+
+
 class Distance:
-    """Saved bytes per window under two dictionaries; made from bytes, so that it can be sent to executors."""
+    """Saved bytes per window under an ordinary and several toxic dictionaries; made from bytes, so that it can be sent to executors."""
 
-    def __init__(self, ordinary: bytes, toxic: bytes):
+    def __init__(self, ordinary: bytes, toxic: list[bytes]):
         self.ordinary, self.toxic = ordinary, toxic
         self._ready = None
 
@@ -116,26 +150,29 @@ class Distance:
         self.__init__(*state)
 
     def saved(self, windows: list[bytes]) -> np.ndarray:
+        """A row for each of ``PAIRS``: bytes that the toxic dictionary saves for each window."""
         if self._ready is None:
-            frame = zstandard.ZstdCompressionParameters(**_FRAME)
-            made = []
-            for content in (self.ordinary, self.toxic + self.ordinary):
-                d = zstandard.ZstdCompressionDict(content or b"        ", dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                d.precompute_compress(compression_params=frame)
-                made.append(zstandard.ZstdCompressor(dict_data=d, compression_params=frame).compress)
-            self._ready = made
-        ordinary, toxic = self._ready
-        return np.array([len(ordinary(w)) - len(toxic(w)) for w in windows], np.float64)
+            def compressor(content: bytes, least: int):
+                frame = zstandard.ZstdCompressionParameters(min_match=least, **_FRAME)
+                made = zstandard.ZstdCompressionDict(content or b"\0" * 8, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                made.precompute_compress(compression_params=frame)
+                return zstandard.ZstdCompressor(dict_data=made, compression_params=frame).compress
+
+            base = _aligned(self.ordinary)
+            self._ready = [(compressor(base + b"\0" * len(self.toxic[k]), least), compressor(base + self.toxic[k], least)) for k, least in PAIRS]
+        return np.array([[len(ordinary(w)) - len(toxic(w)) for w in windows] for ordinary, toxic in self._ready], np.float64).reshape(len(PAIRS), len(windows))
 
     def features(self, text: bytes | None) -> np.ndarray:
-        d = np.sort(self.saved(windows(text)))[::-1]
-        if not len(d):
+        """The number of windows, and for each distance the shares of windows that save 1 to 4 bytes (drawn to a low share where windows are few), the mean saving up to 6, and how many save 2 to 4."""
+        cut = windows(text)
+        n = len(cut)
+        if not n:
             return np.zeros(NUMBERS)
-        return np.array([
-            max(d[0], 0), max(d[:3].mean(), 0), d.mean(), (d >= 1).mean(), (d >= 2).mean(), (d >= 3).mean(),
-            (d >= 4).mean(), (d >= 2).sum() ** 0.5, (d >= 4).sum() ** 0.5,
-            math.log1p(d[d > 0].sum()), math.log1p(len(d)),
-        ])
+        out = [math.log1p(n)]
+        for d in self.saved(cut):
+            over = [int((d >= k).sum()) for k in (1, 2, 3, 4)]
+            out += [math.log((c + 0.18) / (n + 6)) for c in over] + [float(np.clip(d, 0, 6).sum()) / (n + 6)] + [min(c, 3) for c in over[1:]]
+        return np.array(out)
 
 
 class Model:
@@ -150,19 +187,21 @@ class Model:
 
 
 def _dictionaries(texts: list[bytes], y: list[int], seed: int) -> Distance:
-    stems = tuple(marking_stems(texts, y))
     plain = [w for t, kind in zip(texts, y) if not kind for w in windows(t)]
     random.Random(seed).shuffle(plain)
-    found = [b" " + w for t, kind in zip(texts, y) if kind for w in t.translate(LOWER_ASCII).split() if w.startswith(stems)] if stems else []
-    toxic = [b"".join(found[i:i + 4]) + b" " for i in range(0, len(found), 4)]
-    return Distance(_content(plain[:ORDINARY_WINDOWS], ORDINARY_BYTES), _content(toxic, TOXIC_BYTES))
+    stems = marking_stems(texts, y)
+    toxic = []
+    for most in WORDS:  # the best stand last, nearest to the window
+        words = [w for s, found in stems for w in [w for w in found if w != s and len(w) <= 24][:most][::-1]]
+        toxic.append(b"".join(_aligned(b" " + w) for w in [*words, *[s for s, _ in stems][::-1]]))
+    return Distance(_content(plain[:ORDINARY_WINDOWS], ORDINARY_BYTES), toxic)
 
 
 def fit(texts: list[bytes], y: list[int], seed: int = 7) -> Model:
     """Dictionaries of all rows; the threshold is calibrated on halves, each measured with dictionaries of the other."""
     share = sum(y) / len(y) if y else 0.5
     if not y or share in (0, 1):
-        return Model(Distance(b"", b""), np.zeros(NUMBERS), np.ones(NUMBERS), np.zeros(NUMBERS), {0.0: -30.0, 1.0: 30.0}.get(share, 0.0))
+        return Model(Distance(b"", [b""] * len(WORDS)), np.zeros(NUMBERS), np.ones(NUMBERS), np.zeros(NUMBERS), {0.0: -30.0, 1.0: 30.0}.get(share, 0.0))
     x = np.zeros((len(y), NUMBERS))
     for part in (0, 1):
         other = _dictionaries(texts[1 - part::2], y[1 - part::2], seed)
