@@ -61,16 +61,18 @@ def rating_items(scenarios: DataFrame, n_scenarios: int, names: list[str] | None
     return rows.select(seq.alias("seq"), "modifier_no", "modifier", "scenario_id", "o.form", F.col("predicate_question").alias("question"), "o.scenario")
 
 
-def rating_prompt(items: DataFrame, seed: str | None = None) -> DataFrame:
-    """One row: the prompt over all items and ``order``, the items' seqs as they stand in it.
+def rating_prompt(items: DataFrame, seed: str | None = None, size: int | None = None) -> DataFrame:
+    """(chunk, prompt, order): the prompt over items and ``order``, the items' seqs as they stand in it.
 
-    All items go into one prompt, as the study asks, so this is a table of a few hundred rows.
-    With a seed, the order is a repeatable shuffle.
+    All items go into one prompt, as the study asks, so this is for a table of a few hundred rows; with ``size``, each ``size`` items in the order of ``seq`` get a prompt of
+    their own, which any number of tasks can make.  With a seed, the order in a prompt is a repeatable shuffle.
     """
     by = F.col("seq") if seed is None else F.xxhash64(F.lit(seed), "seq")
     listed = F.array_sort(F.collect_list(F.struct(by.alias("by"), "seq", "scenario", "question")))
     entries = F.transform("listed", lambda x, i: prompts.scenario_entry(i + 1, x["scenario"], x["question"]))
-    return items.agg(listed.alias("listed")).select(prompts.all_rating_prompt(F.array_join(entries, "")).alias("prompt"), F.transform("listed", lambda x: x["seq"]).alias("order"))
+    chunk = F.lit(0).cast("long") if size is None else F.expr(f"seq div {size}")
+    grouped = items.agg(listed.alias("listed")).withColumn("chunk", chunk) if size is None else items.groupBy(chunk.alias("chunk")).agg(listed.alias("listed"))
+    return grouped.select("chunk", prompts.all_rating_prompt(F.array_join(entries, "")).alias("prompt"), F.transform("listed", lambda x: x["seq"]).alias("order"))
 
 
 def chunks(utterances: DataFrame, size: int = fixed.CHUNK, keep_tail: bool = True, restart: bool = True, by: list[str] | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ judgements, benchmark items for scenarios, conversations for replicates.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,7 @@ from ..functions import fixed, prompts
 from ..functions import text as tx
 from ..operators import consensus, context, design, parse
 from ..operators.judge import StubJudge
+from ..operators.order import with_seq
 from ..sources import readers
 from . import studies
 
@@ -60,15 +62,32 @@ attempts AS (SELECT * FROM (VALUES (0), (1), (2)) AS t(attempt)),
 scales AS (SELECT * FROM (VALUES {', '.join(str((p, *o)) for p, o in fixed.SCALES.items())}) AS t(predicate, a, b, c, d, e))
 """
 _SAID = "replace(regexp_extract({s}, '(?s)\"(.*)\"', 1), '[modifier]', modifier)"
-_OPTIONS = "'(A) ' || a || chr(10) || '(B) ' || b || chr(10) || '(C) ' || c || chr(10) || '(D) ' || d || chr(10) || '(E) ' || e || chr(10)"
-_POLITE = " || ".join(f"'({c}) {o}' || chr(10)" for c, o in zip("ABCDE", fixed.POLITENESS))
-_TAIL = "chr(10) || 'Please output your answer as a json format like this:' || chr(10) || '{{\"scenario_answer\": \"<your_{kind}>\"}}' || chr(10) || chr(10) || 'Do not output anything else.' || chr(10) || '    '"
-_HEAD = "chr(10) || 'Please read this scenario and answer the question afterwards:' || chr(10) || 'Scenario:' || chr(10) || replace({s}, '[modifier] ', '') || chr(10) || chr(10) || 'Question: '"
-_PAIR_TAIL = "chr(10) || '{ask}' || chr(10) || '{{\"scenario_1_answer\": \"<your_choice_for_scenario_1>\", \"scenario_2_answer\": \"<your_choice_for_scenario_2>\"}}' || chr(10) || chr(10) || 'Do not output anything else.' || chr(10) || '    '"
 _SPEAKER = "string_split({q}, ' ')[4]"
 
 
-def _single_sql(ask: str, question: str, kind: str) -> str:
+def _sql_text(value: str) -> str:
+    """A SQL expression for a Python text."""
+    return " || chr(10) || ".join("'" + p.replace("'", "''") + "'" for p in value.split("\n"))
+
+
+def _filled_sql(form: str, **values: str) -> str:
+    """A prompt format of ``fixed`` as SQL, each ``{name}`` replaced by an expression."""
+    parts = re.split(r"\{(" + "|".join(values) + r")\}", form)
+    return " || ".join(values[p] if i % 2 else _sql_text(p) for i, p in enumerate(parts) if i % 2 or p)
+
+
+_OPTIONS = " || ".join(_filled_sql("({letter}) {option}\n", letter=f"'{c}'", option=c.lower()) for c in "ABCDE")
+_POLITE = _sql_text("".join(f"({c}) {o}\n" for c, o in zip("ABCDE", fixed.POLITENESS)))
+_PLAIN = "replace({s}, '[modifier] ', '')"
+
+
+def _asked(question: str, s: str) -> dict[str, str]:
+    return {"speaker": _SPEAKER.format(q=question), "quote": _SAID.format(s=s), "modifier": "modifier"}
+
+
+def _single_sql(form: str, question: str, tail: str, options: str = "") -> str:
+    values = {**_asked("question", "s"), "plain": _PLAIN.format(s="s"), "predicate": "predicate", "low": "lower(a)", "high": "lower(e)", "options": options}
+    prompt = _filled_sql(fixed.SINGLE_HEAD + form + tail, **values)
     return f"""
 WITH {_SCENARIOS}, f AS (
   SELECT modifier_no, modifier, scenario_id, attempt, v, predicate, {question} AS question, CASE WHEN v = 0 THEN baseline ELSE hedged_baseline END AS s,
@@ -76,15 +95,10 @@ WITH {_SCENARIOS}, f AS (
   FROM scenarios, modifiers, attempts, (VALUES (0), (1)) AS t(v)
 )
 SELECT CAST(request_no AS BIGINT) AS request_no, CASE WHEN v = 0 THEN 'request-' ELSE 'request-hedge-' END || CAST(request_no AS VARCHAR) AS key, modifier, scenario_id, CAST(attempt AS INTEGER) AS attempt,
-       CASE WHEN v = 0 THEN 'baseline' ELSE 'hedge_baseline' END AS variant, md5({_HEAD.format(s='s')} || {ask} || {_TAIL.format(kind=kind)}) AS prompt_md5
+       CASE WHEN v = 0 THEN 'baseline' ELSE 'hedge_baseline' END AS variant, md5({prompt}) AS prompt_md5
 FROM f JOIN scales USING (predicate)"""
 
 
-_CHOICE_ASK = f"'If ' || {_SPEAKER.format(q='question')} || ' was more polite and had said \"' || {_SAID.format(s='s')} || '\" (adding \"' || modifier || '\") instead, does this mean they are actually feeling:' || chr(10) || {_OPTIONS}"
-_RATING_ASK = f"'If ' || {_SPEAKER.format(q='question')} || ' was more polite and had said \"' || {_SAID.format(s='s')} || '\" (adding \"' || modifier || '\") instead. How ' || predicate || ' do they think it is? Choose a number on a scale from ' || lower(a) || ' (1) to ' || lower(e) || ' (7).' || chr(10)"
-_POLITE_ASK = f"'If ' || {_SPEAKER.format(q='question')} || ' had said \"' || {_SAID.format(s='s')} || '\" (adding \"' || modifier || '\"),would it be:' || chr(10) || {_POLITE}"
-
-
 def _single(prompt, question: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         made = design.single_requests(scenario_table(spark, sf_dir), n_scenarios(spark, sf_dir), prompt, question)
@@ -94,7 +108,8 @@ def _single(prompt, question: str) -> Query:
 
 
 def _pair_sql(question: str, ask: str, options: str, tail: str) -> str:
-    said = _SAID.format(s="baseline")
+    values = {**_asked(question, "baseline"), "first": _PLAIN.format(s="one"), "second": _PLAIN.format(s="two"), "options": options}
+    prompt = _filled_sql(fixed.PAIR_HEAD + ask + tail + fixed.PAIR_JSON, **values)
     return f"""
 WITH {_SCENARIOS}, f AS (
   SELECT *, (modifier_no * (SELECT max(item_id) + 1 FROM benchmark) + scenario_id) * 3 + attempt + 1 AS request_no FROM scenarios, modifiers, attempts
@@ -104,8 +119,7 @@ WITH {_SCENARIOS}, f AS (
   SELECT *, CASE WHEN swapped THEN hedged_baseline ELSE baseline END AS one, CASE WHEN swapped THEN baseline ELSE hedged_baseline END AS two FROM g JOIN scales USING (predicate)
 )
 SELECT CAST(request_no AS BIGINT) AS request_no, 'request-' || CAST(request_no AS VARCHAR) || CASE WHEN swapped THEN '-True' ELSE '-False' END AS key, swapped,
-  md5(chr(10) || 'Please read these two scenarios:' || chr(10) || 'Scenario 1:' || chr(10) || replace(one, '[modifier] ', '') || chr(10) || chr(10) || 'Scenario 2:' || chr(10) || replace(two, '[modifier] ', '') || chr(10) || chr(10)
-      || 'If ' || {_SPEAKER.format(q=question)} || ' had said "' || {said} || '" (adding "' || modifier || '"){ask}' || chr(10) || {options} || {_PAIR_TAIL.format(ask=tail)}) AS prompt_md5
+  md5({prompt}) AS prompt_md5
 FROM h"""
 
 
@@ -130,7 +144,10 @@ def sentence_explode(spark, sf_dir):
 
 
 def _utterances(spark, sf_dir) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), "text", "source", "lang")
+    """Documents as utterances; ``seq`` is the doc_id where the ids are 0, 1, 2, ..., and else the place in their order, as chunks need it."""
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), "text", "source", "lang")
+    n, last = docs.agg(F.count("*"), F.max("seq")).first()
+    return docs if n in (0, last + 1) else with_seq(docs.withColumnRenamed("seq", "_id"), "_id").drop("_id")
 
 
 def chunk30_prompts(spark, sf_dir):
@@ -323,11 +340,6 @@ SELECT doc_id, source, 'the' AS phrase, a[i] AS target_sentence, array_to_string
        array_to_string(a[greatest(1, i - 3):i + 3], ' ') AS full_context, CAST(i AS VARCHAR) || '/' || CAST(len(a) AS VARCHAR) AS sentence_position FROM t WHERE i > 0"""
 
 
-def _sql_text(value: str) -> str:
-    """A SQL expression for a Python text."""
-    return " || chr(10) || ".join("'" + p.replace("'", "''") + "'" for p in value.split("\n"))
-
-
 QUERIES: dict[str, tuple[Query, str]] = {
     "kwic_context": (kwic_context, f"SELECT * EXCLUDE (source) FROM ({_KWIC_SQL})"),
     "sentence_explode": (sentence_explode, f"""
@@ -341,11 +353,11 @@ WITH u AS (SELECT doc_id AS seq, text FROM documents), c AS (SELECT seq // 30 AS
 SELECT chunk, n, md5(CASE WHEN n < 30 THEN {_sql_text(fixed.CONTAINS_TAIL_HEAD)} ELSE {_sql_text(fixed.CONTAINS_HEAD)} END || lines) AS prompt_md5 FROM c"""),
     "polite_prompt": (polite_prompt, f"""
 WITH u AS (SELECT doc_id AS seq, text FROM documents WHERE doc_id < 30) SELECT md5({_sql_text(fixed.POLITE_HEAD)} || {_NUMBERED}) AS prompt_md5 FROM u"""),
-    "factorial_requests": (_single(prompts.choice_prompt, "predicate_question"), _single_sql(_CHOICE_ASK, "predicate_question", "choice")),
-    "rating_requests": (_single(prompts.rating_prompt, "predicate_question"), _single_sql(_RATING_ASK, "predicate_question", "number")),
-    "politeness_prompts": (_single(prompts.politeness_prompt, "politeness_question"), _single_sql(_POLITE_ASK, "politeness_question", "choice")),
-    "paired_requests": (_pair(False), _pair_sql("predicate_question", ", does this mean they are actually feeling:", _OPTIONS, "Please only output your answer as a json format like this:")),
-    "paired_politeness": (_pair(True), _pair_sql("politeness_question", ",would it be:", _POLITE, "Please provide your choice for each of the two scenarios. Output your answer as a json format like this:")),
+    "factorial_requests": (_single(prompts.choice_prompt, "predicate_question"), _single_sql(fixed.CHOICE_QUESTION, "predicate_question", fixed.SINGLE_CHOICE_TAIL, _OPTIONS)),
+    "rating_requests": (_single(prompts.rating_prompt, "predicate_question"), _single_sql(fixed.RATING_QUESTION, "predicate_question", fixed.SINGLE_NUMBER_TAIL)),
+    "politeness_prompts": (_single(prompts.politeness_prompt, "politeness_question"), _single_sql(fixed.POLITENESS_QUESTION, "politeness_question", fixed.SINGLE_CHOICE_TAIL, _POLITE)),
+    "paired_requests": (_pair(False), _pair_sql("predicate_question", fixed.PAIR_CHOICE_QUESTION, _OPTIONS, fixed.PAIR_CHOICE_TAIL)),
+    "paired_politeness": (_pair(True), _pair_sql("politeness_question", fixed.POLITENESS_QUESTION, _POLITE, fixed.PAIR_POLITENESS_TAIL)),
     "quoted_span_speaker": (quoted_span_speaker, f"""
 WITH {_SCENARIOS} SELECT scenario_id, string_split(predicate_question, ' ')[4] AS speaker, regexp_extract(hedged_baseline, '(?s)"(.*)"', 1) AS quoted FROM scenarios"""),
     "judge_vote": (judge_vote, """
@@ -410,9 +422,7 @@ j AS (SELECT u.*, judge, (i + judge) % 4 = 0 AND (3 * chunk + judge) % 7 <> 0 AS
 v AS (SELECT seq, any_value(text) AS text, 'w' || CAST(min(judge) AS VARCHAR) AS modifier_word FROM j WHERE yes GROUP BY seq)
 SELECT seq, modifier_word, md5(text) AS text_md5 FROM v QUALIFY row_number() OVER (PARTITION BY text ORDER BY seq) = 1"""),
     "context_prompts": (context_prompts, f"""
-WITH k AS ({_KWIC_SQL}) SELECT CAST(doc_id AS VARCHAR) AS page_id, md5('Analyze "the" in this Wikipedia discussion:' || chr(10) || chr(10) || 'PAGE: ' || source || chr(10) || chr(10) || 'CONTEXT BEFORE:' || chr(10) || before_context
-  || chr(10) || chr(10) || 'TARGET SENTENCE (contains "the"):' || chr(10) || target_sentence || chr(10) || chr(10) || 'CONTEXT AFTER:' || chr(10) || after_context
-  || {_sql_text(fixed.CONTEXT_PROMPT.split("{after}")[1].replace("{phrase}", "the"))}) AS prompt_md5 FROM k"""),
+WITH k AS ({_KWIC_SQL}) SELECT CAST(doc_id AS VARCHAR) AS page_id, md5({_filled_sql(fixed.CONTEXT_PROMPT, phrase="'the'", title="source", before="before_context", target="target_sentence", after="after_context")}) AS prompt_md5 FROM k"""),
     "utterance_scores": (utterance_scores, "SELECT md5(text) AS utterance_md5, doc_id / 8 AS score FROM documents WHERE contains(text, 'the')"),
     "swapped_answers": (swapped_answers, f"""
 WITH {_SCENARIOS}, f AS (SELECT (modifier_no * (SELECT max(item_id) + 1 FROM benchmark) + scenario_id) * 3 + attempt + 1 AS n FROM scenarios, modifiers, attempts),

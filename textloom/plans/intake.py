@@ -15,6 +15,7 @@ from ..operators import consensus, design, judge, parse
 from ..sources import numbering, readers
 from ..sources.scratch import shared_path, stored
 from ..streaming import votes
+from . import studies
 from .round_trips import _table
 
 #: What a model may send instead of {"scenario_answer": "(A)"}: text around it, a second value, brackets that close early, other quotes.
@@ -136,6 +137,29 @@ def resumed_answers(spark, sf_dir):
     return judged.join(asked, F.col("key") == F.col("_key"), "left").select("request_no", F.col("scenario_answer").alias("answer"), "times_asked", F.lit(first).cast("long").alias("asked_first"))
 
 
+def rating_chunks(spark, sf_dir):
+    """All scenarios rated in prompts of sixteen, three attempts, by a stub that answers hashed numbers; every fifth list is short, and rejected."""
+    from .catalogue import n_scenarios, scenario_table
+
+    class Listed:
+        def judge(self, requests):
+            number = lambda s: F.conv(F.substring(F.md5(s.cast("string")), 1, 2), 16, 10)
+            first = F.get("order", F.lit(0))
+            found = F.when(first % 5 == 0, F.slice("order", 1, F.size("order") - 1)).otherwise(F.col("order"))
+            return requests.withColumn("raw", F.concat(F.lit("Ratings:\n["), F.array_join(F.transform(found, number), ", "), F.lit("]")))
+
+    return studies.rating_study(scenario_table(spark, sf_dir), n_scenarios(spark, sf_dir), Listed(), size=16).drop("modifier_no")
+
+
+def keyed_prompts(spark, sf_dir):
+    """Labelled documents with the prompts of their keys: a left join in which repeated and missing keys neither add nor lose a row."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    key = F.concat(F.lit("request-"), F.col("doc_id").cast("string"))
+    prompts_by_key = labels.select(key.alias("key"), F.concat(F.lit("quality "), F.col("quality").cast("string")).alias("prompt"))
+    twice = prompts_by_key.unionByName(prompts_by_key.withColumn("prompt", F.concat(F.col("prompt"), F.lit(" again"))))
+    return studies.keyed_prompts(docs.select("doc_id", key.alias("key")), twice).select("doc_id", "key", "prompt")
+
+
 def nested_meta(spark, sf_dir):
     """Utterances whose meta has numbers, lists and objects, read back by type."""
     path, id_ = shared_path(spark, "dynamic"), F.col("doc_id")
@@ -227,6 +251,15 @@ SELECT doc_id, bool_or(yes) AS is_modifier, coalesce('w' || CAST(min(judge) FILT
         "resumed_answers": (resumed_answers, f"""
 SELECT request_no, substr('ABCDE', CAST('0x' || substr(prompt_md5, 1, 6) AS INTEGER) % 5 + 1, 1) AS answer, CAST(1 AS BIGINT) AS times_asked, count(*) FILTER (WHERE request_no % 2 = 1) OVER () AS asked_first
 FROM ({c.QUERIES['factorial_requests'][1]})"""),
+        "rating_chunks": (rating_chunks, f"""
+WITH {c._SCENARIOS}, i AS (SELECT modifier, scenario_id, predicate_question AS question, k, attempt, (modifier_no * (SELECT max(item_id) + 1 FROM benchmark) + scenario_id) * 4 + k AS seq FROM scenarios, modifiers, attempts, (VALUES (0), (1), (2), (3)) AS t(k)),
+g AS (SELECT *, min(seq) OVER (PARTITION BY seq // 16) AS first FROM i),
+r AS (SELECT *, CASE WHEN first % 5 <> 0 THEN CAST(CAST('0x' || substr(md5(CAST(seq AS VARCHAR)), 1, 2) AS INTEGER) AS VARCHAR) || ', ' END AS answer FROM g)
+SELECT scenario_id, modifier, question, coalesce(string_agg(answer, '') FILTER (WHERE k = 0), '') AS baseline_unmodified, coalesce(string_agg(answer, '') FILTER (WHERE k = 1), '') AS baseline_modified,
+       coalesce(string_agg(answer, '') FILTER (WHERE k = 2), '') AS c1_unmodified, coalesce(string_agg(answer, '') FILTER (WHERE k = 3), '') AS c1_modified
+FROM r GROUP BY scenario_id, modifier, question"""),
+        "keyed_prompts": (keyed_prompts, """
+SELECT d.doc_id, 'request-' || CAST(d.doc_id AS VARCHAR) AS key, 'quality ' || CAST(l.quality AS VARCHAR) AS prompt FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id"""),
         "nested_meta": (nested_meta, """
 SELECT doc_id, doc_id / 8 AS score, doc_id % 3 = 0 AS root, CASE WHEN doc_id % 4 <> 0 THEN 'u' || CAST(doc_id % 5 AS VARCHAR) END AS user,
        CASE WHEN doc_id % 4 <> 0 THEN doc_id * 2 END AS second_count, CAST(NULL AS DOUBLE) AS kind_as_number FROM documents"""),

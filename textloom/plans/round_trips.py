@@ -28,7 +28,7 @@ def scenario_scan(spark, sf_dir):
     from .catalogue import scenario_table
 
     path = _path(spark, "scenarios")
-    sinks.write_scenarios(scenario_table(spark, sf_dir).drop("predicate"), path)
+    sinks.write_scenarios(scenario_table(spark, sf_dir).drop("predicate"), path, 4)
     return readers.scenarios(spark, path).select("scenario_id", "predicate", "baseline", "c1", "hedged_baseline", "c2", "politeness_question", "predicate_question")
 
 
@@ -38,7 +38,7 @@ def slider_scan(spark, sf_dir):
 
     path = _path(spark, "sliders")
     cells = F.concat_ws(",", F.concat(F.lit("S"), F.col("scenario_id").cast("string")), *[F.when((F.col("scenario_id") + k) % 3 != 0, (F.col("scenario_id") * k).cast("string")).otherwise("") for k in range(2 * len(fixed.MODIFIERS))])
-    sinks.write_scenarios(scenario_table(spark, sf_dir).withColumn("packed", F.when(F.col("scenario_id") % 4 != 3, cells)), path)
+    sinks.write_scenarios(scenario_table(spark, sf_dir).withColumn("packed", F.when(F.col("scenario_id") % 4 != 3, cells)), path, 4)
     return readers.slider_settings(readers.scenarios(spark, path))
 
 
@@ -115,7 +115,8 @@ def prompt_sentences(spark, sf_dir):
     utterances = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), F.replace("text", F.lit("\n"), F.lit(" ")).alias("text"))
     sinks.write_requests(design.label_requests(design.chunks(utterances), 1).withColumn("prompt", F.split("prompt", "sentences:\n")[1]), path)
     read = readers.requests(spark, path)
-    return read.select("key", F.md5(tx.line_at(F.col("prompt"), F.lit(0))).alias("first_md5"), (tx.line_at(F.col("prompt"), F.lit(99)) == "").alias("beyond"))
+    line = lambda n: F.md5(tx.line_at(F.col("prompt"), F.lit(n)))
+    return read.select("key", line(0).alias("first_md5"), line(7).alias("eighth_md5"), (tx.line_at(F.col("prompt"), F.lit(99)) == "").alias("beyond"))
 
 
 def _job(spark, sf_dir):
@@ -151,11 +152,11 @@ def callable_answers(spark, sf_dir):
 
 
 def swap_flag_list(spark, sf_dir):
-    """The paired requests' flags in request order, as a list and with places."""
+    """The paired requests' flags in request order, with their places."""
     from .catalogue import n_scenarios, scenario_table
 
-    flags = sinks.swap_flags(design.paired_requests(scenario_table(spark, sf_dir), n_scenarios(spark, sf_dir)))
-    return flags.select(F.posexplode("swapped").alias("place", "swapped")).withColumn("place", F.col("place").cast("long"))
+    flags = sinks.swap_flag_rows(design.paired_requests(scenario_table(spark, sf_dir), n_scenarios(spark, sf_dir)))
+    return flags.select(F.col("place").cast("long").alias("place"), "swapped")
 
 
 def frequency_frame(spark, sf_dir):
@@ -212,8 +213,8 @@ SELECT CASE WHEN doc_id % 4 <> 0 THEN doc_id END AS page_id, source AS title, CA
         "first_contexts": (first_contexts, f"WITH k AS ({c._KWIC_SQL}) SELECT CAST(doc_id AS VARCHAR) AS page_id, sentence_position FROM k ORDER BY doc_id LIMIT 6"),
         "request_file": (request_file, f"SELECT key, prompt_md5 FROM ({c.QUERIES['chunk30_prompts'][1]})"),
         "prompt_sentences": (prompt_sentences, r"""
-WITH s AS (SELECT doc_id // 30 AS chunk, min_by(replace(text, chr(10), ' '), doc_id) AS first FROM documents GROUP BY 1)
-SELECT 'request-' || CAST(chunk + 1 AS VARCHAR) || '-1' AS key, md5(first) AS first_md5, true AS beyond FROM s"""),
+WITH s AS (SELECT doc_id // 30 AS chunk, min_by(replace(text, chr(10), ' '), doc_id) AS first, max(replace(text, chr(10), ' ')) FILTER (WHERE doc_id % 30 = 7) AS eighth FROM documents GROUP BY 1)
+SELECT 'request-' || CAST(chunk + 1 AS VARCHAR) || '-1' AS key, md5(first) AS first_md5, md5(coalesce(eighth, '')) AS eighth_md5, true AS beyond FROM s"""),
         "job_answers": (job_answers, f"""{jobs} SELECT n AS request_no, {numbered} AS key, substr('ABCDE', CAST('0x' || substr(md5({numbered}), 1, 6) AS INTEGER) % 5 + 1, 1) AS scenario_answer, CAST(NULL AS VARCHAR) AS parse_error FROM f"""),
         "job_list": (job_list, f"SELECT 'batches/1' AS job_name, '{fixed.ENDED_STATES[0]}' AS state, 'choices' AS display_name, true AS ended"),
         "callable_answers": (callable_answers, f"SELECT request_no, substr('ABCDE', CAST('0x' || substr(prompt_md5, 1, 6) AS INTEGER) % 5 + 1, 1) AS answer FROM ({choices})"),

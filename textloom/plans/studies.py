@@ -40,11 +40,13 @@ def paired_study(scenarios: DataFrame, n_scenarios: int, judge: Judge, polite: b
     return consensus.unswapped(parse.answers(judge.judge(requests), ("scenario_1_answer", "scenario_2_answer")))
 
 
-def rating_requests(items: DataFrame, attempts: int = fixed.ATTEMPTS, seed: str | None = None) -> DataFrame:
-    """(attempt, key, prompt, order): each attempt asks about all items in one prompt; ``order`` has their ``seq`` as the prompt shows them."""
+def rating_requests(items: DataFrame, attempts: int = fixed.ATTEMPTS, seed: str | None = None, size: int | None = None) -> DataFrame:
+    """(attempt, key, prompt, order): each attempt asks about all items in one prompt, or about each ``size`` in one; ``order`` has their ``seq`` as the prompt shows them."""
     asked = None
     for a in range(attempts):
-        one = design.rating_prompt(items, None if seed is None else f"{seed}-{a}").select(F.lit(a).alias("attempt"), F.lit(f"rating-{a + 1}").alias("key"), "prompt", "order")
+        made = design.rating_prompt(items, None if seed is None else f"{seed}-{a}", size)
+        key = F.lit(f"rating-{a + 1}") if size is None else F.concat(F.lit(f"rating-{a + 1}-"), (F.col("chunk") + 1).cast("string"))
+        one = made.select(F.lit(a).alias("attempt"), key.alias("key"), "prompt", "order")
         asked = one if asked is None else asked.unionByName(one)
     return asked
 
@@ -70,10 +72,10 @@ def rating_table(items: DataFrame, answered: DataFrame, literal: bool = False) -
     return wide.select("modifier_no", "scenario_id", "modifier", "question", *forms)
 
 
-def rating_study(scenarios: DataFrame, n_scenarios: int, judge: Judge, attempts: int = fixed.ATTEMPTS, seed: str | None = None, literal: bool = False) -> DataFrame:
-    """The ratings of all scenarios.  Literally, the label is a letter of the last modifier instead of the modifier."""
+def rating_study(scenarios: DataFrame, n_scenarios: int, judge: Judge, attempts: int = fixed.ATTEMPTS, seed: str | None = None, literal: bool = False, size: int | None = None) -> DataFrame:
+    """The ratings of all scenarios, asked in one prompt or in prompts of ``size`` items.  Literally, the label is a letter of the last modifier instead of the modifier."""
     items = design.rating_items(scenarios, n_scenarios)
-    return rating_table(items, rating_answers(rating_requests(items, attempts, seed), judge, literal), literal)
+    return rating_table(items, rating_answers(rating_requests(items, attempts, seed, size), judge, literal), literal)
 
 
 def labelling_study(utterances: DataFrame, judge: Judge, keep_tail: bool = True, literal: bool = False) -> DataFrame:

@@ -18,13 +18,17 @@ from .scratch import shared_path
 
 
 def scenarios(spark: SparkSession, path: str) -> DataFrame:
-    """The scenario file with ``scenario_id`` from 0 in file order and ``predicate``.
+    """The scenario file, or a folder of such files, with ``scenario_id`` from 0 in the order of files and rows, and ``predicate``.
 
-    A quoted cell may hold line breaks, so one task reads the file; it is a hand-written table.
+    A quoted cell may hold line breaks, so a task reads a whole file.
     Blocks of five scenarios belong to a predicate, which is also the second word of the question.
     """
-    rows = spark.read.csv(path, header=True, multiLine=True, escape='"', lineSep="\r\n", schema=schemas.SCENARIOS, enforceSchema=True)
-    numbered = rows.withColumn("scenario_id", F.monotonically_increasing_id())  # one file is one partition
+    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("lineSep", "\r\n").option("enforceSchema", True).schema(schemas.SCENARIOS)
+    rows = reader.csv(path)
+    if len(rows.inputFiles()) == 1:
+        numbered = rows.withColumn("scenario_id", F.monotonically_increasing_id())  # one file is one partition
+    else:
+        numbered = with_seq(in_file_order(rows), "place", name="scenario_id").drop("place")
     return numbered.withColumn("predicate", F.get(F.split("predicate_question", " "), F.lit(1)))
 
 

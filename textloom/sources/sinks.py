@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from ..operators.order import with_seq
 from . import schemas
 
 
@@ -14,9 +15,12 @@ def write_csv(df: DataFrame, path: str, one_file: bool = False) -> None:
     out.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
-def write_scenarios(rows: DataFrame, path: str) -> None:
-    """A scenario table in the file's own form, ordered by ``scenario_id``: one file, CRLF line ends, in cells too."""
-    ordered = rows.repartition(1).sortWithinPartitions("scenario_id")
+def write_scenarios(rows: DataFrame, path: str, files: int = 1) -> None:
+    """A scenario table in the file's own form, ordered by ``scenario_id``: CRLF line ends, in cells too.
+
+    One file, as the study has it, is made by one task; more files, for larger tables, hold ranges of the ids in the order of their names.
+    """
+    ordered = (rows.repartition(1) if files == 1 else rows.repartitionByRange(files, "scenario_id")).sortWithinPartitions("scenario_id")
     cells = [F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in schemas.SCENARIOS.names]
     ordered.select(*cells).write.mode("overwrite").option("header", True).option("escape", '"').option("lineSep", "\r\n").csv(path)
 
@@ -40,11 +44,16 @@ def write_json_lines(df: DataFrame, path: str, bzip2: bool = False) -> None:
 
 
 def swap_flags(requests: DataFrame) -> DataFrame:
-    """One row with the flags of paired requests in request order, as an array."""
+    """One row with the flags of paired requests in request order, as an array, for a design of a few thousand requests (see ``swap_flag_rows``)."""
     by = F.array_sort(F.collect_list(F.struct("request_no", "swapped")))
     return requests.agg(F.transform(by, lambda x: x["swapped"]).alias("swapped"))
 
 
+def swap_flag_rows(requests: DataFrame) -> DataFrame:
+    """(place, swapped): the flags of paired requests with their places from 0 in request order, for a design of any size."""
+    return with_seq(requests.select("request_no", "swapped"), "request_no", name="place").select("place", "swapped")
+
+
 def frequency_bars(df: DataFrame, label: str) -> DataFrame:
     """(label, frequency): the tidy frame behind a bar chart of shares."""
     total = df.agg(F.count("*").alias("_total"))
