@@ -271,3 +271,25 @@ def test_pipeline(spark, tmp_path):
     assert Counter(r["doc_id"] for r in last) == Counter(ids[3]) and {r["shard"] for r in last} <= set(range(24))
     whole = corpus_pipeline.run(spark, sf)
     assert Counter((r["doc_id"], r["shard"], r["slot"]) for r in whole.collect()) == Counter((r["doc_id"], r["shard"], r["slot"]) for r in last)
+
+
+def test_resolve_odd_records(spark):
+    """Repeated rows, equal and null record ids, header names in capitals."""
+    ddl = "record_id long, kind string, url string, time long, headers map<string,string>, tie string, latest int, part int"
+    more = (None, None, None)
+    rows = [
+        (1, "response", "http://a.com/", 1, {"ETag": "x", "Content-Length": "9"}, *more), (1, "response", "http://a.com/", 1, {"ETag": "x", "Content-Length": "9"}, *more),
+        (2, "revisit", "http://a.com", 2, {"ETAG": "W/x", "Date": "now"}, *more), (2, "revisit", "http://a.com", 2, {"ETAG": "W/x", "Date": "now"}, *more),
+        (None, "revisit", "http://a.com", 3, {"etag": "y"}, *more), (None, "response", "http://b.com", 1, {"Etag": "n"}, *more), (5, "response", "http://b.com", 1, {"Etag": "five"}, *more),
+        (6, "revisit", "http://b.com", 2, {"etag": "five"}, *more), (None, "response", "http://c.com", 1, None, *more), (7, "revisit", "http://c.com", 2, {"Vary": "a", "vary": "b"}, *more),
+        (8, "other", "http://c.com", 2, None, *more), (8, None, None, None, None, *more),
+    ]
+    for n in (1, 4):
+        found = warc.resolve(spark.createDataFrame(rows, ddl).repartition(n)).collect()
+        got = Counter((r["record_id"], r["target_id"], r["status"], tuple(sorted(r["headers"].items()))) for r in found)
+        assert got == Counter({
+            (2, 1, "resolved", (("content-length", "9"), ("date", "now"), ("etag", "W/x"))): 2, (None, None, "mismatch", (("etag", "y"),)): 1,
+            (6, 5, "resolved", (("etag", "five"),)): 1, (7, None, "unchecked", (("vary", "b"),)): 1})
+    twins = [(1, "response", "u.com", 1, {"etag": e}, *more) for e in "pqrs"] + [(2, "revisit", "u.com", 2, {"date": "d"}, *more)]
+    seen = {tuple(sorted(warc.resolve(spark.createDataFrame(twins, ddl).repartition(n)).first()["headers"].items())) for n in (1, 2, 3, 5)}
+    assert len(seen) == 1

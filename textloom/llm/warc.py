@@ -8,7 +8,8 @@ Headers of the revisit that a 304 may update replace those of the stored respons
 
 Defined results: a revisit without an earlier response is ``unresolved``, one whose validators
 disagree is ``mismatch``; both keep their own headers.  Null urls have no canonical form and
-resolve nothing; null times never are earlier or later; null header maps are empty; repeated rows are rows of their own; an
+resolve nothing; null times never are earlier or later; null header maps are empty; repeated rows, and rows with equal or null record ids, are
+rows of their own (a response without an id loses to any other of its time; of equal times and ids the larger hash of the headers wins); an
 empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
@@ -37,6 +38,14 @@ def canonical_url(url: Column) -> Column:
     return F.concat(host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
 
 
+def _lowered(headers: Column) -> Column:
+    """The headers with their names in lower case, of names that differ in case only the last in the order of their bytes; a null map is empty."""
+    given = F.coalesce(headers, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
+    entries = F.transform(F.array_sort(F.map_entries(given)), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
+    names = F.transform(entries, lambda e: e["key"])
+    return F.map_from_entries(F.filter(entries, lambda e, i: ~F.array_contains(F.slice(names, i + 2, F.greatest(F.size(names), F.lit(1))), e["key"])))
+
+
 def _tag(headers: Column) -> Column:
     return F.regexp_replace(F.get(F.map_values(F.map_filter(headers, lambda k, v: k == "etag")), F.lit(0)), "^W/", "")
 
@@ -53,20 +62,20 @@ def _merged(stored: Column, update: Column) -> Column:
 def resolve(records: DataFrame) -> DataFrame:
     """One row per revisit: record_id, canonical, time, target_id, target_time, status, headers.
 
-    ``records`` has record_id (long), kind ('response' or 'revisit'), url, time (long) and headers (map, names in lower case).
+    ``records`` has record_id (long), kind ('response' or 'revisit'), url, time (long) and headers (map; names in any case, as HTTP has it, and in lower case in the result).
     Rows are range-partitioned by URL and time, so a URL with a third of all rows spreads over as many partitions; each partition then
     gets the latest response of the partitions before it, at most one row per URL and partition.
     """
-    headers = F.coalesce(F.col("headers"), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
-    rows = records.select("record_id", "kind", canonical_url(F.col("url")).alias("canonical"), "time", headers.alias("headers"))
+    rows = records.select("record_id", "kind", canonical_url(F.col("url")).alias("canonical"), "time", _lowered(F.col("headers")).alias("headers"))
+    rows = rows.withColumn("tie", F.xxhash64(F.array_sort(F.map_entries("headers"))))  # of responses with one time and id
     known = rows.filter("canonical is not null and time is not null and kind in ('response', 'revisit')")
     # at one time revisits stand before responses, so that only strictly earlier responses are seen
     ranged = known.withColumn("late", (F.col("kind") == "response").cast("int")).repartitionByRange("canonical", "time", "late", "record_id")
     stored = written(ranged.withColumn("part", F.spark_partition_id()), "captures")
     full = F.when(F.col("late") == 1, F.struct("time", "record_id", "headers"))
-    seen = Window.partitionBy("canonical", "part").orderBy("time", "late", "record_id").rowsBetween(Window.unboundedPreceding, 0)
+    seen = Window.partitionBy("canonical", "part").orderBy("time", "late", "record_id", "tie").rowsBetween(Window.unboundedPreceding, 0)
     inner = stored.withColumn("latest", F.last(full, ignorenulls=True).over(seen)).filter("late = 0")
-    by_part = stored.filter("late = 1").groupBy("canonical", "part").agg(F.max_by(F.struct("time", "record_id", "headers"), F.struct("time", "record_id")).alias("last"))
+    by_part = stored.filter("late = 1").groupBy("canonical", "part").agg(F.max_by(F.struct("time", "record_id", "headers"), F.struct("time", "record_id", "tie")).alias("last"))
     places = stored.select("canonical", "part").distinct().join(by_part, ["canonical", "part"], "left")
     before = Window.partitionBy("canonical").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     carried = places.select("canonical", "part", F.last("last", ignorenulls=True).over(before).alias("carried"))
