@@ -174,6 +174,8 @@ def test_search_is_exhaustive():
     index = decontaminate.Index(items, len(chunks), sum(map(len, tokens)) / len(chunks), df)
     for least in (0.2, 0.5, 0.8):
         texts = [decontaminate.words(" ".join(rng.choices(vocabulary, k=rng.randint(1, 500)))) for _ in range(20)] + [tokens[5], []]
+        for run in (1, 2, 3):  # in overlapping runs of chunks, whatever their length
+            assert index.retrieve(texts, least, run) == index.retrieve(texts, least)
         for ws, got in zip(texts, index.retrieve(texts, least)):
             want = {}
             for s in range(0, max(1, len(ws) - 64), 64):
