@@ -36,16 +36,19 @@ def test_common_subsequence():
     ("", []),
     ("plain &amp; simple\n text", [("plain & simple text", 1)]),
     ("<p>a<p>b<b>c</b>d<br>e &lt;i&gt; &#233;&nbsp;f", [("a", 1), ("bcd", 1), ("e <i> é f", 1)]),
-    ("<article><header><h1>Head</h1><p>by line</p></header><p>x</p></article><p>out</p>", [("Head", 2), ("by line", 0), ("x", 2), ("out", 1)]),
+    ("<article><header><h1>Head</h1><p>by line</p></header><p>x</p></article><p>out</p>", [("Head", 3), ("by line", 0), ("x", 3), ("out", 1)]),
     ("<header><h1>Site</h1></header><main><nav><a>m</a></nav><p>t</p><footer>f</footer></main>", [("Site", 0), ("m", 0), ("t", 2), ("f", 0)]),
     ("<script>var t='<p>no</p>';</script><style>p{}</style><title>t</title><p>a</p><!-- <p>no</p> --><textarea><p>no</textarea>b", [("a", 1), ("b", 1)]),
     ("<ul><li class='ad'>x<li>y</ul><div id=sideBar>s</div><div class='article-body ad_slot'>z</div>", [("x", 0), ("y", 1), ("s", 0), ("z", 0)]),
-    ("<article class=comment>c</article><article>d<section id=comments><p>e</p></section></article>", [("c", 0), ("d", 2), ("e", 0)]),
+    ("<article class=comment>c</article><article>d<section id=comments><p>e</p></section></article>", [("c", 0), ("d", 3), ("e", 0)]),
     ("<div role=navigation>n</div><div hidden>h</div><div style='display: none'>s</div><div aria-hidden=true>a</div>k", [("n", 0), ("h", 0), ("s", 0), ("a", 0), ("k", 1)]),
     ("<p title='a > b'>in</p><p title=don't>it's</p><div class=\"x", [("in", 1), ("it's", 1)]),
-    ("<body class='has-sidebar menu'><article class='post ad'>t</article>a < b &copy 1 <3", [("t", 2), ("a < b © 1 <3", 1)]),
+    ("<body class='has-sidebar menu'><article class='post ad'>t</article>a < b &copy 1 <3", [("t", 3), ("a < b © 1 <3", 1)]),
     ("<p>one</i>two<em>three</p>four", [("onetwothree", 1), ("four", 1)]),
-    ("<article><p><b>first<br><p>second</p></article><footer>f</footer>", [("first", 2), ("second", 2), ("f", 0)]),
+    ("<article><p><b>first<br><p>second</p></article><footer>f</footer>", [("first", 3), ("second", 3), ("f", 0)]),
+    ("<main><div class=topbar>x</div><p>m</p><article><p>a</p></article></main>", [("x", 0), ("m", 2), ("a", 3)]),
+    ("<div class='post comments-open'><p>t</p><section class=reader-comments><p>c</p></section><ol id=commentlist><li>d</ol></div>", [("t", 1), ("c", 0), ("d", 0)]),
+    ("<article class='entry has-comments'>t</article><article class='comment byuser'>c</article>", [("t", 3), ("c", 0)]),
     ("<table><tr><td>a<td>b<tr><td>c</table>", [("a", 1), ("b", 1), ("c", 1)]),
     ("<!-->a<!---->b<?php x ?>c</3>d", [("abcd", 1)]),
 ])
@@ -88,8 +91,9 @@ def brute(data):
             if 2 * sum(len(lines[i][0]) for i in found if lines[i][1]) <= sum(len(t) for t, m, _ in lines if m):
                 shared = found
                 break
-        if any(m == 2 for _, m, _ in lines):
-            kept = [t for t, m, _ in lines if m == 2]
+        size = lambda least: sum(len(t) for t, m, _ in lines if m >= least)
+        if any(m >= 2 for _, m, _ in lines):
+            kept = [t for t, m, _ in lines if m >= (3 if 2 * size(3) >= size(2) else 2)]
         else:
             alone = [i for i, (_, m, _) in enumerate(lines) if m and i not in shared]
             kept = [t for i, (t, m, c) in enumerate(lines) if m and (i in alone or (any(j < i and lines[j][2] == c for j in alone) and any(j > i and lines[j][2] == c for j in alone)))]
@@ -144,3 +148,23 @@ def test_copies_do_not_erase_each_other(spark):
 
 def test_empty(spark):
     assert page_text.main_text(spark.createDataFrame([], DDL)).count() == 0
+
+
+PAGE = """<!DOCTYPE html><html lang=en class="js no-comments"><head><title>T</title><style>.ad{{}}</style><script>var x = "<article>no</article>";</script></head><body class="single sidebar-right">
+<header class="site-header"><h1>The Daily</h1><nav><ul><li>Home<li>World</ul></nav></header><div id="cookieNotice">We use cookies</div><div class="alert alert-info">Notice</div>
+{open}<header><h1>Head &amp; line</h1><p class="byline">by A</p></header><p>First <b>bold</b>
+ words.<p>Second<br>line</p><div class="advert">Buy</div><figure><img src=x><figcaption>Caption</figcaption></figure><blockquote>Quote</blockquote>
+<table><tr><td>1<td>2</table><form><label>Mail</label><input><button>Go</button></form><aside>See also</aside><ul><li>one</li><li>two</li></ul><div class="share-buttons">Share</div>{close}
+<section id="comments"><h2>Comments</h2><div class="comment">Nice</div><article class="comment">Bad</article></section><div class="sidebar"><p>Popular</p></div><form>Search</form><footer>(c) <p>Imprint</p></footer></body></html>"""
+
+
+@pytest.mark.parametrize("open_, close", [("<article>", "</article>"), ("<main><article class='post'>", "</article></main>"), ("<main id=content><div itemprop='articleBody'>", "</div></main>")])
+def test_a_whole_page(spark, open_, close):
+    rows = [(1, "http://h/1", PAGE.format(open=open_, close=close), "t", "k", "h", 1)]
+    assert page_text.main_text(spark.createDataFrame(rows, DDL)).first()["text"] == "Head & line First bold words. Second line Caption Quote 1 2 one two"
+
+
+def test_teasers_beside_the_text(spark):
+    page = "<main><p>" + "the long text of the page " * 10 + "</p><article>teaser</article></main>"
+    found = page_text.main_text(spark.createDataFrame([(1, "http://h/1", page, "t", "k", "h", 1)], DDL)).first()
+    assert found["text"].startswith("the long text") and found["text"].endswith("teaser")

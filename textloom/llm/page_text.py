@@ -1,11 +1,11 @@
 """Main text of web pages by differencing each page with the pages nearest to it by URL.
 
-1. A page becomes text lines (one for each block of markup), each with the block's container and a mark: inside an article, furniture
-   (menu, header, footer, side bar, notice, advert, form, comments, by element or by a word of class, id or role), or neither.
+1. A page becomes text lines (one for each block of markup), each with the block's container and a mark: inside an article, inside a main part, furniture
+   (menu, header, footer, side bar, notice, advert, form, comments, by element or by a word of class, id or role), or none of these.
 2. The different pages of a host are sorted by URL path.  Of the one before and the one after, the one that shares the longer
    beginning of the path is the nearest (ties: the one before); one that shares over half of a page's text is a copy and tells nothing
    about furniture, so the other is taken.  The lines of the two are aligned by longest common subsequence.
-3. Where a page marks its article, that is the text, less the furniture inside.  Elsewhere furniture and the lines shared with the
+3. Where a page marks its article or main part, that is the text, less the furniture inside (the articles alone, if they hold a half of the main part's text at least).  Elsewhere furniture and the lines shared with the
    nearest page are deleted; a shared line stays if lines of the same container that aren't shared stand before and after it (a quotation in an article).
 
 Only hashes of lines are sorted by URL; texts are shuffled once, without furniture, to meet the numbers of the lines that stay.
@@ -32,7 +32,7 @@ from pyspark.sql.window import Window
 
 from .common import pieces, skew_join, small_batches, table, written
 
-ARTICLE, OPEN, FURNITURE = 2, 1, 0
+ARTICLE, MAIN, OPEN, FURNITURE = 3, 2, 1, 0
 #: Cells of the alignment of two pages that are held at once, a bit each; larger ones are halved first.
 CELLS = 1 << 28
 #: Over this share of a page's characters a neighbour is a copy.
@@ -47,8 +47,10 @@ _FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search
 _FURNITURE_WORDS = frozenset(
     "nav navbar navigation menu menus breadcrumb breadcrumbs masthead banner footer sidebar sidebars aside ad ads adbox adslot advert adverts advertisement advertisements advertising"
     " sponsor sponsored sponsors promo promotion cookie cookies consent gdpr notice notices notification popup modal overlay alert newsletter subscribe subscription signup login signin"
-    " social share sharing related recommended recommendations pagination pager copyright skip widget widgets toolbar search form".split())
-_COMMENT_WORDS = frozenset("comment comments commentlist commentary respond reply replies disqus discussion".split())
+    " social share sharing related recommended recommendations pagination pager copyright colophon skip widget widgets toolbar topbar rail search form forms announcement disclaimer paywall toast snackbar".split())
+_COMMENT_WORDS = frozenset("comment comments commentlist commentary respond reply replies responses disqus discussion".split())
+#: With these, a class only says whether there may be comments.
+_ABOUT_COMMENTS = frozenset("open closed no has with without count enabled disabled allowed".split())
 _HEADER_WORDS = frozenset(["header", "headers"])
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _EXEMPT = frozenset("html body main".split())
@@ -74,16 +76,18 @@ def _marked(tag: str, attributes: str, mark: int, in_header: bool) -> tuple[int,
     role = found.get("role", "").lower()
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", found.get("style", ""), re.I):
         return FURNITURE, in_header
-    if named & _COMMENT_WORDS and tag not in _EXEMPT:
+    if named & _COMMENT_WORDS and not named & _ABOUT_COMMENTS and tag not in _EXEMPT:
         return FURNITURE, in_header
-    if tag in ("article", "main") or role in ("main", "article") or "articlebody" in found.get("itemprop", "").lower():
+    if tag == "article" or role == "article" or "articlebody" in found.get("itemprop", "").lower():
         return ARTICLE, False
+    if tag == "main" or role == "main":
+        return max(mark, MAIN), False
     if tag in _EXEMPT or tag in _HEADINGS:
         return mark, in_header
     if role in _FURNITURE_ROLES or named & _FURNITURE_WORDS:
         return FURNITURE, in_header
     if tag == "header" or named & _HEADER_WORDS:
-        return (ARTICLE, True) if mark == ARTICLE else (FURNITURE, False)
+        return (ARTICLE, True) if mark == ARTICLE else (FURNITURE, False)  # a page's own header stands outside of the article, also in its main part
     return mark, in_header
 
 
@@ -276,8 +280,9 @@ def kept_lines(packed: bytes, path: str, neighbours: list[tuple[str, bytes]]) ->
         if chars[same & plain].sum() <= COPY * chars[plain].sum():
             shared = same
             break
-    if (mark == ARTICLE).any():
-        stays = mark == ARTICLE
+    article, main = mark == ARTICLE, mark >= MAIN
+    if main.any():
+        stays = article if 2 * chars[article].sum() >= chars[main].sum() else main  # else the articles are teasers beside the text
     else:
         own = plain & ~shared
         first, last = np.full(n, n), np.full(n, -1)
