@@ -59,6 +59,11 @@ def test_best_and_shorter_phrases(spark):
     assert found == brute(data, 4, 3, 5)
 
 
+def test_many_languages_in_a_task(spark):
+    data = [(i, "a b c. a b", f"l{i % 60}", "s", 1, 1, "k", "s") for i in range(600)]
+    assert sorted(map(tuple, collocations.collocations(frame(spark, data, 1), 5, block=100).collect())) == brute(data, 5)
+
+
 def test_empty(spark):
     assert collocations.collocations(spark.createDataFrame([], DDL)).count() == 0
     assert collocations.collocations(spark.createDataFrame([(1, None, None, "s", 1, 1, "k", "s"), (2, " .,\n", "en", "s", 1, 1, "k", "s")], DDL), 1).count() == 0

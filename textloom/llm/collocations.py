@@ -34,6 +34,8 @@ LONGEST = 5
 BEST = 2000
 #: Bytes of text in a block.
 BLOCK = 8 << 20
+#: Blocks' worth of text that a task holds for all languages together.
+HELD = 4
 #: Bits of the table that tells frequent pairs; more pairs than that only make it less use.
 BITS = 1 << 23
 #: Parts that pairs are dealt to, at least; with more than four times as many blocks there are more.
@@ -133,6 +135,8 @@ def _inverted_blocks(most: int) -> Callable:
                     size[lang] = size.get(lang, 0) + len(now)
                     if size[lang] >= most:
                         yield from rows(lang)
+                    elif sum(size.values()) >= HELD * most:  # many languages in one task
+                        yield from rows(max(size, key=size.__getitem__))
         for lang in list(held):
             yield from rows(lang)
 
