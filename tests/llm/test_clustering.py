@@ -56,17 +56,17 @@ def test_against_brute_force(spark):
 def test_ties_and_fewer_vectors_than_centroids(spark):
     square = [(i, [float(i % 2)] * 32 + [float(i // 2 % 2)] * 32, 1, "c", "v", "d") for i in range(12)]
     for k in (2, 3, 40):
-        found = [tuple(r) for r in clustering.clusters(spark.createDataFrame(square, DDL), k=k).collect()]
-        assert sorted(found) == sorted(brute(square, k, 5))
+        found = [tuple(r) for r in clustering.clusters(spark.createDataFrame(square, DDL), k=k, rounds=2).collect()]
+        assert sorted(found) == sorted(brute(square, k, 2))
 
 
 def test_large_components_are_exact(spark):
     data = vectors(3, 60)
     data += [(100 + i, [x * 2.0 ** (10 + i) for x in d[1]], 1, "c", "v", "d") for i, d in enumerate(data[:10])]
-    assert sorted(map(tuple, clustering.clusters(spark.createDataFrame(data, DDL)).collect())) == sorted(brute(data, 40, 5))
+    assert sorted(map(tuple, clustering.clusters(spark.createDataFrame(data, DDL), rounds=2).collect())) == sorted(brute(data, 40, 2))
     far = data + [(500, [1e30] * 64, 1, "c", "v", "d"), (501, [-1e30] * 64, 1, "c", "v", "d")]
-    want = {r[:2] for r in brute(far, 40, 5)}
-    found = clustering.clusters(spark.createDataFrame(far, DDL)).collect()
+    want = {r[:2] for r in brute(far, 40, 2)}
+    found = clustering.clusters(spark.createDataFrame(far, DDL), rounds=2).collect()
     assert {(r["vec_id"], r["cluster"]) for r in found} == want
     assert all(r["inertia"] is None or r["inertia"] < 2**63 for r in found)
 
