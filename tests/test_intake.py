@@ -256,14 +256,16 @@ def test_keep_first_by_hash(spark):
     df = spark.createDataFrame([(i, t, i % 2) for i, t in enumerate(texts)], "seq int, t string, _values int")
     for keys in (consensus.hashed_keys, lambda by: [F.length(by[0])], lambda by: [F.lit(1)]):
         for n in (1, 4):
-            assert sorted(tuple(r) for r in consensus.keep_first(df.repartition(n), ["t"], keys=keys).collect()) == [(i, texts[i], i % 2) for i in (0, 1, 3, 5, 6)]
+            assert sorted(tuple(r) for r in consensus.keep_first(df.repartition(n), ["t"], keys=keys, part=keys is not consensus.hashed_keys).collect()) == [(i, texts[i], i % 2) for i in (0, 1, 3, 5, 6)]
+    with pytest.raises(Exception, match="different values share a key"):
+        consensus.keep_first(df, ["t"], keys=lambda by: [F.lit(1)]).collect()
     both = consensus.keep_first(df.drop("_values").withColumn("u", F.col("seq") % 2), ["t", "u"]).collect()
     assert sorted(r["seq"] for r in both) == [0, 1, 3, 4, 5, 6, 8]
 
 
 def test_texts_are_no_shuffle_keys(spark):
     df = spark.createDataFrame([(1, "x")], "seq int, t string")
-    plan = consensus.keep_first(df, ["t"])._jdf.queryExecution().executedPlan().toString()
+    plan = consensus.keep_first(df, ["t"], part=True)._jdf.queryExecution().executedPlan().toString()
     exchanges = [line for line in plan.splitlines() if "hashpartitioning(" in line]
     assert exchanges and not any("hashpartitioning(t#" in line for line in exchanges)
 

@@ -5,8 +5,11 @@ All are expressions of built-in functions, so Catalyst sees through them.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .fixed import SLOT
 
@@ -72,20 +75,56 @@ def list_part(text: Column) -> Column:
     return F.regexp_extract(text, r"(?s)\[.*\]", 0)
 
 
-def whole_json(text: Column) -> Column:
-    """The text if it is one JSON value and nothing else; otherwise null.
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """The body with the value as a lambda's variable, so that it is evaluated once however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+_END = "end of the payload"
+
 
-    The text is put between a key and a closing key that is its own MD5: an object with exactly these two keys can only
-    come of a whole value, since a text that closes the object early leaves the closing key out, and one that adds keys shows them.
+def _whole(text: Column, kind: str, end: Callable[[Column], Column], seen: Callable[[Column], Column]) -> Column:
+    """The text as one JSON value of a kind, and nothing else; otherwise null.
+
+    The text is put into a list before an element that tells its own MD5.  Only a whole value makes a list of these two: a text that closes the list early leaves that element
+    out, one that adds values makes the list longer, and none can hold its own MD5.
     """
-    end = F.md5(text)
-    around = F.from_json(F.concat(F.lit('{"v":'), text, F.lit(',"'), end, F.lit('":1}')), "map<string,string>", STRICT)
-    return F.when(F.map_keys(around) == F.array(F.lit("v"), end), text)
+    def read(t: Column, md5: Column) -> Column:
+        pair = F.from_json(F.concat(F.lit("["), t, F.lit(","), end(md5), F.lit("]")), f"array<{kind}>", STRICT)
+        return once(pair, lambda p: F.when((F.size(p) == 2) & (seen(F.get(p, F.lit(1))) == md5), F.get(p, F.lit(0))))
+
+    return once(text, lambda t: once(F.md5(t), lambda md5: read(t, md5)))
+
+
+def _quoted_json(text: Column) -> Column:
+    return F.concat(F.lit('"'), text, F.lit('"'))
 
 
-def whole_object(text: Column) -> Column:
-    """The text if it is one JSON object and nothing else; otherwise null."""
-    return F.when(stripped(text).startswith("{"), whole_json(text))
+def strict_object(text: Column, fields: str) -> Column:
+    """The text as one JSON object with these fields (DDL); of repeated keys the last counts.  Null if it is anything else, such as an object and something after it."""
+    end = lambda md5: F.concat(F.lit(f'{{"{_END}":'), _quoted_json(md5), F.lit("}"))
+    return _whole(text, f"struct<{fields}, `{_END}`: string>", end, lambda e: e[_END])
+
+
+def parsed_type(fields: T.StructType) -> T.StructType:
+    """The type of what ``strict_object`` gives."""
+    return T.StructType([*fields.fields, T.StructField(_END, T.StringType())])
+
+
+def strict_lists_by_key(text: Column) -> Column:
+    """The text as one JSON object of lists: map<string, array<string>>, repeated keys included; null if it is anything else."""
+    end = lambda md5: F.concat(F.lit(f'{{"{_END}":['), _quoted_json(md5), F.lit("]}"))
+    return _whole(text, "map<string,array<string>>", end, lambda e: F.get(F.get(F.map_values(e), F.lit(0)), F.lit(0)))
+
+
+def strict_list(text: Column) -> Column:
+    """The text as one JSON list: array<string>; null if it is anything else."""
+    return _whole(text, "array<string>", lambda md5: F.concat(F.lit("["), _quoted_json(md5), F.lit("]")), lambda e: F.get(e, F.lit(0)))
+
+
+def whole_json(text: Column) -> Column:
+    """The text if it is one JSON value and nothing else; otherwise null."""
+    return F.when(_whole(text, "string", _quoted_json, lambda e: e).isNotNull() | (stripped(text) == "null"), text)
 
 
 def without_number(line: Column) -> Column:

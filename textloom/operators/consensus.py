@@ -61,11 +61,12 @@ def hashed_keys(by: list[str]) -> list[Column]:
     return [F.xxhash64(*by), F.xxhash64(F.lit("second"), *by)]
 
 
-def keep_first(df: DataFrame, by: list[str], order: str = "seq", keys: Callable[[list[str]], list[Column]] = hashed_keys) -> DataFrame:
+def keep_first(df: DataFrame, by: list[str], order: str = "seq", keys: Callable[[list[str]], list[Column]] = hashed_keys, part: bool = False) -> DataFrame:
     """The first row of each group in order; nulls are one group.  Groups are aggregated before they are shuffled, so a hot one is one row of each task.
 
     Rows are grouped by 128 bits of ``by``, never by the values themselves, which may be long texts; each group's different values travel with it once, so
-    a collision shows.  Rows whose keys collide are grouped again with their SHA-256 besides; should values still share a key, the query fails.  ``order`` has no nulls.
+    a collision shows, and fails the query.  With ``part``, rows whose keys collide are grouped again with their SHA-256 besides, for which the table is read twice; it is for
+    shorter ``keys``.  ``order`` has no nulls.
     """
     names = [f"_k{i}" for i in range(len(keys(by)))]
     keyed = df.withColumns(dict(zip(names, keys(by))))
@@ -73,12 +74,14 @@ def keep_first(df: DataFrame, by: list[str], order: str = "seq", keys: Callable[
     held = [F.collect_set(F.struct(*by)).alias("_values"), F.min_by(rest, order).alias("_rest")]
     columns = [F.get("_values", F.lit(0))[c].alias(c) if c in by else F.col("_rest")[c].alias(c) for c in df.columns]
     groups = keyed.groupBy(*names).agg(*held)
+    told = F.when(F.size("_values") == 1, F.col("_values")).otherwise(F.raise_error(F.lit("different values share a key")))
+    if not part:
+        return groups.withColumn("_values", told).select(*columns)
     met = groups.filter(F.size("_values") > 1).select(*[F.col(k).alias(f"{k}_") for k in names])
     same = F.lit(True)
     for k in names:
         same = same & (F.col(k) == F.col(f"{k}_"))
     again = keyed.join(met, same, "left_semi").groupBy(*names, F.sha2(F.to_json(F.struct(*by)), 256).alias("_sha")).agg(*held)
-    told = F.when(F.size("_values") == 1, F.col("_values")).otherwise(F.raise_error(F.lit("different values share a SHA-256")))
     return groups.filter(F.size("_values") == 1).select(*columns).unionByName(again.withColumn("_values", told).select(*columns))
 
 

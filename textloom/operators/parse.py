@@ -12,8 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..functions.text import STRICT, answer_letter, list_part, object_part, request_number, stripped, stripped_of, truthy, whole_json, whole_object
-from ..sources.schemas import RESPONSES
+from ..functions.text import answer_letter, list_part, object_part, once, request_number, strict_list, strict_lists_by_key, strict_object, stripped, stripped_of, truthy, whole_json
+from ..sources.schemas import RESPONSE_FIELDS as RESPONSES
 
 NOT_JSON, NO_ANSWER = "the line isn't a JSON object", "no answer in the envelope"
 NO_OBJECT, NO_FIELD = "no answer object", "no answer in the object"
@@ -21,16 +21,6 @@ NO_LIST, WRONG_LENGTH = "no list", "wrong length"
 NO_PAIR = "a value that isn't a pair"
 
 
-def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
-    """The body with the value as a lambda's variable, so that it is evaluated once however often the body uses it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def one_object(text: Column, schema: str) -> Column:
-    """The text as one JSON object (of repeated keys the last counts); null if it is anything else."""
-    return F.from_json(whole_json(text), schema, STRICT)
-
-
 def response_text(response: Column) -> Column:
     """candidates[0].content.parts[0].text, null where the path is missing."""
     return F.get(F.get(response["candidates"], F.lit(0))["content"]["parts"], F.lit(0))["text"]
@@ -39,9 +29,9 @@ def response_text(response: Column) -> Column:
 def envelopes(lines: DataFrame) -> DataFrame:
     """(key, request_no, raw, line, parse_error) of raw result lines; other columns stay."""
     rest = [c for c in lines.columns if c != "line"]
-    parsed = lines.withColumn("_w", whole_object(F.col("line"))).withColumn("_r", F.from_json("_w", RESPONSES, STRICT))
+    parsed = lines.withColumn("_r", strict_object(F.col("line"), RESPONSES))
     raw = response_text(F.col("_r.response"))
-    error = F.when(F.col("_w").isNull(), F.lit(NOT_JSON)).when(raw.isNull(), F.lit(NO_ANSWER))
+    error = F.when(F.col("_r").isNull(), F.lit(NOT_JSON)).when(raw.isNull(), F.lit(NO_ANSWER))
     return parsed.select(*rest, F.col("_r.key").alias("key"), request_number(F.col("_r.key")).alias("request_no"), raw.alias("raw"), "line", error.alias("parse_error"))
 
 
@@ -53,8 +43,7 @@ def _unanswered(responses: DataFrame) -> Column:
 
 def answers(responses: DataFrame, fields: tuple[str, ...] = ("scenario_answer",)) -> DataFrame:
     """Add each field of the object in ``raw`` without parentheses, its typed form ``<field>_typed``, and parse_error."""
-    schema = f"struct<{', '.join(f'{f}: string' for f in fields)}>"
-    out = responses.withColumn("_o", one_object(object_part(F.col("raw")), schema))
+    out = responses.withColumn("_o", strict_object(object_part(F.col("raw")), ", ".join(f"{f}: string" for f in fields)))
     for f in fields:
         out = out.withColumn(f, stripped_of(F.col("_o")[f], "()")).withColumn(f"{f}_typed", answer_letter(F.col(f)))
     missing = F.lit(False)
@@ -66,7 +55,7 @@ def answers(responses: DataFrame, fields: tuple[str, ...] = ("scenario_answer",)
 
 def _listed(responses: DataFrame, expected: int | Column | None, cut: bool) -> DataFrame:
     """Add ``_a``, the strings of the list in ``raw``, and parse_error."""
-    parsed = responses.withColumn("_a", F.from_json(whole_json(list_part(stripped(F.col("raw")))), "array<string>", STRICT))
+    parsed = responses.withColumn("_a", strict_list(list_part(stripped(F.col("raw")))))
     error = F.when(F.col("_a").isNull(), F.lit(NO_LIST))
     if expected is not None:
         most = F.lit(expected) if isinstance(expected, int) else expected
@@ -144,7 +133,7 @@ def repaired(raw: Column, literal: bool = False) -> Column:
 
 
 def _label_entries(raw: Column, literal: bool) -> Column:
-    return F.map_entries(one_object(object_part(repaired(raw, literal)), "map<string,array<string>>"))
+    return F.map_entries(strict_lists_by_key(object_part(repaired(raw, literal))))
 
 
 def _labels_of(entries: Column) -> Column:
@@ -156,7 +145,7 @@ def _labels_of(entries: Column) -> Column:
         last = F.transform(keys, lambda k: F.element_at(F.filter(entries, lambda e: e["key"] == k), -1)["value"])
         return F.when(F.size(keys) == F.size(entries), F.transform(entries, lambda e: e["value"])).otherwise(last)  # few payloads repeat a key
 
-    return _bound(F.array_distinct(F.transform(entries, lambda e: e["key"])), lambda keys: _bound(valued(keys), paired))
+    return once(F.array_distinct(F.transform(entries, lambda e: e["key"])), lambda keys: once(valued(keys), paired))
 
 
 def labels(raw: Column, literal: bool = False) -> Column:
@@ -164,4 +153,4 @@ def labels(raw: Column, literal: bool = False) -> Column:
 
     Of repeated keys the last value counts, at the first one's place.  A value that isn't a pair makes the whole null.
     """
-    return _bound(_label_entries(raw, literal), _labels_of)
+    return once(_label_entries(raw, literal), _labels_of)

@@ -193,7 +193,7 @@ def replicate_concat(spark, sf_dir):
 
 def payload_extract(spark, sf_dir):
     wrapped = F.concat(F.lit("```json\n"), F.col("props"), F.lit("\n``` done"))
-    return _table(spark, sf_dir, "events").select("event_id", F.from_json(tx.object_part(wrapped), "k string", parse.STRICT)["k"].alias("k"))
+    return _table(spark, sf_dir, "events").select("event_id", F.from_json(tx.object_part(wrapped), "k string", tx.STRICT)["k"].alias("k"))
 
 
 def number_prefix_roundtrip(spark, sf_dir):

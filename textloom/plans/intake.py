@@ -197,7 +197,7 @@ def appended_numbers(spark, sf_dir):
 def collided_texts(spark, sf_dir):
     """First of equal texts when the keys collide (here: by length): texts are still told apart."""
     rows = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return consensus.keep_first(rows, ["text"], "doc_id", lambda by: [F.length(by[0])]).select("doc_id", F.md5("text").alias("text_md5"))
+    return consensus.keep_first(rows, ["text"], "doc_id", lambda by: [F.length(by[0])], part=True).select("doc_id", F.md5("text").alias("text_md5"))
 
 
 def queries() -> dict:

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import fixed
-from ..functions.text import STRICT, stripped, whole_object
+from ..functions.text import parsed_type, strict_object, stripped
 from ..operators.order import in_file_order, with_seq
 from . import schemas
 from .scratch import shared_path
@@ -134,10 +134,6 @@ def in_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return joined.select("value", "file", (F.col("id") + F.col("_shift")).alias("line_no"))
 
 
-def _json_line(value: Column, schema) -> tuple[Column, Column]:
-    """The line as one JSON object of the schema, and whether it is malformed (a blank line is neither)."""
-    parsed = F.from_json(whole_object(value), schema, STRICT)
-    return parsed, (stripped(value) != "") & parsed.isNull()
 
 
 def talk_page_lines(spark: SparkSession, path: str | list[str], placed: bool = False) -> DataFrame:
@@ -147,17 +143,16 @@ def talk_page_lines(spark: SparkSession, path: str | list[str], placed: bool = F
     """
     rows = spark.read.schema("value string").text(path)
     rows = in_file_order(rows.withColumn("_file", F.col("_metadata.file_path"))) if placed else rows.withColumn("_file", F.col("_metadata.file_path"))
-    parsed, bad = _json_line(F.col("value"), schemas.TALK_PAGES)
     failed = F.raise_error(F.concat(F.lit("malformed line in "), F.col("_file"), F.lit(": "), F.substring("value", 1, 200)))
-    page = F.when(bad, failed.cast(schemas.TALK_PAGES)).otherwise(parsed)
-    return rows.filter(stripped(F.col("value")) != "").withColumn("_page", page).select("_page.*", *["place"] * placed)
+    parsed = strict_object(F.col("value"), schemas.TALK_PAGE_FIELDS)
+    page = F.coalesce(parsed, failed.cast(parsed_type(schemas.TALK_PAGES)))
+    return rows.filter(stripped(F.col("value")) != "").withColumn("_page", page).select(*[F.col("_page")[c].alias(c) for c in schemas.TALK_PAGES.names], *["place"] * placed)
 
 
 def talk_page_records(spark: SparkSession, path: str | list[str], corrupt: str = "corrupt_record") -> DataFrame:
     """Talk pages as JSON lines with file and line_no; a malformed line gives nulls and its text in the column ``corrupt``."""
-    parsed, bad = _json_line(F.col("value"), schemas.TALK_PAGES)
-    rows = in_lines(spark, path).filter(stripped(F.col("value")) != "")
-    return rows.select("file", "line_no", parsed.alias("_page"), F.when(bad, F.col("value")).alias(corrupt)).select("file", "line_no", "_page.*", corrupt)
+    rows = in_lines(spark, path).filter(stripped(F.col("value")) != "").withColumn("_page", strict_object(F.col("value"), schemas.TALK_PAGE_FIELDS))
+    return rows.select("file", "line_no", *[F.col("_page")[c].alias(c) for c in schemas.TALK_PAGES.names], F.when(F.col("_page").isNull(), F.col("value")).alias(corrupt))
 
 
 def malformed_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:

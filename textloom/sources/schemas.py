@@ -26,3 +26,5 @@ REQUESTS = T.StructType([T.StructField("key", S), T.StructField("request", T.Str
 RESPONSES = T.StructType([T.StructField("key", S), T.StructField("response", T.StructType([
     T.StructField("candidates", T.ArrayType(T.StructType([T.StructField("content", T.StructType([T.StructField("parts", T.ArrayType(_struct("text")))]))])))]))])
 JOBS = _struct("job_name", "state", "src_file", "dest_file", "display_name")
+RESPONSE_FIELDS = ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in RESPONSES)
+TALK_PAGE_FIELDS = ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in TALK_PAGES)
