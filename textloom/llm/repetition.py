@@ -67,12 +67,16 @@ class Powers:
         return self.up[:n], self.down[:n]
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers: Powers, run: int = PIECE_BYTES) -> np.ndarray:
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers: Powers, run: int = 4 * PIECE_BYTES) -> np.ndarray:
     """Hash of each byte span, the same wherever the span stands.
 
     Powers are held for ``run`` bytes; beyond these they are products with the power of the run's beginning.
     """
     up, down = powers.get(min(len(data) + 1, run))
+    if len(data) < run:
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
+        return mixed((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
     runs = len(data) // run + 1
     far = np.array([pow(powers.base, run * k, 1 << 64) for k in range(runs)], np.uint64)
     back = np.array([pow(powers.inverse, run * k, 1 << 64) for k in range(runs)], np.uint64)
