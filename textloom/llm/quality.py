@@ -6,7 +6,7 @@ only, weighs the passages, and the weighted representation is scored.
 
 Defined results: a null or empty text is one passage without words, so it has a score too;
 a null doc_id and repeated rows are ordinary rows; without labels every score is 0.5; an empty table gives an
-empty result; other columns are ignored, whatever their names.  A text is encoded whole: one of 20 MB took about 720 MB of a task's memory.
+empty result; other columns are ignored, whatever their names.  A text is encoded whole: one of 20 MB took about 760 MB of a task's memory.
 """
 
 from __future__ import annotations

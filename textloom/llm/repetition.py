@@ -6,7 +6,7 @@ to an earlier line.  A text is kept if it passes the base rules and no coverage
 
 Defined results: a null or empty text has no words, so all counts are 0 and
 base_failed is true; a null doc_id and repeated rows are ordinary rows; an empty table
-gives an empty result; other columns are ignored, whatever their names.  A text is measured whole: one of 20 MB took about 640 MB of a task's memory.
+gives an empty result; other columns are ignored, whatever their names.  A text is measured whole: one of 20 MB took about 700 MB of a task's memory.
 """
 
 from __future__ import annotations
