@@ -294,6 +294,17 @@ def test_rarity_and_word_keys(spark):
         assert found[line] == sorted(keys)
 
 
+def test_words_are_split_without_a_pattern(spark, capsys):
+    lines = ["a\tb", "a\x0bb", "a\x0cb", "a\rb", "a  b ", "\x01 a", "\x1f", " \t\x0b", "\té", " b", "", "!"]
+    frame_ = spark.createDataFrame([(line,) for line in lines], "line string")
+    split = frame_.select("line", line_dedup.words_of(frame_["line"]).alias("w"))
+    assert all([w for w in r["w"] if w] == WORD.findall(r["line"]) for r in split.collect())
+    split.explain(True)
+    assert "RLIKE" not in capsys.readouterr().out  # a pattern is searched far slower than bytes
+    texts = spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")
+    assert sorted(r["pos"] for r in line_dedup.lines_of(texts).collect()) == [i for i, line in enumerate(lines) if WORD.search(line)]
+
+
 def test_line_dedup(spark):
     rng = random.Random(4)
     vocabulary = [f"w{i}" for i in range(60)]
