@@ -27,13 +27,14 @@ def in_file_order(rows: DataFrame) -> DataFrame:
 def with_seq(df: DataFrame, *order: str, name: str = "seq", start: int = 0) -> DataFrame:
     """Add gapless row numbers in the given order (a total one, for results that don't change).
 
-    The rows are range-partitioned and numbered within partitions; the partitions' counts,
-    one row each, then shift them.
+    The rows are range-partitioned, sorted and numbered within partitions; the partitions' counts,
+    one row each, then shift them.  So rows are shuffled once, and no task gets several partitions' rows.
     """
-    ranged = _checkpointed(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
-    local = ranged.withColumn("_row", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    ids = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id_of_row", F.monotonically_increasing_id())
+    part, row = F.shiftright("_id_of_row", 33), F.col("_id_of_row").bitwiseAND(F.lit((1 << 33) - 1))  # as that function is defined
+    local = _checkpointed(ids.withColumns({"_part": part, "_row": row}).drop("_id_of_row"))
+    counts = local.groupBy("_part").agg(F.count("*").alias("_n"))
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     shifts = counts.select(F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_shift"))
     joined = local.join(F.broadcast(shifts), F.col("_part") == F.col("_p"))  # a row for each partition
-    return joined.withColumn(name, F.col("_row") - 1 + start + F.col("_shift")).drop("_part", "_row", "_p", "_shift")
+    return joined.withColumn(name, F.col("_row") + start + F.col("_shift")).drop("_part", "_row", "_p", "_shift")

@@ -187,7 +187,7 @@ def appended_numbers(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("doc_id")
     first = None
     for name, part in (("b", "doc_id % 2 = 0"), ("a", "doc_id % 2 = 1")):
-        docs.filter(part).repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id").select(F.col("doc_id").cast("string").alias("value")).write.text(f"{folder}/{name}")
+        docs.filter(part).repartitionByRange("doc_id").sortWithinPartitions("doc_id").select(F.col("doc_id").cast("string").alias("value")).write.text(f"{folder}/{name}")
         lines = numbering.numbered_lines(spark, folder, ledger).select(F.col("value").cast("long").alias("doc_id"), "seq")
         first = stored(lines, "numbered") if first is None else first
     before = first.select(F.col("doc_id").alias("_id"), F.col("seq").alias("seq_before"))

@@ -52,9 +52,9 @@ def csv_round_trip(spark, sf_dir):
 
 
 def utterance_scan(spark, sf_dir):
-    """Utterances as JSON lines in several files; ``seq`` is their place over all files, and chunks follow it."""
+    """Utterances as JSON lines in as many files as their size needs; ``seq`` is their place over all files, and chunks follow it."""
     path = _path(spark, "utterances")
-    docs = _table(spark, sf_dir, "documents").repartitionByRange(5, "doc_id").sortWithinPartitions("doc_id")
+    docs = _table(spark, sf_dir, "documents").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     sinks.write_json_lines(docs.select(F.col("doc_id").cast("string").alias("id"), "text", F.create_map(F.lit("Normalized Score"), (F.col("doc_id") / 8).cast("string")).alias("meta")), path)
     return readers.utterances(spark, path).select(F.col("id").cast("long").alias("doc_id"), "seq", F.expr(f"seq div {fixed.CHUNK}").alias("chunk"), F.md5("text").alias("text_md5"), readers.score().alias("score"))
 
