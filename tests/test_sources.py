@@ -126,7 +126,7 @@ def test_counts_and_lines(spark, tmp_path):
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
-@pytest.mark.parametrize("name, folder", [("utterance_scan", "utterances")])
+@pytest.mark.parametrize("name, folder", [("utterance_scan", "utterances"), ("first_contexts", "talk")])
 def test_files_grow_in_number(spark, monkeypatch, tmp_path, name, folder):
     monkeypatch.setattr(round_trips, "_path", lambda spark, name: str(tmp_path / name))
     dealt = {"spark.sql.shuffle.partitions": "12", "spark.sql.adaptive.coalescePartitions.enabled": "false"}

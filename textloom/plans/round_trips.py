@@ -96,7 +96,7 @@ def talk_page_lines(spark, sf_dir):
 def first_contexts(spark, sf_dir):
     """The first six contexts of a phrase in the order of the files' lines."""
     path = _path(spark, "talk")
-    rows = _table(spark, sf_dir, "documents").repartitionByRange(5, "doc_id").sortWithinPartitions("doc_id").select(F.col("doc_id").cast("string").alias("page_id"), F.col("source").alias("title"), F.lit("t").alias("timestamp"), F.lit("e").alias("last_editor"), "text")
+    rows = _table(spark, sf_dir, "documents").repartitionByRange("doc_id").sortWithinPartitions("doc_id").select(F.col("doc_id").cast("string").alias("page_id"), F.col("source").alias("title"), F.lit("t").alias("timestamp"), F.lit("e").alias("last_editor"), "text")
     sinks.write_json_lines(rows, path)
     return studies.first_contexts(spark, path, "the").select("page_id", "sentence_position")
 
