@@ -149,3 +149,4 @@ def test_seq_is_dealt_once(spark, capsys):
     found = sorted((r["seq"], r["a"], r["b"]) for r in numbered.collect())
     want = sorted(((k % 50 if k % 7 else None, k) for k in range(300)), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     assert found == [(i + 3, *r) for i, r in enumerate(want)]
+    assert [r["seq"] for r in order.with_seq(rows.selectExpr("b", "null as none"), "b").orderBy("b").collect()] == list(range(300))

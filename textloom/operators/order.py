@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.scratch import stored
+
 
 def _checkpointed(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
@@ -29,10 +31,13 @@ def with_seq(df: DataFrame, *order: str, name: str = "seq", start: int = 0) -> D
 
     The rows are range-partitioned, sorted and numbered within partitions; the partitions' counts,
     one row each, then shift them.  So rows are shuffled once, and no task gets several partitions' rows.
+    They are written as Parquet, which takes less disk than a checkpoint, and the counts read one column of it.
     """
     ids = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id_of_row", F.monotonically_increasing_id())
     part, row = F.shiftright("_id_of_row", 33), F.col("_id_of_row").bitwiseAND(F.lit((1 << 33) - 1))  # as that function is defined
-    local = _checkpointed(ids.withColumns({"_part": part, "_row": row}).drop("_id_of_row"))
+    numbered = ids.withColumns({"_part": part, "_row": row}).drop("_id_of_row")
+    void = any(kind == "void" for _, kind in df.dtypes)  # which Parquet can't hold
+    local = _checkpointed(numbered) if void else stored(numbered, "numbered-rows")
     counts = local.groupBy("_part").agg(F.count("*").alias("_n"))
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     shifts = counts.select(F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_shift"))
