@@ -1,6 +1,7 @@
 """Operators over documents against brute force."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -294,6 +295,40 @@ def test_rarity_and_word_keys(spark):
         assert found[line] == sorted(keys)
 
 
+def test_line_keys_and_parities(spark, capsys):
+    """Each step on words has an expression of its own, compiled but for the lambdas; the middle key halves the words even if all are as frequent."""
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(400)]
+    lines = [" ".join(rng.sample(vocabulary, rng.randint(1, 90)) + ["w7"] * rng.randint(1, 2)) for _ in range(60)]
+    docs = spark.createDataFrame([(i, line) for i, line in enumerate(lines)] + [(99, "w5\n \n\tw5  ")], "doc_id long, text string")
+    classes = line_dedup.rarity(docs)
+    middle = line_dedup.middle_key(spark, classes)
+    keyed = line_dedup.line_keys(line_dedup.lines_of(docs), classes, middle)
+    assert not keyed.schema["keys"].dataType.containsNull  # sorted as primitive longs
+    plain = line_dedup.lines_of(docs).select("doc", "pos", line_dedup.word_keys(line_dedup.F.col("line"), classes).alias("k"))
+    want = {(r["doc"], r["pos"]): r["k"] for r in plain.collect()}
+    found = {(r["doc"], r["pos"]): r for r in keyed.collect()}
+    assert {at: (len(k), sorted([*k, middle])) for at, k in want.items()} == {at: (r["n"], r["keys"]) for at, r in found.items()}
+    words = [k for ks in want.values() for k in ks]
+    assert 0.3 < sum(k < middle for k in words) / len(words) < 0.7
+
+    hot = spark.createDataFrame([], "_h long, _h2 long, least struct<doc: long, pos: int>")
+    postings = line_dedup.postings_of(docs, hot)
+    postings.explain()
+    plan = capsys.readouterr().out
+    assert "array_except" in plan and "transform(array_except" not in plan and "transform(CASE" not in plan
+    rows = {}
+    for r in postings.collect():
+        rows.setdefault((r["doc"], r["pos"]), []).append(r)
+    rarest = {at: sorted(k)[: len(k) - -(-4 * len(k) // 5) + 1] for at, k in want.items()}
+    assert {at: sorted(r["key"] for r in rs) for at, rs in rows.items()} == rarest
+    for a, b in itertools.combinations(sorted(rows), 2):
+        differ = len(set(want[a]) ^ set(want[b]))
+        both = len(want[a]) > line_dedup.LONG < len(want[b])
+        bits = [(rows[a][0][s] ^ rows[b][0][s]) & (2**64 - 1) for s in line_dedup.SIGS[: 1 + both]]
+        assert sum(x.bit_count() for x in bits) <= differ
+
+
 def test_words_are_split_without_a_pattern(spark, capsys):
     lines = ["a\tb", "a\x0bb", "a\x0cb", "a\rb", "a  b ", "\x01 a", "\x1f", " \t\x0b", "\té", " b", "", "!"]
     frame_ = spark.createDataFrame([(line,) for line in lines], "line string")
