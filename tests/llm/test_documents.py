@@ -329,6 +329,24 @@ def test_line_keys_and_parities(spark, capsys):
         assert sum(x.bit_count() for x in bits) <= differ
 
 
+def test_rarity_stays_out_of_plans(spark, capsys):
+    """The driver describes a plan anew after each stage, so the classes of all buckets must not be spelled out in it, and no row may hold them."""
+    rng = random.Random(9)
+    docs = spark.createDataFrame([(i, "\n".join(" ".join(f"w{int(rng.paretovariate(0.7))}" for _ in range(rng.randint(1, 30))) for _ in range(5))) for i in range(40)], "doc_id long, text string")
+    postings = line_dedup.postings_of(docs, spark.createDataFrame([], "_h long, _h2 long, least struct<doc: long, pos: int>"))
+    postings.explain("formatted")
+    plan = capsys.readouterr().out
+    assert len(plan) < 50_000
+    assert plan.count("AS classes#") == 1 and plan.index("AS classes#") > plan.index("Subqueries")
+
+    literal, row = line_dedup.rarity(docs), line_dedup.rarity_row(docs).scalar()
+    middle = line_dedup.middle_key(spark, row)
+    assert middle == line_dedup.middle_key(spark, literal)
+    by_row, by_literal = (line_dedup.line_keys(line_dedup.lines_of(docs), c, middle) for c in (row, literal))
+    assert not by_row.schema["keys"].dataType.containsNull
+    assert sorted(by_row.collect()) == sorted(by_literal.collect())
+
+
 def test_words_are_split_without_a_pattern(spark, capsys):
     lines = ["a\tb", "a\x0bb", "a\x0cb", "a\rb", "a  b ", "\x01 a", "\x1f", " \t\x0b", "\té", " b", "", "!"]
     frame_ = spark.createDataFrame([(line,) for line in lines], "line string")
